@@ -22,7 +22,7 @@ from .common import slices, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Bounds of what a worker remembers; beyond one, that memory starts anew.
-STATES, PIECES, PAIRS = 150_000, 300_000, 500_000
+STATES, UNITS, PIECES, PAIRS = 60_000, 120_000, 80_000, 100_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -143,38 +143,66 @@ class Transducer:
         return out
 
 
+#: Code points that the pattern's \\s stands for.
+WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+
+
 class Codec:
-    """Whole texts to ids, each match of the pattern by itself, and back."""
+    """Whole texts to ids, each match of the pattern by itself, and back.
+
+    No match of the pattern crosses the ends of these units: an optional space and what follows up to white space; white space
+    that no other character follows, or one such character. So texts are cut into units by a plainer expression, and a
+    unit's ids (those of its matches one after another) are remembered, as are those of matches, in two generations each.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
+        import re
+
         import regex
 
         self.machine, self.split = Transducer(ranks), regex.compile(pattern).findall
-        self.known: dict[str, bytes] = {}
+        self.units = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+").findall
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.new_pieces: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
         self.table = [self.machine.bytes_of.get(i, b"") for i in range(max(self.machine.bytes_of, default=0) + 1)]
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 32-bit integers."""
-        known, pieces = self.known, self.split(text)
+        units = self.units(text)
         try:
-            return b"".join(map(known.__getitem__, pieces))
+            return b"".join(map(self.new.__getitem__, units))
         except KeyError:
-            for p in pieces:
-                if p not in known:
-                    if len(known) >= PIECES:
-                        known.clear()
-                        return b"".join(known.setdefault(q, self._piece(q)) if len(q) < 64 else self._piece(q) for q in pieces)
-                    known[p] = self._piece(p)
-            return b"".join(map(known.__getitem__, pieces))
-
-    def _piece(self, piece: str) -> bytes:
-        return np.array(self.machine.encode(piece.encode()), "<u4").tobytes()
+            pass
+        if len(self.new) > UNITS:
+            self.old, self.new = self.new, {}
+        known = self.new
+        for u in units:
+            if u not in known:
+                found = self.old.get(u)
+                known[u] = self._unit(u) if found is None else found
+        return b"".join(map(known.__getitem__, units))
+
+    def _unit(self, unit: str) -> bytes:
+        if len(self.new_pieces) > PIECES:
+            self.old_pieces, self.new_pieces = self.new_pieces, {}
+        known, out = self.new_pieces, []
+        for piece in self.split(unit):
+            ids = known.get(piece)
+            if ids is None:
+                ids = self.old_pieces.get(piece)
+                if ids is None:
+                    ids = np.array(self.machine.encode(piece.encode()), "<u4").tobytes()
+                known[piece] = ids
+            out.append(ids)
+        return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def _utf8_states() -> tuple[np.ndarray, dict[str, int]]:
+def _utf8_states() -> np.ndarray:
     """next[state][byte] of the automaton of valid UTF-8; state 0: between characters, -1: no character."""
     names = {"start": 0, "one": 1, "two": 2, "three": 3, "after_e0": 4, "after_ed": 5, "after_f0": 6, "after_f4": 7}
     step = np.full((8, 256), -1, np.int8)
@@ -186,46 +214,50 @@ def _utf8_states() -> tuple[np.ndarray, dict[str, int]]:
     step[0, 0xF0], step[0, 0xF4] = names["after_f0"], names["after_f4"]
     for name, lo, hi, to in (("one", 0x80, 0xC0, "start"), ("two", 0x80, 0xC0, "one"), ("three", 0x80, 0xC0, "two"), ("after_e0", 0xA0, 0xC0, "one"), ("after_ed", 0x80, 0xA0, "one"), ("after_f0", 0x90, 0xC0, "two"), ("after_f4", 0x80, 0x90, "two")):
         step[names[name], lo:hi] = names[to]
-    return step, names
+    return step
 
 
 class StreamDecoder:
     """Text of a stream of ids that comes in parts: a part's text ends with its last whole character, and the bytes of a begun
     one wait for the next part. Bytes that can't belong to a character become U+FFFD."""
 
-    _next = _utf8_states()[0].tolist()
+    _next = _utf8_states().tolist()
 
     def __init__(self, table: list[bytes]) -> None:
         self.table, self.state, self.held = table, 0, b""
 
-    def feed(self, ids) -> str:
+    def feed(self, ids: list[int]) -> str:
         out: list[str] = []
-        step = self._next
+        clean: list[bytes] = []
+        table, step = self.table, self._next
         for i in ids:
-            part = self.table[i]
+            part = table[i]
             if not self.state and part.isascii():
-                out.append(part.decode())
+                clean.append(part)
                 continue
+            if clean:
+                out.append(b"".join(clean).decode())
+                clean = []
             for byte in part:
                 to = step[self.state][byte]
-                if to < 0:
-                    out.append("�")
+                if to < 0 and self.state:  # what was begun is no character; the byte may begin one
+                    out.append("\ufffd")
                     self.held, self.state = b"", 0
                     to = step[0][byte]
-                    if to < 0:
-                        if len(out) and byte >= 0x80 and out[-1] != "�":
-                            out.append("�")
-                        continue
+                if to < 0:
+                    out.append("\ufffd")
+                    continue
                 self.held += bytes((byte,))
                 self.state = to
-                if to == 0:
+                if not to:
                     out.append(self.held.decode())
                     self.held = b""
+        out.append(b"".join(clean).decode())
         return "".join(out)
 
     def close(self) -> str:
         left, self.held, self.state = self.held, b"", 0
-        return "�" if left else ""
+        return "\ufffd" if left else ""
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
@@ -243,10 +275,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     null; repeated rows stay repeated; other columns are left out; an empty table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
-        for batch in slices(batches):
-            ids = [own.encode(t or "") for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+        yield from encoded_batches(slices(batches), codec(path, pattern))
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 

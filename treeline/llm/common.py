@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -50,6 +51,11 @@ class Scratch:
     def keep(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
         return self.write(df, codec)[0]
 
+    def free(self) -> None:
+        """Lets Spark delete the shuffle files of finished steps now rather than when memory next runs low."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, path: str) -> None:
         """Deletes a table that no later step reads."""
         jvm = self.spark._jvm

@@ -17,13 +17,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, Scratch, doc_key, partitions, slices, table
+from .common import Scratch, partitions, slices, table
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 BLOCK = 1 << 18
-#: Words whose ids a worker remembers; beyond it, it starts anew.
+#: Words whose ids a worker remembers in each of two generations.
 REMEMBERED = 300_000
+#: Documents that the provisional ranks come from. They only shorten intermediate files; the final ranks count all documents.
+PROVISIONAL_DOCS = 500
 
 _LENGTHS = (1 + ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3)).astype(np.uint8)
 
@@ -64,32 +66,60 @@ def unpack(control: bytes, data: bytes, counts: np.ndarray) -> np.ndarray:
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
-    The tokenizer replaces white space by one space and drops it between words, so a text's ids are those of its words
-    (cut at ASCII separators and spaces) one after another; each distinct word is encoded once as long as it is remembered.
+    The tokenizer makes any white space one space and drops it between words, so a text's ids are those of its words one after
+    another; each distinct word is encoded once as long as it is remembered. New words go to the library many at a time,
+    with a control character between them whose id no other text has.
     """
 
+    MARK = "\x01"
+
     def __init__(self, path: str) -> None:
         import os
+        import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
         self.inner.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.mark = np.array(self._ids(self.MARK), "<u4")
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.words = re.compile(r"[^\x20\x09-\x0D]+").findall
+        self.odd = re.compile("[\x1c-\x1f]").search  # str.split takes these for white space, the tokenizer doesn't
+
+    def _ids(self, text: str) -> list[int]:
+        return self.inner.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _learn(self, words: list[str]) -> None:
+        for lo in range(0, len(words), 256):
+            part = words[lo : lo + 256]
+            if len(self.mark) == 1 and not any(self.MARK in w for w in part):
+                ids = np.array(self._ids(f" {self.MARK} ".join(part)), "<u4")
+                cuts = np.flatnonzero(ids == self.mark[0])
+                if len(cuts) == len(part) - 1:
+                    raw = ids.tobytes()
+                    for w, a, b in zip(part, [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)]):
+                        self.new[w] = raw[a:b]
+                    continue
+            for w in part:
+                self.new[w] = np.array(self._ids(w), "<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        known = self.known
-        words = [(t or "").split() for t in texts]
-        new = list({w for ws in words for w in ws if w not in known})
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list({w for ws in words for w in ws})
-        for lo in range(0, len(new), 4096):
-            part = new[lo : lo + 4096]
-            for w, e in zip(part, self.inner.encode_batch_fast(part, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+        words = [self.words(t) if self.odd(t) else t.split() for t in (t or "" for t in texts)]
+        if len(self.new) > REMEMBERED:
+            self.old, self.new = self.new, {}
+        known, old = self.new, self.old
+        fresh = []
+        for w in {w for ws in words for w in ws}:
+            if w not in known:
+                found = old.get(w)
+                if found is None:
+                    fresh.append(w)
+                else:
+                    known[w] = found
+        self._learn(fresh)
         return [b"".join(map(known.__getitem__, ws)) for ws in words]
 
 
@@ -106,50 +136,51 @@ def _ids(batch: pa.RecordBatch, path: str, end: bytes) -> list[np.ndarray]:
     return [np.frombuffer(b + end, "<u4") for b in encoder(path).encode(batch.column("text").to_pylist())]
 
 
-def frequencies(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """id, n over all documents: each task adds up its own, one row per id of the vocabulary at most."""
-    end = np.array([end_id], "<u4").tobytes()
+BLOCKS = "shard int, block long, shard_start long, doc_ids array<long>, counts array<int>, n_tokens long, control binary, data binary"
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        for batch in slices(batches):
-            found = np.bincount(np.concatenate(_ids(batch, path, end)))
-            if len(found) > len(total):
-                found[: len(total)] += total
-                total = found
-            else:
-                total[: len(found)] += found
-        ids = np.flatnonzero(total)
-        if len(ids):
-            yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(total[ids])], ["id", "n"])
 
-    return docs.select("text").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+def inverse(by_rank: np.ndarray) -> np.ndarray:
+    out = np.zeros(int(by_rank.max()) + 1, np.uint32)
+    out[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
+    return out
 
 
-BLOCKS = "shard int, block long, shard_start long, doc_ids array<long>, counts array<int>, n_tokens long, control binary, data binary"
+def frequencies(blocks: DataFrame, by_rank: np.ndarray) -> DataFrame:
+    """id, n over all blocks: each task adds up its own, one row per id of the vocabulary at most."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(by_rank), np.int64)
+        for batch in batches:
+            for row in batch.to_pylist():
+                total += np.bincount(unpack(row["control"], row["data"], np.array(row["counts"], np.int64)), minlength=len(total))
+        used = np.flatnonzero(total)
+        if len(used):
+            yield pa.RecordBatch.from_arrays([pa.array(by_rank[used].astype(np.int64)), pa.array(total[used])], ["id", "n"])
+
+    return blocks.select("counts", "control", "data").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write(docs: DataFrame, scratch: Scratch, path: str, end_id: int = END_ID) -> tuple[DataFrame, DataFrame]:
     """Writes all documents' ids in ascending order of doc_id; gives the files' blocks and ranks, as read back.
 
-    Shards are ranges of doc_id of about as many documents each; a shard's blocks follow one another. A null text is
-    empty (its end id alone); a null doc_id comes before all others; rows of one doc_id come in the order of their ids' hash.
+    Documents are encoded once, into blocks by provisional ranks; all ids in these are counted, and blocks written anew by the
+    final ranks. Shards are ranges of doc_id of about as many documents each; a shard's blocks follow one another. A null text
+    is empty (its end id alone); a null doc_id comes before all others; rows of one doc_id come in the order of their ids' hash.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    counted = frequencies(docs, path, end_id).orderBy(F.desc("n"), "id").select("id").collect()  # at most the vocabulary
-    by_rank = np.array([r.id for r in counted] or [end_id], np.uint32)
-    ranks, _ = scratch.write(spark.createDataFrame(list(enumerate(map(int, by_rank))), "rank int, id int").coalesce(1))
-    rank_of = np.zeros(int(by_rank.max()) + 1, np.uint32)
-    rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
+    sample = encoder(path).encode([r.text for r in docs.select(F.substring("text", 1, 4000).alias("text")).limit(PROVISIONAL_DOCS).collect()])
+    seen = np.bincount(np.frombuffer(b"".join(sample), "<u4"), minlength=max(encoder(path).inner.get_vocab_size(), end_id + 1))
+    provisional = np.argsort(-seen, kind="stable").astype(np.uint32)
     n = partitions(spark)
     cuts = docs.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10000).alias("cuts")).first().cuts or []
     cuts = np.array(sorted(set(cuts)), np.int64)
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank_of = inverse(provisional)
         for batch in slices(batches):
-            ids = _ids(batch, path, end)
+            ids = [np.frombuffer(b + end, "<u4") for b in encoder(path).encode(batch.column("text").to_pylist())]
             packed = [pack(rank_of[x]) for x in ids]
             doc = batch.column("doc_id")
             shard = np.searchsorted(cuts, np.asarray(pc.fill_null(doc, -(2**63))), "right").astype(np.int32)
@@ -158,35 +189,57 @@ def write(docs: DataFrame, scratch: Scratch, path: str, end_id: int = END_ID) ->
                 ["shard", "doc_id", "tie", "n", "control", "data"],
             )
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[], [], [], []]
-        shard, block, start, size = -1, 0, 0, 0
-
-        def flush() -> pa.RecordBatch:
-            nonlocal held, block, start, size
-            row = [[shard], [block], [start], [held[0]], [held[1]], [size], [b"".join(held[2])], [b"".join(held[3])]]
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64(), pa.binary(), pa.binary()]
-            out = pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], ["shard", "block", "shard_start", "doc_ids", "counts", "n_tokens", "control", "data"])
-            held, block, start, size = [[], [], [], []], block + 1, start + size, 0
-            return out
+    coded = docs.mapInArrow(encode, "shard int, doc_id long, tie long, n int, control binary, data binary")
+    coded = coded.repartition(n, "shard").sortWithinPartitions("shard", "doc_id", "tie").drop("tie")
+    first, first_path = scratch.write(coded.mapInArrow(join_blocks, BLOCKS))
+    scratch.free()
+    counted = frequencies(first, provisional).orderBy(F.desc("n"), "id").select("id").collect()  # at most the vocabulary
+    by_rank = np.array([r.id for r in counted] or [end_id], np.uint32)
+    ranks = scratch.keep(spark.createDataFrame(list(enumerate(map(int, by_rank))), "rank int, id int").coalesce(1))
 
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank_of = inverse(by_rank)[np.minimum(provisional, by_rank.max())]
         for batch in batches:
-            for s, d, c, x, y in zip(*(batch.column(k).to_pylist() for k in ("shard", "doc_id", "n", "control", "data"))):
-                if s != shard:
-                    if size:
-                        yield flush()
-                    shard, block, start = s, 0, 0
-                for h, v in zip(held, (d, c, x, y)):
-                    h.append(v)
-                size += c
-                if size >= BLOCK:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                counts = np.array(row.column("counts")[0].as_py(), np.int64)
+                values = rank_of[unpack(row.column("control")[0].as_py(), row.column("data")[0].as_py(), counts)]
+                ends = np.cumsum(counts).tolist()
+                packed = [pack(values[a:b]) for a, b in zip([0, *ends], ends)]
+                new = {"control": b"".join(c for c, _ in packed), "data": b"".join(d for _, d in packed)}
+                yield pa.RecordBatch.from_arrays([pa.array([new[k]], pa.binary()) if k in new else row.column(k) for k in row.schema.names], row.schema.names)
+
+    blocks = scratch.keep(first.mapInArrow(again, BLOCKS))
+    scratch.drop(first_path)
+    return blocks, ranks
+
+
+def join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents in order to blocks of BLOCK ids or a document more."""
+    held: list[list] = [[], [], [], []]
+    shard, block, start, size = -1, 0, 0, 0
+
+    def flush() -> pa.RecordBatch:
+        nonlocal held, block, start, size
+        row = [[shard], [block], [start], [held[0]], [held[1]], [size], [b"".join(held[2])], [b"".join(held[3])]]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64(), pa.binary(), pa.binary()]
+        out = pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], ["shard", "block", "shard_start", "doc_ids", "counts", "n_tokens", "control", "data"])
+        held, block, start, size = [[], [], [], []], block + 1, start + size, 0
+        return out
+
+    for batch in batches:
+        for s, d, c, x, y in zip(*(batch.column(k).to_pylist() for k in ("shard", "doc_id", "n", "control", "data"))):
+            if s != shard:
+                if size:
                     yield flush()
-        if size:
-            yield flush()
-
-    coded = docs.mapInArrow(encode, "shard int, doc_id long, tie long, n int, control binary, data binary")
-    coded = coded.repartition(n, "shard").sortWithinPartitions("shard", "doc_id", "tie").drop("tie")
-    return scratch.keep(coded.mapInArrow(blocks, BLOCKS)), ranks
+                shard, block, start = s, 0, 0
+            for h, v in zip(held, (d, c, x, y)):
+                h.append(v)
+            size += c
+            if size >= BLOCK:
+                yield flush()
+    if size:
+        yield flush()
 
 
 def read(blocks: DataFrame, ranks: DataFrame) -> DataFrame:
