@@ -22,7 +22,7 @@ from .common import slices, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Bounds of what a worker remembers; beyond one, that memory starts anew.
-STATES, UNITS, PIECES, PAIRS = 60_000, 120_000, 80_000, 100_000
+STATES, UNITS, PIECES, PAIRS = 120_000, 100_000, 80_000, 200_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -88,19 +88,18 @@ class Transducer:
                 break
         else:
             raise ValueError("these ranks lack a token for some byte, or hold one that merges cannot make")
-        paths = []
-        for p in range(max(0, n - self.longest), n + 1):
-            if (p in ends or p == 0) and pending[p:] in self.open:
-                path, at = set(), p
-                while at:
-                    path.add(at)
-                    at -= ends[at]
-                paths.append(path)
-        shared = set.intersection(*paths)
-        cut = max(shared, default=0)
+        ranks, may_begin = self.ranks, self.open
+        heads = {p for p in range(max(0, n - self.longest), n + 1) if (p in ends or not p) and pending[p:] in may_begin}
+        alive = set()
+        while len(heads) > 1:  # step back from the farthest branch until all have met
+            p = max(heads)
+            heads.discard(p)
+            alive.add(p)
+            heads.add(p - ends[p])
+        cut = heads.pop()
         out, at = [], cut
         while at:
-            out.append(self.ranks[pending[at - ends[at] : at]])
+            out.append(ranks[pending[at - ends[at] : at]])
             at -= ends[at]
         out.reverse()
         key = (out[-1] if out else first, pending[cut:])
@@ -110,8 +109,7 @@ class Transducer:
             self.keys.append(key)
             self.steps.append({})
             self.ends.append(None)
-            alive = set().union(*paths) | {n}
-            self.branches.append({p - cut: ends[p] for p in alive if p > cut})
+            self.branches.append({p - cut: ends[p] for p in alive})
         done = (found, tuple(out))
         self.steps[state][byte] = done
         return done
