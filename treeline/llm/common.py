@@ -198,3 +198,43 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 8
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for lo, hi in zip(cuts, cuts[1:]):
             yield batch.slice(lo, hi - lo)
+
+
+# --- documents with a key of their own, and graphs -----------------------------------------------------------------------
+
+
+def with_uid(docs: DataFrame, scratch: Scratch, *columns: str) -> DataFrame:
+    """uid (long, not null, one of each row, in the order of doc_id with nulls last), doc_id, and the columns named.
+
+    Where doc_ids are unique and not null they are the keys. Otherwise rows are sorted and numbered once, in a written table.
+    """
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    odd = ids.groupBy("doc_id").count().filter("count > 1 or doc_id is null")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *columns)
+    if odd.isEmpty():
+        return rows.select(F.coalesce("doc_id", F.lit(0)).alias("uid"), "doc_id", *columns)
+    ordered = rows.orderBy(F.col("doc_id").asc_nulls_last()).withColumn("uid", F.monotonically_increasing_id())
+    return scratch.keep(ordered).select("uid", "doc_id", *columns)
+
+
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, component (the smallest node reachable) of all nodes in links (a, b), by alternating large and small stars.
+
+    Each round joins every node's neighbours to the least of them; rounds grow as the logarithm of the number of nodes. A round
+    aggregates before it shuffles, and nothing but two sums comes to the driver.
+    """
+    edges, path = scratch.write(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    before = None
+    while True:
+        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if state == before:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
+        before = state
+        both = edges.union(edges.select("v", "u"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        old = path
+        edges, path = scratch.write(small.filter("u <> v").distinct())
+        scratch.drop(old)
