@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, jaccard, mixing, substrings, token_files
+from . import byte_bpe, jaccard, mixing, quality, substrings, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mixing.op1_mix,
     "op3_token_files": token_files.op3_token_files,
     "op4_substring_dedup": substrings.op4_substring_dedup,
     "op5_jaccard_join": jaccard.op5_jaccard_join,
+    "op6_quality_crf": quality.op6_quality,
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
 }
 
