@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, jaccard, mixing, pii, quality, substrings, token_files
+from . import byte_bpe, jaccard, mixing, pii, quality, substrings, suffix_tree, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mixing.op1_mix,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op6_quality_crf": quality.op6_quality,
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
+    "op9_suffix_tree": suffix_tree.op9_suffix_tree,
     "op10_pii": pii.op10_pii,
 }
 
