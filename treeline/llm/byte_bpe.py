@@ -19,10 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import slices, table
+from .segments import CLASS, GAP, ODD, Memory, binaries, buffers, classes, hashes, per_text, runs
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Bounds of what a worker remembers; beyond one, that memory starts anew.
-STATES, UNITS, PIECES, PAIRS = 120_000, 100_000, 80_000, 200_000
+STATES, PAIRS = 30_000, 150_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -31,22 +32,53 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class Transducer:
-    """Turns bytes into token ids. State 0 begins a piece."""
+    """Turns bytes into token ids. State 0 begins a piece.
+
+    Besides the states there are nodes, one for each longest end of what was read that some token begins with or is: a node knows
+    the tokens that end there and the ends that a longer token may begin with. Where a state has no step yet for a byte, the
+    rest of the piece is read with the branches as they are (first time), or the step is made (from the second time on), so
+    that rare pieces make no states.
+    """
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.bytes_of = {i: t for t, i in ranks.items()}
-        self.longest = max(map(len, ranks), default=1)
+        self.shift = max(ranks.values(), default=0).bit_length() + 1
         self.open = {t[:n] for t in ranks for n in range(len(t))}  # what a longer token may begin with; "" is one
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.node_of: dict[bytes, int] = {}
+        self.node_text: list[bytes] = []
+        self.node_next: list[dict[int, int]] = []
+        self.node_tokens: list[tuple[tuple[int, int], ...]] = []  # (length, id) of tokens that end here, longest first
+        self.node_open: list[tuple[int, ...]] = []  # lengths of ends that a longer token may begin with
+        self._node(b"")
         self._restart()
 
     def _restart(self) -> None:
         self.keys: list[tuple[int, bytes]] = [(-1, b"")]
         self.ids: dict[tuple[int, bytes], int] = {(-1, b""): 0}
-        self.steps: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
+        self.steps: list[dict[int, tuple[int, tuple[int, ...]] | None]] = [{}]
         self.ends: list[tuple[int, ...] | None] = [()]
-        self.branches: list[dict[int, int]] = [{}]  # of each state: end in the pending bytes -> length of the last token there
+        self.nodes: list[int] = [0]
+        self.branches: list[dict[int, tuple[int, int]]] = [{}]  # end in the pending bytes -> length and id of the last token there
+
+    def _node(self, text: bytes) -> int:
+        found = self.node_of.get(text)
+        if found is None:
+            found = self.node_of[text] = len(self.node_text)
+            self.node_text.append(text)
+            self.node_next.append({})
+            ends = [text[i:] for i in range(len(text))]
+            self.node_tokens.append(tuple((len(e), self.ranks[e]) for e in ends if e in self.ranks))
+            self.node_open.append(tuple(len(e) for e in [*ends, b""] if e in self.open))
+        return found
+
+    def _goto(self, node: int, byte: int) -> int:
+        text = self.node_text[node] + bytes((byte,))
+        while text not in self.open and text not in self.ranks:
+            text = text[1:]
+        found = self.node_next[node][byte] = self._node(text)
+        return found
 
     def merged(self, piece: bytes) -> list[int]:
         """BPE by its definition: merge the pair of lowest rank, leftmost first, until no pair has one."""
@@ -58,49 +90,58 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
-    def follows(self, left: int, right: int) -> bool:
+    def _follows(self, left: int, right: int) -> bool:
         """Whether BPE leaves the two tokens as neighbours (left -1: whether it makes right of its bytes)."""
-        key = (left, right)
-        found = self.pairs.get(key)
-        if found is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            if left < 0:
-                found = self.merged(self.bytes_of[right]) == [right]
-            else:
-                found = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
-            self.pairs[key] = found
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        before = b"" if left < 0 else self.bytes_of[left]
+        found = self.merged(before + self.bytes_of[right]) == ([right] if left < 0 else [left, right])
+        self.pairs[left << self.shift | right] = found
         return found
 
+    def _last(self, first: int, last: dict[int, tuple[int, int]], node: int, n: int) -> tuple[int, int]:
+        """Length and id of the token that ends the first n pending bytes."""
+        pairs, shift = self.pairs, self.shift
+        for length, token in self.node_tokens[node]:
+            start = n - length
+            if start > 0:
+                found = last.get(start)
+                if found is None:
+                    continue
+                before = found[1]
+            elif start:
+                continue
+            else:
+                before = first
+            good = pairs.get(before << shift | token)
+            if good is None:
+                good = self._follows(before, token)
+            if good:
+                return length, token
+        raise ValueError("these ranks lack a token for some byte, or hold one that merges cannot make")
+
     def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         first, pending = self.keys[state]
-        last = self.branches[state]
-        pending = pending + bytes((byte,))
+        node = self.node_next[self.nodes[state]].get(byte)
+        if node is None:
+            node = self._goto(self.nodes[state], byte)
+        pending += bytes((byte,))
         n = len(pending)
-        ends = dict(last)
-        for start in range(max(0, n - self.longest), n):
-            token = self.ranks.get(pending[start:])
-            if token is None or start and start not in last:
-                continue
-            before = first if start == 0 else self.ranks[pending[start - last[start] : start]]
-            if self.follows(before, token):
-                ends[n] = n - start
-                break
-        else:
-            raise ValueError("these ranks lack a token for some byte, or hold one that merges cannot make")
-        ranks, may_begin = self.ranks, self.open
-        heads = {p for p in range(max(0, n - self.longest), n + 1) if (p in ends or not p) and pending[p:] in may_begin}
+        ends = dict(self.branches[state])
+        ends[n] = self._last(first, ends, node, n)
+        heads = {p for p in (n - k for k in self.node_open[node]) if p in ends or not p}
         alive = set()
         while len(heads) > 1:  # step back from the farthest branch until all have met
             p = max(heads)
             heads.discard(p)
             alive.add(p)
-            heads.add(p - ends[p])
-        cut = heads.pop()
-        out, at = [], cut
+            heads.add(p - ends[p][0])
+        cut = at = heads.pop()
+        out = []
         while at:
-            out.append(ranks[pending[at - ends[at] : at]])
-            at -= ends[at]
+            length, token = ends[at]
+            out.append(token)
+            at -= length
         out.reverse()
         key = (out[-1] if out else first, pending[cut:])
         found = self.ids.get(key)
@@ -109,20 +150,45 @@ class Transducer:
             self.keys.append(key)
             self.steps.append({})
             self.ends.append(None)
+            # the node of the pending bytes alone: an end that reaches over the cut begins no token to come
+            text = self.node_text[node]
+            self.nodes.append(node if len(text) <= n - cut else self._inner(pending[cut:]))
             self.branches.append({p - cut: ends[p] for p in alive})
-        done = (found, tuple(out))
-        self.steps[state][byte] = done
+        done = self.steps[state][byte] = (found, tuple(out))
         return done
 
+    def _inner(self, text: bytes) -> int:
+        while text not in self.open and text not in self.ranks:
+            text = text[1:]
+        return self._node(text)
+
     def _end(self, state: int) -> tuple[int, ...]:
-        pending, last = self.keys[state][1], self.branches[state]
-        out, at = [], len(pending)
+        last = self.branches[state]
+        out, at = [], len(self.keys[state][1])
         while at:
-            out.append(self.ranks[pending[at - last[at] : at]])
-            at -= last[at]
+            length, token = last[at]
+            out.append(token)
+            at -= length
         self.ends[state] = done = tuple(reversed(out))
         return done
 
+    def _read_on(self, state: int, rest: bytes) -> list[int]:
+        """The ids of what is pending in a state and of the bytes after it, without making states."""
+        first, pending = self.keys[state]
+        last, node, n = dict(self.branches[state]), self.nodes[state], len(pending)
+        for byte in rest:
+            to = self.node_next[node].get(byte)
+            node = self._goto(node, byte) if to is None else to
+            n += 1
+            last[n] = self._last(first, last, node, n)
+        out = []
+        while n:
+            length, token = last[n]
+            out.append(token)
+            n -= length
+        out.reverse()
+        return out
+
     def encode(self, piece: bytes) -> list[int]:
         """The ids of one piece. A piece that is a token as it stands is that token, as tiktoken has it."""
         whole = self.ranks.get(piece)
@@ -130,9 +196,15 @@ class Transducer:
             return [whole]
         if len(self.keys) > STATES:
             self._restart()
-        state, out = 0, []
-        for byte in piece:
-            step = self.steps[state].get(byte) or self._step(state, byte)
+        state, out, steps = 0, [], self.steps
+        for i, byte in enumerate(piece):
+            step = steps[state].get(byte)
+            if step is None:
+                if byte not in steps[state] and len(piece) - i < 256:
+                    steps[state][byte] = None
+                    out.extend(self._read_on(state, piece[i:]))
+                    return out
+                step = self._step(state, byte)
             state = step[0]
             if step[1]:
                 out.extend(step[1])
@@ -141,63 +213,97 @@ class Transducer:
         return out
 
 
-#: Code points that the pattern's \\s stands for.
-WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-
-
 class Codec:
     """Whole texts to ids, each match of the pattern by itself, and back.
 
-    No match of the pattern crosses the ends of these units: an optional space and what follows up to white space; white space
-    that no other character follows, or one such character. So texts are cut into units by a plainer expression, and a
-    unit's ids (those of its matches one after another) are remembered, as are those of matches, in two generations each.
+    Where a text's bytes are ASCII or letters from U+00C0 to U+00FF, the pattern's matches are runs of letters, of digits or of
+    marks, each with the space before it, and white space: these are cut by class of bytes. Runs between white space that
+    hold other bytes or an apostrophe go through the pattern whole, with the space before; texts that may hold white space
+    beyond ASCII go through it altogether. A run's ids are remembered.
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        import re
-
         import regex
 
         self.machine, self.split = Transducer(ranks), regex.compile(pattern).findall
-        self.units = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+").findall
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.new_pieces: dict[str, bytes] = {}
-        self.old_pieces: dict[str, bytes] = {}
+        self.memory = Memory(lambda raw: [self._run(x) for x in raw])
         self.table = [self.machine.bytes_of.get(i, b"") for i in range(max(self.machine.bytes_of, default=0) + 1)]
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian 32-bit integers."""
-        units = self.units(text)
-        try:
-            return b"".join(map(self.new.__getitem__, units))
-        except KeyError:
-            pass
-        if len(self.new) > UNITS:
-            self.old, self.new = self.new, {}
-        known = self.new
-        for u in units:
-            if u not in known:
-                found = self.old.get(u)
-                known[u] = self._unit(u) if found is None else found
-        return b"".join(map(known.__getitem__, units))
-
-    def _unit(self, unit: str) -> bytes:
-        if len(self.new_pieces) > PIECES:
-            self.old_pieces, self.new_pieces = self.new_pieces, {}
-        known, out = self.new_pieces, []
-        for piece in self.split(unit):
-            ids = known.get(piece)
-            if ids is None:
-                ids = self.old_pieces.get(piece)
-                if ids is None:
-                    ids = np.array(self.machine.encode(piece.encode()), "<u4").tobytes()
-                known[piece] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        self.lengths = np.array([len(t) for t in self.table], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.bytes = np.frombuffer(b"".join(self.table), np.uint8)
+        self.whole = np.array([_is_text(t) for t in self.table])
+
+    def _run(self, raw: bytes) -> np.ndarray:
+        if CLASS[np.frombuffer(raw, np.uint8)].max() < ODD:
+            return np.array(self.machine.encode(raw), np.uint32)
+        return self._pattern(raw.decode())
+
+    def _pattern(self, text: str) -> np.ndarray:
+        return np.array([i for piece in self.split(text) for i in self.machine.encode(piece.encode())], np.uint32)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and their bounds."""
+        data, offsets = buffers(texts)
+        n = len(data)
+        found = classes(data, offsets)
+        start = runs(found, offsets)
+        end = np.append(start[1:], n)
+        gap = found[start] == GAP
+        begins = np.zeros(n + 1, bool)
+        begins[offsets[:-1]] = True
+        begins[n] = True
+        # the last white space before a run is the run's if it is a space, else a match of its own; what is before it is another
+        g = np.flatnonzero(gap)
+        last_of_text = begins[end[g]]
+        g_end, tail = end[g], end[g] - 1
+        space = ~last_of_text & (data[tail] == 0x20)
+        alone = ~last_of_text & ~space
+        cut = np.where(last_of_text, g_end, tail)
+        rest = cut > start[g]
+        after = np.zeros(n + 1, bool)
+        after[g_end[space]] = True
+        r = np.flatnonzero(~gap)
+        r_start = start[r] - after[start[r]]
+        starts = np.concatenate([r_start, start[g][rest], tail[alone]])
+        ends = np.concatenate([end[r], cut[rest], g_end[alone]])
+        order = np.argsort(starts, kind="stable")
+        starts, ends = starts[order], ends[order]
+        odd = self._maybe_wide(data, offsets)
+        if odd.any():
+            keep = ~odd[np.searchsorted(offsets, starts, "right") - 1] if len(starts) else np.zeros(0, bool)
+            starts, ends = starts[keep], ends[keep]
+        ids, size = self.memory.lookup(hashes(data, starts, ends), data, starts, ends)
+        bounds = per_text(size, starts, offsets)
+        if odd.any():
+            raw = data.tobytes()
+            parts = [self._pattern(raw[offsets[i] : offsets[i + 1]].decode()) if odd[i] else ids[bounds[i] : bounds[i + 1]] for i in range(len(odd))]
+            ids, bounds = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+        return ids, bounds
+
+    @staticmethod
+    def _maybe_wide(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Texts with a byte that white space beyond ASCII begins with."""
+        sums = np.concatenate([[0], np.cumsum(_WIDE_SPACE[data])])
+        return sums[offsets[1:]] > sums[offsets[:-1]]
+
+    def bytes_for(self, ids: np.ndarray) -> bytes:
+        size = self.lengths[ids]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.bytes[np.repeat(self.starts[ids] - (ends - size), size) + np.arange(total)].tobytes()
+
+
+#: First bytes of U+0085, U+00A0, U+1680, U+2000 to U+205F and U+3000.
+_WIDE_SPACE = np.zeros(256, bool)
+_WIDE_SPACE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+
+def _is_text(raw: bytes) -> bool:
+    try:
+        raw.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
 
 
 def _utf8_states() -> np.ndarray:
@@ -221,38 +327,44 @@ class StreamDecoder:
 
     _next = _utf8_states().tolist()
 
-    def __init__(self, table: list[bytes]) -> None:
-        self.table, self.state, self.held = table, 0, b""
-
-    def feed(self, ids: list[int]) -> str:
-        out: list[str] = []
-        clean: list[bytes] = []
-        table, step = self.table, self._next
-        for i in ids:
-            part = table[i]
-            if not self.state and part.isascii():
-                clean.append(part)
-                continue
-            if clean:
-                out.append(b"".join(clean).decode())
-                clean = []
-            for byte in part:
-                to = step[self.state][byte]
-                if to < 0 and self.state:  # what was begun is no character; the byte may begin one
-                    out.append("\ufffd")
-                    self.held, self.state = b"", 0
-                    to = step[0][byte]
-                if to < 0:
-                    out.append("\ufffd")
-                    continue
-                self.held += bytes((byte,))
-                self.state = to
-                if not to:
-                    out.append(self.held.decode())
-                    self.held = b""
-        out.append(b"".join(clean).decode())
+    def __init__(self, own: Codec) -> None:
+        self.own, self.state, self.held = own, 0, b""
+
+    def feed(self, ids: np.ndarray) -> str:
+        own = self.own
+        broken = np.flatnonzero(~own.whole[ids])
+        if not self.state and not len(broken):
+            return own.bytes_for(ids).decode()
+        out, at, k = [], 0, 0
+        while at < len(ids):
+            if not self.state:  # up to the next token that isn't whole characters
+                k = int(np.searchsorted(broken, at))
+                stop = int(broken[k]) if k < len(broken) else len(ids)
+                out.append(own.bytes_for(ids[at:stop]).decode())
+                at = stop
+                if at == len(ids):
+                    break
+            self._read(own.table[ids[at]], out)
+            at += 1
         return "".join(out)
 
+    def _read(self, part: bytes, out: list[str]) -> None:
+        step = self._next
+        for byte in part:
+            to = step[self.state][byte]
+            if to < 0 and self.state:  # what was begun is no character; the byte may begin one
+                out.append("\ufffd")
+                self.held, self.state = b"", 0
+                to = step[0][byte]
+            if to < 0:
+                out.append("\ufffd")
+                continue
+            self.held += bytes((byte,))
+            self.state = to
+            if not to:
+                out.append(self.held.decode())
+                self.held = b""
+
     def close(self) -> str:
         left, self.held, self.state = self.held, b"", 0
         return "\ufffd" if left else ""
@@ -273,7 +385,10 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     null; repeated rows stay repeated; other columns are left out; an empty table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from encoded_batches(slices(batches), codec(path, pattern))
+        own = codec(path, pattern)
+        for batch in slices(batches, most=1 << 20):
+            ids, bounds = own.encode(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(bounds)), binaries(ids.astype("<u4"), bounds)], ["doc_id", "n_tokens", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
@@ -284,38 +399,33 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
-            texts = []
-            for ids in batch.column("ids").to_pylist():
-                stream = StreamDecoder(own.table)
-                texts.append(stream.feed(np.frombuffer(ids, "<u4").tolist()) + stream.close())
+            texts = [decoded(own, np.frombuffer(x, "<u4")) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return encoded.mapInArrow(run, "doc_id long, text string")
 
 
+def decoded(own: Codec, ids: np.ndarray) -> str:
+    stream = StreamDecoder(own)
+    return stream.feed(ids) + stream.close()
+
+
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of whole texts; nulls and repeats as in encode()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for batch in encoded_batches(slices(batches), own):
-            ids = batch.column("ids").to_pylist()
-            texts = []
-            for x in ids:
-                stream = StreamDecoder(own.table)
-                texts.append((stream.feed(np.frombuffer(x, "<u4").tolist()) + stream.close()).encode())
-            digests = [[hashlib.sha256(x).hexdigest() for x in xs] for xs in (ids, texts)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_tokens"), pa.array(digests[0], pa.string()), pa.array(digests[1], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for batch in slices(batches, most=1 << 20):
+            ids, bounds = own.encode(batch.column("text"))
+            ids = np.ascontiguousarray(ids, "<u4")
+            parts = [ids[a:b] for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
+            sha = [hashlib.sha256(x).hexdigest() for x in parts]
+            back = [hashlib.sha256(decoded(own, x).encode()).hexdigest() for x in parts]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(bounds)), pa.array(sha, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def encoded_batches(batches: Iterator[pa.RecordBatch], own: Codec) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = [own.encode(t or "") for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
-
-
 def op7_byte_bpe(spark, sf_dir, ranks: str | None = None):
     import public_tokenizers
 
