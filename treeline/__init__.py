@@ -1,0 +1 @@
+"""Conjunctive queries by hypertree decompositions, answered with DataFrame operations."""
