@@ -19,10 +19,20 @@ WORD = r"[^\x20\x09-\x0D]+"
 NULL_ID = 2**63 - 1
 
 
+#: Rows in one Arrow batch to and from Python workers at most: texts can be long, and a batch is held whole on both sides.
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where that is unset (tests on one machine), a new local one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -39,6 +49,7 @@ class Scratch:
     """Tables written to the shared folder, which cut lineage and survive the loss of executors."""
 
     def __init__(self, spark: SparkSession) -> None:
+        small_batches(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/treeline-{uuid.uuid4().hex}"
         self.made = 0
 
@@ -96,7 +107,7 @@ _powers: list[np.ndarray] = []
 
 def _power_tables(n: int) -> list[np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        size = max(n, _SLICE + 1)
+        size = max(n, 1 << 20)
         inverse = pow(_BASE, -1, 1 << 64)
         _powers[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, b, np.uint64)]), dtype=np.uint64) for b in (_BASE, inverse)]
     return _powers
@@ -203,18 +214,18 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 8
 # --- documents with a key of their own, and graphs -----------------------------------------------------------------------
 
 
-def with_uid(docs: DataFrame, scratch: Scratch, *columns: str) -> DataFrame:
-    """uid (long, not null, one of each row, in the order of doc_id with nulls last), doc_id, and the columns named.
+def with_uid(rows: DataFrame, scratch: Scratch, *columns: str, key: str = "doc_id") -> DataFrame:
+    """uid (long, not null, one of each row, in the order of the key with nulls last), the key, and the columns named.
 
-    Where doc_ids are unique and not null they are the keys. Otherwise rows are sorted and numbered once, in a written table.
+    Where keys are unique and not null they are the uids. Otherwise rows are sorted and numbered once, in a written table.
     """
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    odd = ids.groupBy("doc_id").count().filter("count > 1 or doc_id is null")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *columns)
+    ids = rows.select(F.col(key).cast("long").alias(key))
+    odd = ids.groupBy(key).count().filter(F.col(key).isNull() | (F.col("count") > 1))
+    rows = rows.select(F.col(key).cast("long").alias(key), *columns)
     if odd.isEmpty():
-        return rows.select(F.coalesce("doc_id", F.lit(0)).alias("uid"), "doc_id", *columns)
-    ordered = rows.orderBy(F.col("doc_id").asc_nulls_last()).withColumn("uid", F.monotonically_increasing_id())
-    return scratch.keep(ordered).select("uid", "doc_id", *columns)
+        return rows.select(F.coalesce(key, F.lit(0)).alias("uid"), key, *columns)
+    ordered = rows.orderBy(F.col(key).asc_nulls_last()).withColumn("uid", F.monotonically_increasing_id())
+    return scratch.keep(ordered).select("uid", key, *columns)
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:

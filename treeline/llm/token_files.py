@@ -8,7 +8,6 @@ system will do), beside a table of ranks. Reading turns control bytes into lengt
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,28 +17,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, partitions, slices, table
+from .segments import GAP, Memory, binaries, buffers, classes, hashes, per_text, runs
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 BLOCK = 1 << 18
-#: Words whose ids a worker remembers in each of two generations.
-REMEMBERED = 300_000
 #: Documents that the provisional ranks come from. They only shorten intermediate files; the final ranks count all documents.
 PROVISIONAL_DOCS = 500
 
 _LENGTHS = (1 + ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3)).astype(np.uint8)
 
 
-def pack(values: np.ndarray) -> tuple[bytes, bytes]:
-    """Control bytes and data bytes of 32-bit values."""
-    v = values.astype("<u4")
+def pack(values: np.ndarray, bounds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Control bytes, data bytes, and their bounds, of documents whose 32-bit values lie between bounds (all: one document)."""
+    bounds = np.array([0, len(values)]) if bounds is None else bounds
+    v = np.ascontiguousarray(values, "<u4")
     more = (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
-    padded = np.zeros(-(-len(v) // 4) * 4, np.uint8)
-    padded[: len(v)] = more
+    counts = np.diff(bounds)
+    control_bounds = np.concatenate([[0], np.cumsum(-(-counts // 4))])
+    padded = np.zeros(4 * control_bounds[-1], np.uint8)
+    padded[np.arange(len(v)) + np.repeat(4 * control_bounds[:-1] - bounds[:-1], counts)] = more
     quads = padded.reshape(-1, 4)
-    control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
-    raw = v.view(np.uint8).reshape(-1, 4)
-    return control.astype(np.uint8).tobytes(), raw[np.arange(4) <= more[:, None]].tobytes()
+    control = (quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6).astype(np.uint8)
+    data = v.view(np.uint8).reshape(-1, 4)[np.arange(4) <= more[:, None]]
+    ends = np.concatenate([[0], np.cumsum(more.astype(np.int64) + 1)])
+    return control, data, control_bounds, ends[bounds]
 
 
 def unpack(control: bytes, data: bytes, counts: np.ndarray) -> np.ndarray:
@@ -66,61 +68,51 @@ def unpack(control: bytes, data: bytes, counts: np.ndarray) -> np.ndarray:
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
-    The tokenizer makes any white space one space and drops it between words, so a text's ids are those of its words one after
-    another; each distinct word is encoded once as long as it is remembered. New words go to the library many at a time,
-    with a control character between them whose id no other text has.
+    The tokenizer makes any white space one space and drops it between words, and cuts words where letters, digits and marks
+    meet; so a text's ids are those of such runs one after another (of whole words where a word holds other bytes than
+    those known to behave so), and each distinct run is encoded once as long as it is remembered. New runs go to the library
+    many at a time, with a control character between them that has an id of its own.
     """
 
     MARK = "\x01"
 
     def __init__(self, path: str) -> None:
         import os
-        import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
         self.inner.encode_special_tokens = True
-        self.mark = np.array(self._ids(self.MARK), "<u4")
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.words = re.compile(r"[^\x20\x09-\x0D]+").findall
-        self.odd = re.compile("[\x1c-\x1f]").search  # str.split takes these for white space, the tokenizer doesn't
+        self.mark = self._ids(self.MARK)
+        self.memory = Memory(self._learn)
 
-    def _ids(self, text: str) -> list[int]:
-        return self.inner.encode_batch_fast([text], add_special_tokens=False)[0].ids
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.inner.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, raw: list[bytes]) -> list[np.ndarray]:
+        words, out = [x.decode() for x in raw], []
         for lo in range(0, len(words), 256):
             part = words[lo : lo + 256]
             if len(self.mark) == 1 and not any(self.MARK in w for w in part):
-                ids = np.array(self._ids(f" {self.MARK} ".join(part)), "<u4")
-                cuts = np.flatnonzero(ids == self.mark[0])
+                ids = self._ids(f" {self.MARK} ".join(part))
+                cuts = np.flatnonzero(ids == self.mark[0]).tolist()
                 if len(cuts) == len(part) - 1:
-                    raw = ids.tobytes()
-                    for w, a, b in zip(part, [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)]):
-                        self.new[w] = raw[a:b]
+                    out.extend(ids[a:b] for a, b in zip([0, *(c + 1 for c in cuts)], [*cuts, len(ids)]))
                     continue
-            for w in part:
-                self.new[w] = np.array(self._ids(w), "<u4").tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        words = [self.words(t) if self.odd(t) else t.split() for t in (t or "" for t in texts)]
-        if len(self.new) > REMEMBERED:
-            self.old, self.new = self.new, {}
-        known, old = self.new, self.old
-        fresh = []
-        for w in {w for ws in words for w in ws}:
-            if w not in known:
-                found = old.get(w)
-                if found is None:
-                    fresh.append(w)
-                else:
-                    known[w] = found
-        self._learn(fresh)
-        return [b"".join(map(known.__getitem__, ws)) for ws in words]
+            out.extend(map(self._ids, part))
+        return out
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and their bounds."""
+        data, offsets = buffers(texts)
+        found = classes(data, offsets)
+        start = runs(found, offsets)
+        end = np.append(start[1:], len(data))
+        word = found[start] != GAP
+        start, end = start[word], end[word]
+        ids, size = self.memory.lookup(hashes(data, start, end), data, start, end)
+        return ids, per_text(size, start, offsets)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -165,30 +157,32 @@ def write(docs: DataFrame, scratch: Scratch, path: str, end_id: int = END_ID) ->
 
     Documents are encoded once, into blocks by provisional ranks; all ids in these are counted, and blocks written anew by the
     final ranks. Shards are ranges of doc_id of about as many documents each; a shard's blocks follow one another. A null text
-    is empty (its end id alone); a null doc_id comes before all others; rows of one doc_id come in the order of their ids' hash.
+    is empty (its end id alone); a null doc_id comes before all others; rows of one doc_id come in the order of their texts' hash.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    sample = encoder(path).encode([r.text for r in docs.select(F.substring("text", 1, 4000).alias("text")).limit(PROVISIONAL_DOCS).collect()])
-    seen = np.bincount(np.frombuffer(b"".join(sample), "<u4"), minlength=max(encoder(path).inner.get_vocab_size(), end_id + 1))
+    sample = docs.select(F.substring("text", 1, 4000).alias("text")).limit(PROVISIONAL_DOCS).collect()
+    seen = np.bincount(encoder(path).encode(pa.array([r.text for r in sample], pa.string()))[0], minlength=max(encoder(path).inner.get_vocab_size(), end_id + 1))
     provisional = np.argsort(-seen, kind="stable").astype(np.uint32)
     n = partitions(spark)
     cuts = docs.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10000).alias("cuts")).first().cuts or []
     cuts = np.array(sorted(set(cuts)), np.int64)
-    end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank_of = inverse(provisional)
-        for batch in slices(batches):
-            ids = [np.frombuffer(b + end, "<u4") for b in encoder(path).encode(batch.column("text").to_pylist())]
-            packed = [pack(rank_of[x]) for x in ids]
+        for batch in slices(batches, most=1 << 20):
+            ids, bounds = encoder(path).encode(batch.column("text"))
+            ids = np.insert(ids, bounds[1:], end_id)
+            bounds = bounds + np.arange(len(bounds))
+            control, data, control_bounds, data_bounds = pack(rank_of[ids], bounds)
             doc = batch.column("doc_id")
             shard = np.searchsorted(cuts, np.asarray(pc.fill_null(doc, -(2**63))), "right").astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(shard), doc, pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()), pa.array([len(x) for x in ids], pa.int32()), pa.array([c for c, _ in packed], pa.binary()), pa.array([d for _, d in packed], pa.binary())],
+                [pa.array(shard), doc, batch.column("tie"), pa.array(np.diff(bounds).astype(np.int32)), binaries(control, control_bounds), binaries(data, data_bounds)],
                 ["shard", "doc_id", "tie", "n", "control", "data"],
             )
 
+    docs = docs.withColumn("tie", F.xxhash64("text"))
     coded = docs.mapInArrow(encode, "shard int, doc_id long, tie long, n int, control binary, data binary")
     coded = coded.repartition(n, "shard").sortWithinPartitions("shard", "doc_id", "tie").drop("tie")
     first, first_path = scratch.write(coded.mapInArrow(join_blocks, BLOCKS))
@@ -204,9 +198,8 @@ def write(docs: DataFrame, scratch: Scratch, path: str, end_id: int = END_ID) ->
                 row = batch.slice(i, 1)
                 counts = np.array(row.column("counts")[0].as_py(), np.int64)
                 values = rank_of[unpack(row.column("control")[0].as_py(), row.column("data")[0].as_py(), counts)]
-                ends = np.cumsum(counts).tolist()
-                packed = [pack(values[a:b]) for a, b in zip([0, *ends], ends)]
-                new = {"control": b"".join(c for c, _ in packed), "data": b"".join(d for _, d in packed)}
+                control, data, _, _ = pack(values, np.concatenate([[0], np.cumsum(counts)]))
+                new = {"control": control.tobytes(), "data": data.tobytes()}
                 yield pa.RecordBatch.from_arrays([pa.array([new[k]], pa.binary()) if k in new else row.column(k) for k in row.schema.names], row.schema.names)
 
     blocks = scratch.keep(first.mapInArrow(again, BLOCKS))
