@@ -8,6 +8,10 @@ candidates, and members of candidate groups, or of one group, are verified on wh
 The order's frequencies are counts in a table of fixed size (several shingles may share a counter), so what is sent to all
 tasks has a fixed size; any order is right, this one keeps passages that many documents share out of the prefixes.
 
+A set's sketch has a bit for each of a few hundred counters: whether an odd number of its shingles fall there. Two sketches
+differ in at most as many bits as the sets differ in shingles, so a pair whose sketches differ in more than the similarity
+allows needs no verification.
+
 What is asked for are classes of linked documents. So pairs are made in rounds: first neighbours in each list and each list's
 first entry with the others; then, only for lists that hold more than one component, all pairs across components. No
 link between components is missed, and no list of N copies becomes N * N pairs.
@@ -28,6 +32,8 @@ from .common import Scratch, Words, components, grams, mix64, partitions, signed
 COUNTERS, CHUNK = 1 << 20, 1 << 12
 #: Bytes kept of a shingle's hash when sets are compared; 2**-40 is the chance that two shingles agree by accident.
 KEPT = 5
+#: Words of 64 bits in a sketch.
+SKETCH = 8
 
 
 def shingles(words: Words, i: int, n: int) -> np.ndarray:
@@ -80,28 +86,30 @@ def frequency_classes(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, n: int, percent: int, classes: np.ndarray) -> DataFrame:
-    """uid, doc_id, n (size), set1, set2 (hashes of the whole set), prefix (hashes, in order)."""
+    """uid, doc_id, n (size), set1, set2 (hashes of the whole set), sketch, prefix (hashes, in order)."""
     shared = docs.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = shared.value
         for batch in slices(batches, most=4 << 20):
             words = Words(batch.column("text"), lower=True)
-            size, one, two, prefix = [], [], [], []
+            size, one, two, prefix, sketch = [], [], [], [], []
             for i in range(len(words)):
                 s = shingles(words, i, n)
                 size.append(len(s))
                 mixed = mix64(s)
                 one.append(int(mixed.sum(dtype=np.uint64)))
                 two.append(int(mix64(mixed + np.uint64(7)).sum(dtype=np.uint64)))
+                odd = np.bincount((mixed % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+                sketch.append(np.packbits(odd.astype(np.uint8)).view(np.int64).tolist())
                 k = len(s) - (percent * len(s) + 99) // 100 + 1 if len(s) else 0
                 prefix.append(s[np.argsort(classes[(s % np.uint64(COUNTERS)).astype(np.int64)], kind="stable")[:k]].tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("uid"), batch.column("doc_id"), pa.array(size, pa.int64()), signed(np.array(one, np.uint64)), signed(np.array(two, np.uint64)), pa.array(prefix, pa.binary())],
-                ["uid", "doc_id", "n", "set1", "set2", "prefix"],
+                [batch.column("uid"), batch.column("doc_id"), pa.array(size, pa.int64()), signed(np.array(one, np.uint64)), signed(np.array(two, np.uint64)), pa.array(sketch, pa.list_(pa.int64())), pa.array(prefix, pa.binary())],
+                ["uid", "doc_id", "n", "set1", "set2", "sketch", "prefix"],
             )
 
-    return docs.select("uid", "doc_id", "text").mapInArrow(run, "uid long, doc_id long, n long, set1 long, set2 long, prefix binary")
+    return docs.select("uid", "doc_id", "text").mapInArrow(run, "uid long, doc_id long, n long, set1 long, set2 long, sketch array<long>, prefix binary")
 
 
 def postings(leaders: DataFrame) -> DataFrame:
@@ -123,6 +131,24 @@ def postings(leaders: DataFrame) -> DataFrame:
     return leaders.select("uid", "n", "prefix").mapInArrow(run, "token long, uid long, n long, place int")
 
 
+def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in the order of token, those whose token comes more than once. Holds back one row at most."""
+    held, names = None, ["token", "uid", "n", "place"]
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch.select(names)])
+        if held is not None:
+            table = pa.concat_tables([held, table])
+        token = np.asarray(table.column("token"))
+        same = token[1:] == token[:-1]
+        keep = np.concatenate([[last is not None and token[0] == last], same]) | np.concatenate([same, [False]])
+        last = int(token[-1]) if keep[-1] else None
+        held = None if keep[-1] else table.slice(len(token) - 1)
+        yield from table.filter(pa.array(keep)).to_batches()
+
+
 def sets(docs: DataFrame, n: int) -> DataFrame:
     """uid, members: a document's shingles, sorted, KEPT bytes each."""
 
@@ -173,27 +199,32 @@ def _sizes_fit(a: str, b: str, percent: int):
     return (100 * F.least(a, b) >= percent * F.greatest(a, b))
 
 
+def _sketches_fit(x: str, y: str, percent: int):
+    """x and y have sketch and n: sets that are similar differ in at most this many shingles, and so in as many bits."""
+    bits = sum((F.bit_count(F.col(f"{x}.sketch")[i].bitwiseXOR(F.col(f"{y}.sketch")[i])) for i in range(1, SKETCH)), F.bit_count(F.col(f"{x}.sketch")[0].bitwiseXOR(F.col(f"{y}.sketch")[0])))
+    return bits * (100 + percent) <= (100 - percent) * (F.col(f"{x}.n") + F.col(f"{y}.n"))
+
+
 def near_lists(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs of neighbours in each list (key, uid, n), ordered by size, and of each list's first entry with the others."""
+    """Pairs of neighbours in each list (key, uid, n, sketch), ordered by size, and of each list's first entry with the others."""
     order = Window.partitionBy("key").orderBy("n", "uid")
-    chained = lists.withColumns({"p": F.lag("uid").over(order), "pn": F.lag("n").over(order)}).filter("p is not null")
-    chained = chained.filter(_sizes_fit("pn", "n", percent)).select(F.col("p").alias("a"), F.col("uid").alias("b"))
-    first = lists.groupBy("key").agg(F.min(F.struct("n", "uid")).alias("f"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    starred = lists.join(first, "key").filter("uid <> f.uid").filter(_sizes_fit("f.n", "n", percent))
-    starred = starred.select(F.col("f.uid").alias("a"), F.col("uid").alias("b"))
-    both = chained.union(starred)
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    every = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    y = F.struct("uid", "n", "sketch")
+    rows = lists.select(y.alias("y"), F.lag(y).over(order).alias("p"), F.first(y).over(every).alias("f"))
+    rows = rows.select("y", F.explode(F.array_distinct(F.array("p", "f"))).alias("x")).filter("x is not null and x.uid <> y.uid")
+    rows = rows.filter(_sizes_fit("x.n", "y.n", percent)).filter(_sketches_fit("x", "y", percent))
+    return rows.select(F.least("x.uid", "y.uid").alias("a"), F.greatest("x.uid", "y.uid").alias("b")).distinct()
 
 
 def across(lists: DataFrame, percent: int) -> DataFrame:
-    """All pairs of entries (key, uid, n, place, c) of one list, in different components c, whose sizes and places allow the
-    similarity: after a first common token, what is left of the shorter rest must make up the overlap."""
+    """All pairs of entries (key, uid, n, place, sketch, c) of one list, in different components c, whose sizes, places and
+    sketches allow the similarity: after a first common token, what is left of the shorter rest must make up the overlap."""
     mixed = lists.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
     open_lists = lists.join(mixed, "key", "left_semi")
     x, y = open_lists.alias("x"), open_lists.alias("y")
     fits = (F.col("x.c") != F.col("y.c")) & (F.col("x.uid") < F.col("y.uid")) & _sizes_fit("x.n", "y.n", percent)
     rest = 1 + F.least(F.col("x.n") - F.col("x.place") - 1, F.col("y.n") - F.col("y.place") - 1)
-    fits = fits & (rest * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n")))
+    fits = fits & (rest * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n"))) & _sketches_fit("x", "y", percent)
     return x.join(y, (F.col("x.key") == F.col("y.key")) & fits).select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct()
 
 
@@ -205,21 +236,22 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     repeated rows are documents of their own, linked as their sets are. Other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch, parts = Scratch(spark), partitions(spark)
     docs = with_uid(docs, scratch, "text")
-    coded = scratch.keep(prefixes(docs, n, percent, frequency_classes(docs, n)))
-    filled = coded.filter("n > 0")
-    classes = filled.groupBy("set1", "set2", "n").agg(F.min("uid").alias("rep"), F.first("prefix").alias("prefix"))
-    grouped = classes.withColumns({"p1": F.xxhash64("prefix"), "p2": F.md5("prefix")})
-    members = scratch.keep(grouped.select("p1", "p2", "n", F.col("rep").alias("uid")))
-    leaders = grouped.groupBy("p1", "p2", "n").agg(F.min(F.struct("rep", "prefix")).alias("m")).select(F.col("m.rep").alias("uid"), "n", F.col("m.prefix").alias("prefix"))
-    lists, lists_path = scratch.write(postings(leaders).withColumnRenamed("token", "key"))
-    shared = lists.groupBy("key").count().filter("count > 1").select("key")
-    lists = scratch.keep(lists.join(shared, "key", "left_semi"))
-    scratch.drop(lists_path)
+    coded = prefixes(docs, n, percent, frequency_classes(docs, n))
+    coded = scratch.keep(coded.withColumns({"p1": F.xxhash64("prefix"), "p2": F.xxhash64(F.lit(1), "prefix")}))
+    group = ["p1", "p2", "n"]
+    classes = scratch.keep(coded.filter("n > 0").groupBy("set1", "set2", *group).agg(F.min(F.struct("uid", "sketch")).alias("m")).select("set1", "set2", *group, F.col("m.uid").alias("uid"), F.col("m.sketch").alias("sketch")))
+    leaders = classes.groupBy(*group).agg(F.min("uid").alias("uid"), F.count(F.lit(1)).alias("k"))
+    tokens = postings(coded.select("uid", "n", "prefix").join(leaders.select("uid"), "uid", "left_semi"))
+    tokens = tokens.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(shared_keys, "token long, uid long, n long, place int")
+    sketches = classes.select("uid", "sketch")
+    lists = scratch.keep(tokens.withColumnRenamed("token", "key"))
     scratch.free()
-    inside = members.select(F.struct("p1", "p2", "n").alias("key"), "uid", "n")
-    pairs = scratch.keep(near_lists(lists, percent).union(near_lists(inside, percent)).distinct())
+    many = leaders.filter("k > 1").select(*group, F.col("uid").alias("lead"))
+    inside = scratch.keep(classes.join(many, group).select(F.struct(*group).alias("key"), "lead", "uid", "n", F.lit(0).alias("place"), "sketch"))
+    drawn = lists.join(sketches, "uid")
+    pairs = scratch.keep(near_lists(drawn, percent).union(near_lists(inside, percent)).distinct())
     links = scratch.keep(verified(pairs, docs, n, percent))
     found = scratch.keep(components(links, scratch))
     scratch.free()
@@ -227,16 +259,15 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     def labelled(rows: DataFrame) -> DataFrame:
         return rows.join(found.withColumnRenamed("node", "uid"), "uid", "left").withColumn("c", F.coalesce("component", "uid")).drop("component")
 
-    # a list of groups stands for all their members: their components are compared member by member where groups meet
-    many = inside.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("uid").alias("lead")).filter("k > 1").select("key", "lead")
-    others = inside.join(many, "key").select("lead", "uid").filter("lead <> uid")
-    full = lists.unionByName(lists.join(others.withColumnRenamed("uid", "other"), F.col("uid") == F.col("lead")).select("key", F.col("other").alias("uid"), "n", "place"))
-    rest = across(labelled(full), percent).union(across(labelled(inside.join(many.select("key"), "key", "left_semi")).withColumn("place", F.lit(0)), percent))
+    # a list of groups stands for all their members: these are compared one by one where components differ
+    others = inside.filter("lead <> uid").select(F.col("lead").alias("l"), F.col("uid").alias("other"), F.col("sketch").alias("own"))
+    full = drawn.unionByName(lists.join(others, F.col("uid") == F.col("l")).select("key", F.col("other").alias("uid"), "n", "place", F.col("own").alias("sketch")))
+    rest = across(labelled(full), percent).union(across(labelled(inside.drop("lead")), percent))
     rest = scratch.keep(rest.distinct().join(pairs, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         links = links.union(scratch.keep(verified(rest, docs, n, percent)))
         found = components(links, scratch)
-    same = classes.select("set1", "set2", "n", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set1", "set2", "n", F.coalesce("component", "rep").alias("component"))
+    same = classes.select("set1", "set2", "n", "uid").join(found.withColumnRenamed("node", "uid"), "uid", "left").select("set1", "set2", "n", F.coalesce("component", "uid").alias("component"))
     out = coded.select("uid", "doc_id", "n", "set1", "set2").join(same, ["set1", "set2", "n"], "left")
     out = out.select("uid", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "uid").alias("c"))
     ids = coded.select(F.col("uid").alias("c"), F.col("doc_id").alias("component_id"))
