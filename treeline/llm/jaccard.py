@@ -13,8 +13,9 @@ differ in at most as many bits as the sets differ in shingles, so a pair whose s
 allows needs no verification.
 
 What is asked for are classes of linked documents. So pairs are made in rounds: first neighbours in each list and each list's
-first entry with the others; then, only for lists that hold more than one component, all pairs across components. No
-link between components is missed, and no list of N copies becomes N * N pairs.
+first entry with the others; then, only for lists that still hold more than one component, neighbours in random orders
+that are in different components; last all pairs across components of such lists. No link between components is missed,
+and no list of N copies becomes N * N pairs.
 """
 
 from __future__ import annotations
@@ -33,7 +34,12 @@ COUNTERS, CHUNK = 1 << 20, 1 << 12
 #: Bytes kept of a shingle's hash when sets are compared; 2**-40 is the chance that two shingles agree by accident.
 KEPT = 5
 #: Words of 64 bits in a sketch.
-SKETCH = 8
+SKETCH = 16
+#: Bits, a power of two, of the map of documents whose sets are needed (others with the same bit are computed in vain), and
+#: bytes of it in one row.
+MAP_BITS, MAP_PART = 24, 1 << 13
+#: Rounds that try random pairs across components before all are tried.
+RANDOM_ROUNDS = 3
 
 
 def shingles(words: Words, i: int, n: int) -> np.ndarray:
@@ -149,11 +155,53 @@ def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from table.filter(pa.array(keep)).to_batches()
 
 
-def sets(docs: DataFrame, n: int) -> DataFrame:
-    """uid, members: a document's shingles, sorted, KEPT bytes each."""
+def _bit(uid: np.ndarray) -> np.ndarray:
+    return (mix64(uid.view(np.uint64)) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+
+
+def bit_map(uids: DataFrame) -> np.ndarray:
+    """A map of fixed size with the bits of all uids set."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << (MAP_BITS - 3), np.uint8)
+        for batch in batches:
+            at = _bit(np.asarray(batch.column(0), np.int64))
+            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        parts = bits.reshape(-1, MAP_PART)
+        used = np.flatnonzero(parts.any(axis=1))
+        if len(used):
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([parts[i].tobytes() for i in used], pa.binary())], ["part", "bits"])
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, own = None, None
+        for batch in batches:
+            for p, raw in zip(batch.column("part").to_pylist(), batch.column("bits").to_pylist()):
+                if p != part:
+                    if own is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([own.tobytes()], pa.binary())], ["part", "bits"])
+                    part, own = p, np.zeros(MAP_PART, np.uint8)
+                own |= np.frombuffer(raw, np.uint8)
+        if own is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([own.tobytes()], pa.binary())], ["part", "bits"])
+
+    schema = "part int, bits binary"
+    rows = uids.mapInArrow(mark, schema).repartition(partitions(uids.sparkSession), "part").sortWithinPartitions("part").mapInArrow(unite, schema)
+    out = np.zeros(1 << (MAP_BITS - 3), np.uint8)
+    for r in rows.collect():  # 2**(MAP_BITS - 3) bytes in all
+        out[r.part * MAP_PART : (r.part + 1) * MAP_PART] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def sets(docs: DataFrame, n: int, wanted: np.ndarray) -> DataFrame:
+    """uid, members (shingles, sorted, KEPT bytes each) of the documents whose bit is set; texts stay where they are read."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=4 << 20):
+            at = _bit(np.asarray(batch.column("uid"), np.int64))
+            batch = batch.filter(pa.array((shared.value[at >> 3] >> (at & 7) & 1).astype(bool)))
+            if not batch.num_rows:
+                continue
             words = Words(batch.column("text"), lower=True)
             out = [np.ascontiguousarray(shingles(words, i, n).astype(">u8").view(np.uint8).reshape(-1, 8)[:, :KEPT]).tobytes() for i in range(len(words))]
             yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(out, pa.binary())], ["uid", "members"])
@@ -187,9 +235,8 @@ def similar(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
 
 
 def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Of pairs (a, b), those whose sets are similar. Only the texts of documents in pairs become sets."""
-    named = pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct()
-    own = sets(docs.join(named, "uid", "left_semi"), n)
+    """Of pairs (a, b), those whose sets are similar. Only documents in pairs, by a bit map of them, become sets."""
+    own = sets(docs, n, bit_map(pairs.select("a").union(pairs.select("b"))))
     rows = pairs.join(own.select(F.col("uid").alias("b"), F.col("members").alias("set_b")), "b")
     rows = rows.join(own.select(F.col("uid").alias("a"), F.col("members").alias("set_a")), "a")
     return rows.select("a", "set_a", "b", "set_b").mapInArrow(lambda batches: similar(batches, percent), "a long, b long")
@@ -206,22 +253,42 @@ def _sketches_fit(x: str, y: str, percent: int):
 
 
 def near_lists(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs of neighbours in each list (key, uid, n, sketch), ordered by size, and of each list's first entry with the others."""
+    """Pairs of neighbours in each list (key, uid, n), ordered by size, and of each list's first entry with the others."""
     order = Window.partitionBy("key").orderBy("n", "uid")
     every = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    y = F.struct("uid", "n", "sketch")
+    y = F.struct("uid", "n")
     rows = lists.select(y.alias("y"), F.lag(y).over(order).alias("p"), F.first(y).over(every).alias("f"))
     rows = rows.select("y", F.explode(F.array_distinct(F.array("p", "f"))).alias("x")).filter("x is not null and x.uid <> y.uid")
-    rows = rows.filter(_sizes_fit("x.n", "y.n", percent)).filter(_sketches_fit("x", "y", percent))
+    return _pairs(rows.filter(_sizes_fit("x.n", "y.n", percent)))
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
     return rows.select(F.least("x.uid", "y.uid").alias("a"), F.greatest("x.uid", "y.uid").alias("b")).distinct()
 
 
+def likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose sketches (uid, n, sketch) allow the similarity."""
+    for side in ("a", "b"):
+        pairs = pairs.join(sketches.select(F.col("uid").alias(side), F.struct("n", "sketch").alias(f"x{side}")), side)
+    return pairs.filter(_sketches_fit("xa", "xb", percent)).select("a", "b")
+
+
+def open_lists(lists: DataFrame) -> DataFrame:
+    """Lists (key, uid, c) that hold more than one component."""
+    return lists.join(lists.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key"), "key", "left_semi")
+
+
+def random_neighbours(lists: DataFrame, seed: int, percent: int) -> DataFrame:
+    """Pairs of neighbours in a random order of each list (key, uid, n, c) that are in different components."""
+    y = F.struct("uid", "n", "c")
+    rows = lists.select(y.alias("y"), F.lag(y).over(Window.partitionBy("key").orderBy(F.xxhash64("uid", "key", F.lit(seed)), "uid")).alias("x"))
+    return _pairs(rows.filter("x.c <> y.c").filter(_sizes_fit("x.n", "y.n", percent)))
+
+
 def across(lists: DataFrame, percent: int) -> DataFrame:
     """All pairs of entries (key, uid, n, place, sketch, c) of one list, in different components c, whose sizes, places and
     sketches allow the similarity: after a first common token, what is left of the shorter rest must make up the overlap."""
-    mixed = lists.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
-    open_lists = lists.join(mixed, "key", "left_semi")
-    x, y = open_lists.alias("x"), open_lists.alias("y")
+    x, y = lists.alias("x"), lists.alias("y")
     fits = (F.col("x.c") != F.col("y.c")) & (F.col("x.uid") < F.col("y.uid")) & _sizes_fit("x.n", "y.n", percent)
     rest = 1 + F.least(F.col("x.n") - F.col("x.place") - 1, F.col("y.n") - F.col("y.place") - 1)
     fits = fits & (rest * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n"))) & _sketches_fit("x", "y", percent)
@@ -235,9 +302,27 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     is the one shingle. Words are runs of non-separators with A-Z lower-cased. Null doc_ids come last in the order of ids;
     repeated rows are documents of their own, linked as their sets are. Other columns are ignored; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    scratch, parts = Scratch(spark), partitions(spark)
-    docs = with_uid(docs, scratch, "text")
+    scratch = Scratch(docs.sparkSession)
+    found = linked(with_uid(docs, scratch, "text"), scratch, n, percent)
+    ids = found.select(F.col("uid").alias("c"), F.col("doc_id").alias("component_id"))
+    return found.join(ids, "c").select("doc_id", "n_shingles", "component_id")
+
+
+def without_near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, columns as they are, of which no row before them in the order of doc_id is in their component. Nulls and
+    repeats as in join()."""
+    scratch = Scratch(docs.sparkSession)
+    columns = docs.columns
+    held = docs.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(columns)], F.col("doc_id"), F.col("text"))
+    keyed = with_uid(held, scratch, *[f"__{i}" for i in range(len(columns))], "text")
+    found = linked(keyed.select("uid", "doc_id", "text"), scratch, n, percent)
+    copies = scratch.keep(found.filter("uid <> c").select("uid"))
+    return keyed.join(copies, "uid", "left_anti").select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(columns)])
+
+
+def linked(docs: DataFrame, scratch: Scratch, n: int, percent: int) -> DataFrame:
+    """uid, doc_id, text -> uid, doc_id, n_shingles, c (the least uid of the component)."""
+    parts = partitions(docs.sparkSession)
     coded = prefixes(docs, n, percent, frequency_classes(docs, n))
     coded = scratch.keep(coded.withColumns({"p1": F.xxhash64("prefix"), "p2": F.xxhash64(F.lit(1), "prefix")}))
     group = ["p1", "p2", "n"]
@@ -245,33 +330,35 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     leaders = classes.groupBy(*group).agg(F.min("uid").alias("uid"), F.count(F.lit(1)).alias("k"))
     tokens = postings(coded.select("uid", "n", "prefix").join(leaders.select("uid"), "uid", "left_semi"))
     tokens = tokens.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(shared_keys, "token long, uid long, n long, place int")
-    sketches = classes.select("uid", "sketch")
+    sketches = classes.select("uid", "n", "sketch")
     lists = scratch.keep(tokens.withColumnRenamed("token", "key"))
     scratch.free()
+    # a list of groups stands for all their members, and a group's members are a list of their own
     many = leaders.filter("k > 1").select(*group, F.col("uid").alias("lead"))
-    inside = scratch.keep(classes.join(many, group).select(F.struct(*group).alias("key"), "lead", "uid", "n", F.lit(0).alias("place"), "sketch"))
-    drawn = lists.join(sketches, "uid")
-    pairs = scratch.keep(near_lists(drawn, percent).union(near_lists(inside, percent)).distinct())
-    links = scratch.keep(verified(pairs, docs, n, percent))
+    inside = scratch.keep(classes.join(many, group).select(F.xxhash64(F.lit(1), *group).alias("key"), "lead", "uid", "n"))
+    own = inside.select("key", "uid", "n", F.lit(0).alias("place"))
+    others = inside.filter("lead <> uid").select(F.col("lead").alias("l"), F.col("uid").alias("other"))
+    members = lists.join(others, F.col("uid") == F.col("l")).select("key", F.col("other").alias("uid"), "n", "place")
+    tried = scratch.keep(likely(near_lists(lists, percent).union(near_lists(own, percent)).distinct(), sketches, percent))
+    links = scratch.keep(verified(tried, docs, n, percent))
     found = scratch.keep(components(links, scratch))
     scratch.free()
-
-    def labelled(rows: DataFrame) -> DataFrame:
-        return rows.join(found.withColumnRenamed("node", "uid"), "uid", "left").withColumn("c", F.coalesce("component", "uid")).drop("component")
-
-    # a list of groups stands for all their members: these are compared one by one where components differ
-    others = inside.filter("lead <> uid").select(F.col("lead").alias("l"), F.col("uid").alias("other"), F.col("sketch").alias("own"))
-    full = drawn.unionByName(lists.join(others, F.col("uid") == F.col("l")).select("key", F.col("other").alias("uid"), "n", "place", F.col("own").alias("sketch")))
-    rest = across(labelled(full), percent).union(across(labelled(inside.drop("lead")), percent))
-    rest = scratch.keep(rest.distinct().join(pairs, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        links = links.union(scratch.keep(verified(rest, docs, n, percent)))
-        found = components(links, scratch)
+    left = lists.union(members).union(own)
+    for turn in range(RANDOM_ROUNDS + 1):
+        left = left.select("key", "uid", "n", "place").join(found.withColumnRenamed("node", "uid"), "uid", "left")
+        left = scratch.keep(open_lists(left.withColumn("c", F.coalesce("component", "uid")).drop("component")))
+        if turn < RANDOM_ROUNDS:
+            pairs = likely(random_neighbours(left, turn, percent), sketches, percent)
+        else:
+            pairs = across(left.join(sketches.drop("n"), "uid"), percent)
+        pairs = scratch.keep(pairs.join(tried, ["a", "b"], "left_anti"))
+        if not pairs.isEmpty():
+            tried = tried.union(pairs)
+            links = links.union(scratch.keep(verified(pairs, docs, n, percent)))
+            found = scratch.keep(components(links, scratch))
     same = classes.select("set1", "set2", "n", "uid").join(found.withColumnRenamed("node", "uid"), "uid", "left").select("set1", "set2", "n", F.coalesce("component", "uid").alias("component"))
     out = coded.select("uid", "doc_id", "n", "set1", "set2").join(same, ["set1", "set2", "n"], "left")
-    out = out.select("uid", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "uid").alias("c"))
-    ids = coded.select(F.col("uid").alias("c"), F.col("doc_id").alias("component_id"))
-    return out.join(ids, "c").select("doc_id", "n_shingles", "component_id", "uid")
+    return out.select("uid", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "uid").alias("c"))
 
 
 def op5_jaccard_join(spark, sf_dir):
