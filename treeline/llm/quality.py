@@ -213,23 +213,19 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_DOCS) -> Field:
     return train(bins, bounds, np.array([q for _, q, _ in found], np.int64))
 
 
-def score(docs: DataFrame, field: Field) -> DataFrame:
-    """The rows of docs with score (double) added."""
+def score(docs: DataFrame, field: Field, name: str = "score") -> DataFrame:
+    """The rows of docs with a column of this name (double) added."""
+    from pyspark.sql import types as T
+
     shared = docs.sparkSession.sparkContext.broadcast(field)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=4 << 20):
             values = shared.value.quality(Lines(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], [*names, "score"])
-
-    return docs.mapInArrow(run, _with_score(docs))
-
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], [*names, name])
 
-def _with_score(docs: DataFrame):
-    from pyspark.sql import types as T
-
-    return T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -242,5 +238,13 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs with a score of THRESHOLD or more, columns as they are. The score's column has a name that docs lacks."""
+    name = "score"
+    while name in docs.columns:
+        name = f"_{name}"
+    return score(docs, fit(docs, labels), name).filter(F.col(name) >= THRESHOLD).drop(name)
+
+
 def op6_quality(spark, sf_dir):
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
