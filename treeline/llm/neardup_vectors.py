@@ -170,11 +170,13 @@ def placed(reps: DataFrame, n: int, overlap: int) -> DataFrame:
                 units = _unit_rows(batch.take(pa.array(at)))
                 cells = nearest(units, first[dim], overlap)
                 for i, u, own in zip(at.tolist(), units, cells.tolist()):
-                    names = set()
-                    for c in own:
-                        inner = nearest(u[None], second[dim][c], overlap)[0].tolist() if dim in second else [0]
-                        names |= {(dim * MOST_CELLS + c) * MOST_CELLS + x for x in inner}
-                    names = sorted(names)
+                    if dim in second:  # the nearest of all inner cells of these cells
+                        inner = [(c, x) for c in own for x in range(len(second[dim][c]))]
+                        chosen = nearest(u[None], np.concatenate([second[dim][c] for c in own]), overlap)[0].tolist()
+                        pairs = [inner[k] for k in chosen]
+                    else:
+                        pairs = [(c, 0) for c in own]
+                    names = sorted((dim * MOST_CELLS + c) * MOST_CELLS + x for c, x in pairs)
                     shard.extend(names)
                     source.extend([i] * len(names))
                     lists.extend([names] * len(names))
