@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeline.llm import byte_bpe, jaccard, mixing, pii, quality
-from treeline.llm.common import Scratch, small_batches, table
+from treeline.llm.common import Scratch, table
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -23,7 +23,6 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a Jaccard similarity of 0.8 on five words."""
-    small_batches(spark)
     return jaccard.without_near_copies(docs, n=5, percent=80)
 
 
@@ -41,7 +40,6 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids of each document of the mix."""
     import public_tokenizers
 
-    small_batches(spark)
     return byte_bpe.encode(docs, public_tokenizers.path(byte_bpe.RANKS), public_tokenizers.PATTERN)
 
 
