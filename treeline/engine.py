@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 
-from .functions.stats import Statistics, collect
+from .functions.stats import Statistics, collect_all
 from .operators.relation import check_names
 from .operators.yannakakis import Tree, Yannakakis
 from .plans.cost import Evaluator
@@ -17,8 +17,8 @@ from .streaming import stream
 
 
 def statistics(tables: Mapping[str, DataFrame], approximate: float | None = None) -> dict[str, Statistics]:
-    """One aggregation for each table."""
-    return {e: collect(df, approximate=approximate) for e, df in tables.items()}
+    """One aggregation for each table, all in one job, and a row for each on the driver."""
+    return collect_all(tables, approximate) if tables else {}
 
 
 def check(graph: Hypergraph, tables: Mapping[str, DataFrame]) -> None:

@@ -7,8 +7,9 @@ is made only for columns with at most HELD distinct values, which is checked fir
 from __future__ import annotations
 
 import dataclasses
+import functools
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -93,6 +94,14 @@ def collect(df: DataFrame, histograms: bool = False, approximate: float | None =
     return Statistics(row["size"], ndv, held)
 
 
+def collect_all(tables: Mapping[str, DataFrame], approximate: float | None = None) -> dict[str, Statistics]:
+    """Sizes and distinct counts of several tables in one job."""
+    names = list(tables)
+    rows = [size_and_ndv(tables[n], approximate).select(F.lit(i).alias("i"), "size", F.array(*[f"ndv_{c}" for c in tables[n].columns]).alias("ndv")) for i, n in enumerate(names)]
+    found = functools.reduce(DataFrame.union, rows).collect()
+    return {names[r.i]: Statistics(r["size"], dict(zip(tables[names[r.i]].columns, r.ndv))) for r in found}
+
+
 # --- estimates ---------------------------------------------------------------------------------------------------------
 
 

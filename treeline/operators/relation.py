@@ -6,7 +6,6 @@ sides have. Results always have an explicit column order: the left side's column
 
 from __future__ import annotations
 
-import functools
 import logging
 from collections.abc import Iterable, Sequence
 
@@ -133,7 +132,3 @@ def same_bag(a: DataFrame, b: DataFrame) -> bool:
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
     """For small relations: the same attributes in the same order and the same rows, sorted."""
     return a.columns == b.columns and sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
-
-
-def union_all(frames: Sequence[DataFrame]) -> DataFrame:
-    return functools.reduce(DataFrame.unionByName, frames)

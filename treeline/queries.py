@@ -37,6 +37,7 @@ TRIANGLE = {
 #: Relative error of distinct counts that plans are chosen by.
 ROUGHLY = 0.05
 
+# The rows of the three test cases of the evaluator, whose answers are known.
 CASE1 = """\
 r,d,Y,P
 t,3,8
