@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Vectors that centres are fitted on, at most, and centres of one level, at most.
+#: Vectors that centres are fitted on, at most (those with the least hash of their key), and centres of one level, at most.
 SAMPLE, MOST_CELLS = 4096, 64
 
 
-def finite(column: str) -> F.Column:
+def finite(column: str) -> Column:
     """Whether an array is there, not empty, and holds finite numbers only."""
     good = F.forall(F.col(column), lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     return F.coalesce((F.size(column) > 0) & good, F.lit(False))
@@ -30,12 +30,6 @@ def centres(vectors: np.ndarray, k: int, rounds: int = 4) -> np.ndarray:
     return own
 
 
-def sample(rows: DataFrame, column: str, by: str, most: int = SAMPLE) -> list[np.ndarray]:
-    """Vectors of the rows with the least hash of a key, at most so many."""
-    got = rows.orderBy(F.xxhash64(by), by).select(column).limit(most).collect()
-    return [np.array(r[0], np.float64) for r in got]
-
-
 def nearest(vectors: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
     """The k nearest centres of each vector, nearest first."""
     near = vectors @ own.T - 0.5 * (own**2).sum(axis=1)

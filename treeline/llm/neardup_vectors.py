@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cells import MOST_CELLS, centres, finite, nearest
+from .cells import MOST_CELLS, SAMPLE, centres, finite, nearest
 from .common import Scratch, components, table, with_uid
 
 SIMILAR = 0.9
@@ -86,7 +86,7 @@ def links(units: np.ndarray, level: float, depth: int = 0) -> np.ndarray:
         return np.zeros((0, 2), np.int64)
     if m > LARGEST and depth < 8:
         k = min(MOST_CELLS, -(-2 * m // LARGEST))
-        own = nearest(units, centres(units[np.linspace(0, m - 1, min(m, 4096)).astype(int)], k), OVERLAP)
+        own = nearest(units, centres(units[np.linspace(0, m - 1, min(m, SAMPLE)).astype(int)], k), OVERLAP)
         sizes = [np.flatnonzero((own == c).any(axis=1)) for c in range(k)]
         if max(map(len, sizes)) < m:
             parts = [s[links(units[s], level, depth + 1)] for s in sizes if len(s) > 1]
@@ -151,7 +151,7 @@ def placed(reps: DataFrame, n: int, overlap: int) -> DataFrame:
     second: dict[int, list[np.ndarray]] = {}
     spark = reps.sparkSession
     for dim in [r.dim for r in reps.select("dim").distinct().collect()]:  # lengths of vectors
-        fitted = np.stack([np.frombuffer(r.unit, np.float64) for r in reps.filter(F.col("dim") == dim).orderBy(F.xxhash64("uid"), "uid").select("unit").limit(4096).collect()])
+        fitted = np.stack([np.frombuffer(r.unit, np.float64) for r in reps.filter(F.col("dim") == dim).orderBy(F.xxhash64("uid"), "uid").select("unit").limit(SAMPLE).collect()])
         k = max(1, min(MOST_CELLS, -(-n * overlap // SHARD)))
         first[dim] = centres(fitted, k)
         if n * overlap > MOST_CELLS * SHARD:

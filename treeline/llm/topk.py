@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cells import MOST_CELLS, centres, finite, nearest
+from .cells import MOST_CELLS, SAMPLE, centres, finite, nearest
 from .common import Scratch, table, with_uid
 
 K, SCALE, EVERY = 10, 1024, 100
@@ -110,7 +110,7 @@ def _sharded(rows: DataFrame, n: int) -> DataFrame:
     """rows with cell and shard."""
     own: dict[int, np.ndarray] = {}
     for dim in [r.dim for r in rows.select("dim").distinct().collect()]:  # lengths of vectors
-        fitted = np.stack([np.frombuffer(r.v, np.float64) for r in rows.filter(F.col("dim") == dim).orderBy(F.xxhash64("uid"), "uid").select("v").limit(4096).collect()])
+        fitted = np.stack([np.frombuffer(r.v, np.float64) for r in rows.filter(F.col("dim") == dim).orderBy(F.xxhash64("uid"), "uid").select("v").limit(SAMPLE).collect()])
         own[dim] = centres(fitted, max(1, min(MOST_CELLS, -(-n // SHARD))))
     shared = rows.sparkSession.sparkContext.broadcast(own)
 
