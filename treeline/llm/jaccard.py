@@ -2,8 +2,9 @@
 
 Documents with the same set of shingles are one class. Every class's shingles are put in one order, rare ones first; two
 sets as similar as asked share a shingle among the first few of each (the prefix). Classes with the same prefix and size
-form a group; groups that share a token of their prefixes at places and with sizes that allow the similarity are
-candidates, and members of candidate groups, or of one group, are verified on whole sets.
+form a group; groups that share a token of their prefixes, with sizes that allow the similarity, are candidates, and members
+of candidate groups, or of one group, are verified on whole sets. Tokens that the same groups have (a pair of near
+copies shares dozens) are one list.
 
 The order's frequencies are counts in a table of fixed size (several shingles may share a counter), so what is sent to all
 tasks has a fixed size; any order is right, this one keeps passages that many documents share out of the prefixes.
@@ -38,6 +39,8 @@ SKETCH = 16
 #: Bits, a power of two, of the map of documents whose sets are needed (others with the same bit are computed in vain), and
 #: bytes of it in one row.
 MAP_BITS, MAP_PART = 24, 1 << 13
+#: Rows of a list that is held to see whether another token has the same ones.
+LONG = 1 << 16
 #: Rounds that try random pairs across components before all are tried.
 RANDOM_ROUNDS = 3
 
@@ -119,7 +122,7 @@ def prefixes(docs: DataFrame, n: int, percent: int, classes: np.ndarray) -> Data
 
 
 def postings(leaders: DataFrame) -> DataFrame:
-    """uid, n, prefix -> token, uid, n, place."""
+    """uid, prefix -> token, uid."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,32 +130,60 @@ def postings(leaders: DataFrame) -> DataFrame:
                 continue
             lengths = np.asarray(pa.compute.binary_length(batch.column("prefix")), np.int64) // 8
             tokens = np.frombuffer(b"".join(batch.column("prefix").to_pylist()), np.int64)
-            ends = np.cumsum(lengths)
-            place = np.arange(len(tokens)) - np.repeat(ends - lengths, lengths)
-            uid, size = (np.repeat(np.asarray(batch.column(c)), lengths) for c in ("uid", "n"))
+            uid = np.repeat(np.asarray(batch.column("uid")), lengths)
             for lo in range(0, len(tokens), 1 << 16):
                 part = slice(lo, lo + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(tokens[part]), pa.array(uid[part]), pa.array(size[part]), pa.array(place[part].astype(np.int32))], ["token", "uid", "n", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(tokens[part]), pa.array(uid[part])], ["token", "uid"])
 
-    return leaders.select("uid", "n", "prefix").mapInArrow(run, "token long, uid long, n long, place int")
+    return leaders.select("uid", "prefix").mapInArrow(run, "token long, uid long")
 
 
-def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in the order of token, those whose token comes more than once. Holds back one row at most."""
-    held, names = None, ["token", "uid", "n", "place"]
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in the order of token, those whose token comes more than once, as key, uid: the key is a hash of all the token's
+    uids, so that tokens with the same ones give the same list. A list of more than LONG rows has a key of its own and passes
+    through; no more than that is held."""
+
+    def rows(key: np.ndarray, uid: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([signed(key), pa.array(uid)], ["key", "uid"])
+
+    token, uid, long = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+    for batch in _and_end(batches):
+        if batch is not None:
+            if not batch.num_rows:
+                continue
+            token = np.concatenate([token, np.asarray(batch.column("token"))])
+            uid = np.concatenate([uid, np.asarray(batch.column("uid"))])
+        if long is not None and len(token):  # the rest of a long list
+            n = int(np.searchsorted(token != long, True)) if token[-1] != long else len(token)
+            if n:
+                yield rows(np.full(n, _own_key(long)), uid[:n])
+            token, uid, long = token[n:], uid[n:], long if n and not len(token[n:]) else None
+        if not len(token):
             continue
-        table = pa.Table.from_batches([batch.select(names)])
-        if held is not None:
-            table = pa.concat_tables([held, table])
-        token = np.asarray(table.column("token"))
-        same = token[1:] == token[:-1]
-        keep = np.concatenate([[last is not None and token[0] == last], same]) | np.concatenate([same, [False]])
-        last = int(token[-1]) if keep[-1] else None
-        held = None if keep[-1] else table.slice(len(token) - 1)
-        yield from table.filter(pa.array(keep)).to_batches()
+        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        end = len(token) if batch is None else int(starts[-1])
+        if end:
+            starts = starts[starts < end]
+            counts = np.diff(np.append(starts, end))
+            sums = np.add.reduceat(mix64(uid[:end].view(np.uint64) + np.uint64(1)), starts)
+            key = np.where(counts > LONG, _own_key(token[starts]), mix64(sums ^ counts.astype(np.uint64)))
+            keep = np.repeat(counts > 1, counts)
+            if keep.any():
+                yield rows(np.repeat(key, counts)[keep], uid[:end][keep])
+        token, uid = token[end:], uid[end:]
+        if len(token) > LONG:
+            long = token[0]
+            yield rows(np.full(len(token), _own_key(long)), uid)
+            token, uid = token[:0], uid[:0]
+
+
+def _own_key(token) -> np.ndarray:
+    return mix64(np.asarray(token, np.int64).reshape(-1).view(np.uint64) + np.uint64(3)) if np.ndim(token) else mix64(np.asarray([token], np.int64).view(np.uint64) + np.uint64(3))[0]
+
+
+def _and_end(batches):
+    yield from batches
+    yield None
 
 
 def _bit(uid: np.ndarray) -> np.ndarray:
@@ -286,12 +317,10 @@ def random_neighbours(lists: DataFrame, seed: int, percent: int) -> DataFrame:
 
 
 def across(lists: DataFrame, percent: int) -> DataFrame:
-    """All pairs of entries (key, uid, n, place, sketch, c) of one list, in different components c, whose sizes, places and
-    sketches allow the similarity: after a first common token, what is left of the shorter rest must make up the overlap."""
+    """All pairs of entries (key, uid, n, sketch, c) of one list, in different components c, whose sizes and sketches allow the
+    similarity."""
     x, y = lists.alias("x"), lists.alias("y")
-    fits = (F.col("x.c") != F.col("y.c")) & (F.col("x.uid") < F.col("y.uid")) & _sizes_fit("x.n", "y.n", percent)
-    rest = 1 + F.least(F.col("x.n") - F.col("x.place") - 1, F.col("y.n") - F.col("y.place") - 1)
-    fits = fits & (rest * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n"))) & _sketches_fit("x", "y", percent)
+    fits = (F.col("x.c") != F.col("y.c")) & (F.col("x.uid") < F.col("y.uid")) & _sizes_fit("x.n", "y.n", percent) & _sketches_fit("x", "y", percent)
     return x.join(y, (F.col("x.key") == F.col("y.key")) & fits).select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct()
 
 
@@ -328,24 +357,25 @@ def linked(docs: DataFrame, scratch: Scratch, n: int, percent: int) -> DataFrame
     group = ["p1", "p2", "n"]
     classes = scratch.keep(coded.filter("n > 0").groupBy("set1", "set2", *group).agg(F.min(F.struct("uid", "sketch")).alias("m")).select("set1", "set2", *group, F.col("m.uid").alias("uid"), F.col("m.sketch").alias("sketch")))
     leaders = classes.groupBy(*group).agg(F.min("uid").alias("uid"), F.count(F.lit(1)).alias("k"))
-    tokens = postings(coded.select("uid", "n", "prefix").join(leaders.select("uid"), "uid", "left_semi"))
-    tokens = tokens.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(shared_keys, "token long, uid long, n long, place int")
+    tokens = postings(coded.select("uid", "prefix").join(leaders.select("uid"), "uid", "left_semi"))
+    tokens = tokens.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(gathered, "key long, uid long")
     sketches = classes.select("uid", "n", "sketch")
-    lists = scratch.keep(tokens.withColumnRenamed("token", "key"))
+    lists = scratch.keep(tokens.distinct())
     scratch.free()
     # a list of groups stands for all their members, and a group's members are a list of their own
     many = leaders.filter("k > 1").select(*group, F.col("uid").alias("lead"))
     inside = scratch.keep(classes.join(many, group).select(F.xxhash64(F.lit(1), *group).alias("key"), "lead", "uid", "n"))
-    own = inside.select("key", "uid", "n", F.lit(0).alias("place"))
-    others = inside.filter("lead <> uid").select(F.col("lead").alias("l"), F.col("uid").alias("other"))
-    members = lists.join(others, F.col("uid") == F.col("l")).select("key", F.col("other").alias("uid"), "n", "place")
-    tried = scratch.keep(likely(near_lists(lists, percent).union(near_lists(own, percent)).distinct(), sketches, percent))
+    own = inside.select("key", "uid", "n")
+    others = inside.filter("lead <> uid").select(F.col("lead").alias("l"), F.col("uid").alias("other"), "n")
+    sized = scratch.keep(lists.join(sketches.select("uid", "n"), "uid").select("key", "uid", "n"))
+    members = sized.select("key", "uid").join(others, F.col("uid") == F.col("l")).select("key", F.col("other").alias("uid"), "n")
+    tried = scratch.keep(likely(near_lists(sized, percent).union(near_lists(own, percent)).distinct(), sketches, percent))
     links = scratch.keep(verified(tried, docs, n, percent))
     found = scratch.keep(components(links, scratch))
     scratch.free()
-    left = lists.union(members).union(own)
+    left = sized.union(members).union(own)
     for turn in range(RANDOM_ROUNDS + 1):
-        left = left.select("key", "uid", "n", "place").join(found.withColumnRenamed("node", "uid"), "uid", "left")
+        left = left.select("key", "uid", "n").join(found.withColumnRenamed("node", "uid"), "uid", "left")
         left = scratch.keep(open_lists(left.withColumn("c", F.coalesce("component", "uid")).drop("component")))
         if turn < RANDOM_ROUNDS:
             pairs = likely(random_neighbours(left, turn, percent), sketches, percent)
