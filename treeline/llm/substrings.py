@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, Scratch, Words, doc_key, grams, partitions, signed, slices, table, unsigned, with_uid
+from .common import NULL_ID, Scratch, Words, doc_key, grams, mix64, partitions, signed, slices, table, with_uid
 
 WINDOW = 13
 
@@ -41,16 +41,20 @@ def _chosen(words: Words, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def seeds_of(docs: DataFrame, n: int, k: int) -> DataFrame:
-    """seed, uid, pos: the seeds of all windows."""
+    """seed, uid, pos: the distinct seeds of each document's windows, with the first place of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=4 << 20):
+        for batch in slices(batches):
             words = Words(batch.column("text"))
             at = np.unique(_chosen(words, n, k)[1])
             if not len(at):
                 continue
             doc = np.searchsorted(words.bounds, at, "right") - 1
             hashes = grams(words.hash, k)[at]
+            order = np.lexsort((hashes, doc))  # stable: the first place of equal seeds of a document comes first
+            new = np.concatenate([[True], (hashes[order][1:] != hashes[order][:-1]) | (doc[order][1:] != doc[order][:-1])])
+            one = np.sort(order[new])
+            hashes, doc, at = hashes[one], doc[one], at[one]
             uid = np.asarray(batch.column("uid"))[doc]
             yield pa.RecordBatch.from_arrays([signed(hashes), pa.array(uid), pa.array((at - words.bounds[doc]).astype(np.int32))], ["seed", "uid", "pos"])
 
@@ -85,7 +89,7 @@ def extend(docs: DataFrame, n: int, k: int) -> DataFrame:
     """uid, doc, text, places (of repeated seeds) -> a row for each place: its seed, and the windows of n words around it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=4 << 20):
+        for batch in slices(batches):
             words = Words(batch.column("text"))
             first, at, seeds = _chosen(words, n, k)
             if not len(first):
@@ -93,9 +97,8 @@ def extend(docs: DataFrame, n: int, k: int) -> DataFrame:
             places = batch.column("places")
             offsets = np.asarray(places.offsets)
             flat = np.asarray(places.values)[offsets[0] : offsets[-1]] + np.repeat(words.bounds[:-1], np.diff(offsets))
-            marked = np.zeros(len(words.hash), bool)
-            marked[flat] = True
-            keep = marked[at]
+            doc = np.repeat(np.arange(len(words), dtype=np.uint64), np.diff(words.bounds))  # places of a document's equal seeds stand for one another
+            keep = np.isin(seeds[at] ^ mix64(doc[at] + np.uint64(1)), seeds[flat] ^ mix64(doc[flat] + np.uint64(1)))
             first, at = first[keep], at[keep]
             if not len(first):
                 continue
@@ -154,7 +157,7 @@ def kept_words(docs: DataFrame, n: int) -> DataFrame:
 
         find = re.compile(r"[^\x20\x09-\x0D]+").findall
         odd = re.compile("[\x1c-\x1f\x85\xa0  -     　]").search
-        for batch in slices(batches, most=4 << 20):
+        for batch in slices(batches):
             total, gone, left = [], [], []
             for text, copy, marks in zip(*(batch.column(c).to_pylist() for c in ("text", "copy", "marks"))):
                 text = text or ""
