@@ -15,6 +15,7 @@ shuffled. All counts are over all training documents, and nothing of the vocabul
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,14 +31,25 @@ SEEN = 64
 WEIGHTS = (2.0, 30.0, 400.0)
 #: Least gain in nats, in all and for each occurrence.
 GAIN, GAIN_EACH = 5.0, 0.005
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 KEY_BYTES = 6
 END = np.uint64(0xE4D0F7E27C15A5A5)
 _K = np.uint64(0xD6E8FEB86659FD93)
 
 
-def chunked(docs: DataFrame) -> DataFrame:
-    """doc_id, held, text -> a row for each chunk of about CHUNK words (whole documents): words (sorted distinct hashes), ids (a
+def packed(ids: np.ndarray) -> bytes:
+    """Numbers below 2**32 as planes of their low and high halves, compressed."""
+    v = ids.astype(np.uint32)
+    return zlib.compress((v & 0xFFFF).astype(np.uint16).tobytes() + (v >> 16).astype(np.uint16).tobytes(), 1)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    low, high = np.frombuffer(zlib.decompress(raw), np.uint16).reshape(2, -1)
+    return low | high.astype(np.uint32) << np.uint32(16)
+
+
+def chunked(docs: DataFrame, size: int = CHUNK) -> DataFrame:
+    """doc_id, held, text -> a row for each chunk of about size words (whole documents): words (sorted distinct hashes), ids (a
     number for each word and each document's end), bounds, doc_ids, held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,7 +61,7 @@ def chunked(docs: DataFrame) -> DataFrame:
         def flush() -> pa.RecordBatch:
             nonlocal hashes, sizes, doc_ids, held, total, made
             words, ids = np.unique(np.concatenate(hashes), return_inverse=True)
-            row = [[base + made], [words.tobytes()], [ids.astype(np.uint32).tobytes()], [np.cumsum([0, *sizes]).tobytes()], [doc_ids], [np.array(held, np.uint8).tobytes()], [total]]
+            row = [[base + made], [words.tobytes()], [packed(ids)], [np.cumsum([0, *sizes]).tobytes()], [doc_ids], [np.array(held, np.uint8).tobytes()], [total]]
             kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.int64()]
             made += 1
             hashes, sizes, doc_ids, held, total = [], [], [], [], 0
@@ -63,7 +75,7 @@ def chunked(docs: DataFrame) -> DataFrame:
             doc_ids.extend(batch.column("doc_id").to_pylist())
             held.extend(batch.column("held").to_pylist())
             total += len(with_end)
-            if total >= CHUNK:
+            if total >= size:
                 yield flush()
         if total:
             yield flush()
@@ -74,9 +86,10 @@ def chunked(docs: DataFrame) -> DataFrame:
 class Chunk:
     """A chunk's row and what has come back for it: words (bucket, counts), then for each depth pairs (bucket, counts) and states."""
 
-    def __init__(self, row: dict, buckets: int, tokens: int, distinct: int) -> None:
+    def __init__(self, row: dict, buckets: int, tokens: int, distinct: int, least: int = SEEN) -> None:
+        self.least = least
         self.words = np.frombuffer(row["words"], np.uint64)
-        self.ids = np.frombuffer(row["ids"], np.uint32)
+        self.ids = unpacked(row["ids"])
         self.bounds = np.frombuffer(row["bounds"], np.int64)
         self.held = np.frombuffer(row["held"], np.uint8).astype(bool)
         self.doc_ids, self.buckets = row["doc_ids"], buckets
@@ -126,7 +139,7 @@ class Chunk:
             count[1:] = self.both[:-1]
             context[1:] = mix64(self.context[:-1] * _K + self.hash[:-1])
         self.context = context
-        self.at = np.flatnonzero((count >= SEEN) & (self.place >= self.depth))
+        self.at = np.flatnonzero((count >= self.least) & (self.place >= self.depth))
         self.seen = count[self.at]
         self.keys, self.back = np.unique(mix64(context[self.at] * _K + mix64(self.hash[self.at] + np.uint64(self.depth))), return_inverse=True)
 
@@ -198,11 +211,12 @@ def add_up(messages: pa.Table) -> pa.Table:
 
 
 class Learner:
-    def __init__(self, docs: DataFrame, depth: int = DEPTH) -> None:
+    def __init__(self, docs: DataFrame, depth: int = DEPTH, least: int = SEEN, chunk: int = CHUNK) -> None:
+        self.least = least
         self.spark = docs.sparkSession
         self.scratch = Scratch(self.spark)
         held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
-        rows = chunked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held"), "text"))
+        rows = chunked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held"), "text"), chunk)
         n = partitions(self.spark)
         self.name = f"treeline_{uuid.uuid4().hex}"
         writer = rows.repartition(n, "chunk").write.option("compression", "zstd").option("path", f"{self.scratch.root}/chunks")
@@ -231,13 +245,13 @@ class Learner:
         return out
 
     def each(self, make, schema: str) -> DataFrame:
-        buckets, tokens, distinct = self.buckets, self.tokens, self.distinct
+        buckets, tokens, distinct, least = self.buckets, self.tokens, self.distinct, self.least
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for i in range(batch.num_rows):
                     row = batch.slice(i, 1).to_pylist()[0]
-                    yield from make(row["chunk"], Chunk(row, buckets, tokens, distinct))
+                    yield from make(row["chunk"], Chunk(row, buckets, tokens, distinct, least))
 
         return self._joined().mapInArrow(run, schema)
 
@@ -282,14 +296,15 @@ class Learner:
         return self.each(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+def score(docs: DataFrame, depth: int = DEPTH, least: int = SEEN, chunk: int = CHUNK) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
 
     A null text has its end alone. A null doc_id is not held out. Repeated rows each count in training and get a row each. An
-    empty table gives no rows; other columns are ignored. Where nothing is held in training, all words are unknown and the root
+    empty table gives no rows; other columns are ignored. least: occurrences that make a context a candidate; chunk: words that
+    are numbered together. Where nothing is held in training, all words are unknown and the root
     has one outcome.
     """
-    return Learner(docs, depth).scores()
+    return Learner(docs, depth, least, chunk).scores()
 
 
 def op9_suffix_tree(spark, sf_dir):
