@@ -154,10 +154,11 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             token = np.concatenate([token, np.asarray(batch.column("token"))])
             uid = np.concatenate([uid, np.asarray(batch.column("uid"))])
         if long is not None and len(token):  # the rest of a long list
-            n = int(np.searchsorted(token != long, True)) if token[-1] != long else len(token)
+            n = int(np.searchsorted(token, long[0], "right"))
             if n:
-                yield rows(np.full(n, _own_key(long)), uid[:n])
-            token, uid, long = token[n:], uid[n:], long if n and not len(token[n:]) else None
+                yield rows(np.repeat(_own_key(long), n), uid[:n])
+            long = long if n == len(token) else None
+            token, uid = token[n:], uid[n:]
         if not len(token):
             continue
         starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
@@ -172,13 +173,13 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield rows(np.repeat(key, counts)[keep], uid[:end][keep])
         token, uid = token[end:], uid[end:]
         if len(token) > LONG:
-            long = token[0]
-            yield rows(np.full(len(token), _own_key(long)), uid)
+            long = token[:1]
+            yield rows(np.repeat(_own_key(long), len(token)), uid)
             token, uid = token[:0], uid[:0]
 
 
-def _own_key(token) -> np.ndarray:
-    return mix64(np.asarray(token, np.int64).reshape(-1).view(np.uint64) + np.uint64(3)) if np.ndim(token) else mix64(np.asarray([token], np.int64).view(np.uint64) + np.uint64(3))[0]
+def _own_key(token: np.ndarray) -> np.ndarray:
+    return mix64(token.view(np.uint64) + np.uint64(3))
 
 
 def _and_end(batches):
@@ -369,7 +370,11 @@ def linked(docs: DataFrame, scratch: Scratch, n: int, percent: int) -> DataFrame
     others = inside.filter("lead <> uid").select(F.col("lead").alias("l"), F.col("uid").alias("other"), "n")
     sized = scratch.keep(lists.join(sketches.select("uid", "n"), "uid").select("key", "uid", "n"))
     members = sized.select("key", "uid").join(others, F.col("uid") == F.col("l")).select("key", F.col("other").alias("uid"), "n")
-    tried = scratch.keep(likely(near_lists(sized, percent).union(near_lists(own, percent)).distinct(), sketches, percent))
+    # most documents share no list: what follows reads the sketches of the others only
+    sketches = scratch.keep(sketches.join(sized.select("uid").union(own.select("uid")).distinct(), "uid", "left_semi"))
+    near = near_lists(sized, percent).union(near_lists(own, percent)).distinct()
+    # one candidate for each document is tried first; most are links, and leave nothing to try for the others
+    tried = scratch.keep(likely(near, sketches, percent).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     links = scratch.keep(verified(tried, docs, n, percent))
     found = scratch.keep(components(links, scratch))
     scratch.free()
