@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices, small_batches, table
+from .common import prepare, slices, table
 from .segments import CLASS, GAP, ODD, Memory, binaries, buffers, classes, hashes, per_text, runs
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -390,7 +390,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             ids, bounds = own.encode(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(bounds)), binaries(ids.astype("<u4"), bounds)], ["doc_id", "n_tokens", "ids"])
 
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
@@ -403,7 +403,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
             texts = [decoded(own, np.frombuffer(x, "<u4")) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    small_batches(encoded.sparkSession)
+    prepare(encoded.sparkSession)
     return encoded.mapInArrow(run, "doc_id long, text string")
 
 
@@ -425,7 +425,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             back = [hashlib.sha256(decoded(own, x).encode()).hexdigest() for x in parts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(bounds)), pa.array(sha, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 

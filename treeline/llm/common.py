@@ -21,20 +21,21 @@ WORD = r"[^\x20\x09-\x0D]+"
 NULL_ID = 2**63 - 1
 
 
-#: Rows in one Arrow batch to and from Python workers at most: texts can be long, and a batch is held whole on both sides.
-BATCH_ROWS = 1000
+#: Bytes in one Arrow batch to Python workers, about: texts can be long, and a batch is held whole on both sides.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    small_batches(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most BATCH_ROWS, and Python workers that look for this package where the driver found it (where that is
-    another place on the workers, the package is to be installed there or sent along with --py-files)."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def prepare(spark: SparkSession) -> None:
+    """Arrow batches of about BATCH_BYTES at most, and Python workers that look for this package where the driver found it (where
+    that is another place on the workers, the package is to be installed there or sent along with --py-files)."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(key).rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
     env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
@@ -56,7 +57,7 @@ class Scratch:
     """Tables written to the shared folder, which cut lineage and survive the loss of executors."""
 
     def __init__(self, spark: SparkSession) -> None:
-        small_batches(spark)
+        prepare(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/treeline-{uuid.uuid4().hex}"
         self.made = 0
 
@@ -95,7 +96,7 @@ _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_SLICE = 1 << 21
+_SLICE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -206,7 +207,7 @@ def unsigned(x: pa.Array) -> np.ndarray:
     return np.asarray(x).astype(np.int64, copy=False).view(np.uint64)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut into ones with about so many bytes of text, so that memory doesn't follow the batch size."""
     for batch in batches:
         if batch.num_rows == 0:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, slices, small_batches, table
+from .common import Words, prepare, slices, table
 
 #: Labelled documents that training reads at most: those with the least hash of doc_id.
 TRAINING_DOCS = 3000
@@ -197,13 +197,13 @@ def held_out():
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_DOCS) -> Field:
     """From at most so many labelled documents, none of them held out. Rows without a label of 0 or 1 are passed over."""
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     chosen = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter("quality in (0, 1) and doc_id is not null").filter(~held_out())
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=4 << 20):
+        for batch in slices(batches):
             lines = Lines(batch.column("text"))
             bins = [lines.bins[a:b].tobytes() for a, b in zip(lines.bounds, lines.bounds[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(bins, pa.binary())], ["doc_id", "quality", "bins"])
@@ -218,12 +218,12 @@ def score(docs: DataFrame, field: Field, name: str = "score") -> DataFrame:
     """The rows of docs with a column of this name (double) added."""
     from pyspark.sql import types as T
 
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(field)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=4 << 20):
+        for batch in slices(batches):
             values = shared.value.quality(Lines(batch.column("text")))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], [*names, name])
 

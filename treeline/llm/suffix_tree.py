@@ -27,7 +27,7 @@ from .common import Scratch, Words, mix64, partitions, slices, table
 
 DEPTH = 2
 #: Occurrences in training that make a context a candidate.
-SEEN = 64
+SEEN = 200
 WEIGHTS = (2.0, 30.0, 400.0)
 #: Least gain in nats, in all and for each occurrence.
 GAIN, GAIN_EACH = 5.0, 0.005
@@ -168,9 +168,17 @@ class Chunk:
             out.append(np.bincount(back[use], weights=each[use], minlength=len(own)))
         return own, self.seen[first] if len(own) else np.zeros(0), np.stack(out, axis=1)
 
+    def gain_messages(self) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+        own, seen, gain = self.gains()
+        bounds = self.split(own)
+        for b in range(self.buckets):
+            lo, hi = bounds[b], bounds[b + 1]
+            if hi > lo:
+                yield b, own[lo:hi].tobytes(), seen[lo:hi].astype(np.float32).tobytes(), np.ascontiguousarray(gain[lo:hi].astype(np.float32)).tobytes()
+
     def _apply(self, states: list[dict]) -> None:
-        kept = np.array([s["context"] for s in states], np.int64).view(np.uint64)
-        weight = np.array([WEIGHTS[s["weight"]] for s in states])
+        kept = np.frombuffer(b"".join(s["kept"] for s in states), np.uint64)
+        weight = np.array(WEIGHTS)[np.frombuffer(b"".join(s["weights"] for s in states), np.uint8)]
         order = np.argsort(kept)
         kept, weight = kept[order], weight[order]
         if not len(kept):
@@ -210,6 +218,30 @@ def add_up(messages: pa.Table) -> pa.Table:
     })
 
 
+def choose(messages: pa.Table) -> pa.Table:
+    """A bucket's messages (bucket, chunk, contexts, seen, gains) -> for each chunk those of its contexts that are retained, and the
+    place of their weight."""
+    keys = [np.frombuffer(x, np.uint64) for x in messages.column("contexts").to_pylist()]
+    seen = np.frombuffer(b"".join(messages.column("seen").to_pylist()), np.float32)
+    gains = np.frombuffer(b"".join(messages.column("gains").to_pylist()), np.float32).reshape(-1, len(WEIGHTS))
+    own, back = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.stack([np.bincount(back, weights=gains[:, i], minlength=len(own)) for i in range(len(WEIGHTS))], axis=1)
+    times = np.zeros(len(own))
+    np.maximum.at(times, back, seen)
+    best = total.max(axis=1)
+    good = (best > GAIN) & (best > GAIN_EACH * times)
+    weight = total.argmax(axis=1).astype(np.uint8)
+    ends = np.cumsum([len(k) for k in keys])
+    out = ([], [], [])
+    for chunk, k, e in zip(messages.column("chunk").to_pylist(), keys, ends):
+        at = back[e - len(k) : e]
+        hit = good[at]
+        if hit.any():
+            for column, value in zip(out, (chunk, k[hit].tobytes(), weight[at[hit]].tobytes())):
+                column.append(value)
+    return pa.table({"chunk": pa.array(out[0], pa.int64()), "kept": pa.array(out[1], pa.binary()), "weights": pa.array(out[2], pa.binary())})
+
+
 class Learner:
     def __init__(self, docs: DataFrame, depth: int = DEPTH, least: int = SEEN, chunk: int = CHUNK) -> None:
         self.least = least
@@ -239,7 +271,7 @@ class Learner:
         """Chunks with what has come back for each."""
         out = self.chunks
         for name, rows in self.replies.items():
-            item = F.struct("bucket", "counts") if name[0] == "r" else F.struct("context", "weight")
+            item = F.struct("bucket", "counts") if name[0] == "r" else F.struct("kept", "weights")
             out = out.join(rows.groupBy("chunk").agg(F.collect_list(item).alias(name)), "chunk", "left")
             out = out.withColumn(name, F.coalesce(name, F.array().cast(out.schema[name].dataType)))
         return out
@@ -265,23 +297,13 @@ class Learner:
         return self.scratch.keep(sent.groupBy("bucket").applyInArrow(add_up, "chunk long, bucket int, counts binary, distinct long, total long"))
 
     def _retained(self) -> DataFrame:
-        gains = [f"g{i}" for i in range(len(WEIGHTS))]
-
         def send(chunk: int, own: Chunk) -> Iterator[pa.RecordBatch]:
-            context, seen, gain = own.gains()
-            if len(context):
-                columns = [pa.array(np.full(len(context), chunk)), pa.array(context.view(np.int64)), pa.array(seen), *(pa.array(gain[:, i].astype(np.float32)) for i in range(len(WEIGHTS)))]
-                for lo in range(0, len(context), 1 << 15):
-                    yield pa.RecordBatch.from_arrays([c.slice(lo, 1 << 15) for c in columns], ["chunk", "context", "seen", *gains])
-
-        rows, path = self.scratch.write(self.each(send, f"chunk long, context long, seen double, {', '.join(f'{g} float' for g in gains)}"))
-        best = rows.groupBy("context").agg(F.max("seen").alias("seen"), *[F.sum(g).alias(g) for g in gains])
-        most = F.greatest(*gains)
-        place = F.array_position(F.array(*gains), most) - 1
-        best = best.filter((most > GAIN) & (most > GAIN_EACH * F.col("seen"))).select("context", place.cast("int").alias("weight"))
-        out = self.scratch.keep(rows.select("chunk", "context").join(best, "context"))
-        self.scratch.drop(path)
-        return out
+            rows = list(own.gain_messages())
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int64()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3))], ["bucket", "chunk", "contexts", "seen", "gains"])
+
+        sent = self.each(send, "bucket int, chunk long, contexts binary, seen binary, gains binary")
+        return self.scratch.keep(sent.groupBy("bucket").applyInArrow(choose, "chunk long, kept binary, weights binary"))
 
     def scores(self) -> DataFrame:
         tokens = self.tokens
