@@ -34,7 +34,7 @@ from .common import Scratch, Words, components, grams, mix64, partitions, signed
 COUNTERS, CHUNK = 1 << 20, 1 << 12
 #: Bytes kept of a shingle's hash when sets are compared; 2**-40 is the chance that two shingles agree by accident.
 KEPT = 5
-#: Words of 64 bits in a sketch.
+#: Words of 64 bits in a sketch at least; it has two bits for each shingle at least.
 SKETCH = 16
 #: Bits, a power of two, of the map of documents whose sets are needed (others with the same bit are computed in vain), and
 #: bytes of it in one row.
@@ -42,7 +42,7 @@ MAP_BITS, MAP_PART = 24, 1 << 13
 #: Rows of a list that is held to see whether another token has the same ones.
 LONG = 1 << 16
 #: Rounds that try random pairs across components before all are tried.
-RANDOM_ROUNDS = 3
+RANDOM_ROUNDS = 1
 
 
 def shingles(words: Words, i: int, n: int) -> np.ndarray:
@@ -58,7 +58,7 @@ def frequency_classes(docs: DataFrame, n: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
-        for batch in slices(batches, most=4 << 20):
+        for batch in slices(batches):
             words = Words(batch.column("text"), lower=True)
             found = [shingles(words, i, n) for i in range(len(words))]
             total += np.bincount((np.concatenate(found) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
@@ -100,7 +100,7 @@ def prefixes(docs: DataFrame, n: int, percent: int, classes: np.ndarray) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = shared.value
-        for batch in slices(batches, most=4 << 20):
+        for batch in slices(batches):
             words = Words(batch.column("text"), lower=True)
             size, one, two, prefix, sketch = [], [], [], [], []
             for i in range(len(words)):
@@ -109,7 +109,8 @@ def prefixes(docs: DataFrame, n: int, percent: int, classes: np.ndarray) -> Data
                 mixed = mix64(s)
                 one.append(int(mixed.sum(dtype=np.uint64)))
                 two.append(int(mix64(mixed + np.uint64(7)).sum(dtype=np.uint64)))
-                odd = np.bincount((mixed % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+                bits = max(64 * SKETCH, 1 << (2 * len(s) - 1).bit_length()) if len(s) else 64 * SKETCH
+                odd = np.bincount((mixed % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
                 sketch.append(np.packbits(odd.astype(np.uint8)).view(np.int64).tolist())
                 k = len(s) - (percent * len(s) + 99) // 100 + 1 if len(s) else 0
                 prefix.append(s[np.argsort(classes[(s % np.uint64(COUNTERS)).astype(np.int64)], kind="stable")[:k]].tobytes())
@@ -229,7 +230,7 @@ def sets(docs: DataFrame, n: int, wanted: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=4 << 20):
+        for batch in slices(batches):
             at = _bit(np.asarray(batch.column("uid"), np.int64))
             batch = batch.filter(pa.array((shared.value[at >> 3] >> (at & 7) & 1).astype(bool)))
             if not batch.num_rows:
@@ -268,9 +269,8 @@ def similar(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
 
 def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Of pairs (a, b), those whose sets are similar. Only documents in pairs, by a bit map of them, become sets."""
-    own = sets(docs, n, bit_map(pairs.select("a").union(pairs.select("b"))))
-    rows = pairs.join(own.select(F.col("uid").alias("b"), F.col("members").alias("set_b")), "b")
-    rows = rows.join(own.select(F.col("uid").alias("a"), F.col("members").alias("set_a")), "a")
+    left, right = (sets(docs, n, bit_map(pairs.select(side))).select(F.col("uid").alias(side), F.col("members").alias(f"set_{side}")) for side in "ab")
+    rows = pairs.join(right, "b").join(left, "a")
     return rows.select("a", "set_a", "b", "set_b").mapInArrow(lambda batches: similar(batches, percent), "a long, b long")
 
 
@@ -280,7 +280,13 @@ def _sizes_fit(a: str, b: str, percent: int):
 
 def _sketches_fit(x: str, y: str, percent: int):
     """x and y have sketch and n: sets that are similar differ in at most this many shingles, and so in as many bits."""
-    bits = sum((F.bit_count(F.col(f"{x}.sketch")[i].bitwiseXOR(F.col(f"{y}.sketch")[i])) for i in range(1, SKETCH)), F.bit_count(F.col(f"{x}.sketch")[0].bitwiseXOR(F.col(f"{y}.sketch")[0])))
+    a, b = F.col(f"{x}.sketch"), F.col(f"{y}.sketch")
+    words = F.least(F.size(a), F.size(b))
+
+    def folded(c):  # of twice the size at most, as sizes of similar sets are close; halves add up to the smaller sketch
+        return F.when(F.size(c) > words, F.zip_with(F.slice(c, F.lit(1), words), F.slice(c, words + 1, words), lambda p, q: p.bitwiseXOR(q))).otherwise(c)
+
+    bits = F.aggregate(F.zip_with(folded(a), folded(b), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, n: s + n)
     return bits * (100 + percent) <= (100 - percent) * (F.col(f"{x}.n") + F.col(f"{y}.n"))
 
 
