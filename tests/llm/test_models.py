@@ -112,7 +112,7 @@ def test_scores_against_brute_force(docs):
     want, kept1, kept2 = brute_scores(texts, held, 4)
     assert kept1 > 3 and kept2 > 3
     fields = lambda i, h, x: (i is None, i or 0, h, *x[:3], round(x[3], 6), round(x[4], 6))
-    got = sorted(fields(r.doc_id, r.held_out, (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score)) for r in suffix_tree.score(given, least=4, chunk=300).collect())
+    got = sorted(fields(r.doc_id, r.held_out, (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score)) for r in suffix_tree.score(given, least=4, share=0, chunk=300).collect())
     assert got == sorted(fields(r.doc_id, h, w) for r, h, w in zip(rows, held, want))
 
 

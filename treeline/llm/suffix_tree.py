@@ -14,6 +14,7 @@ shuffled. All counts are over all training documents, and nothing of the vocabul
 
 from __future__ import annotations
 
+import math
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, Words, mix64, partitions, slices, table
 
 DEPTH = 2
-#: Occurrences in training that make a context a candidate.
-SEEN = 200
+#: What makes a context a candidate: occurrences in training, and their share of all tokens of training.
+SEEN, SHARE = 200, 2e-5
 WEIGHTS = (2.0, 30.0, 400.0)
 #: Least gain in nats, in all and for each occurrence.
 GAIN, GAIN_EACH = 5.0, 0.005
@@ -67,7 +68,7 @@ def chunked(docs: DataFrame, size: int = CHUNK) -> DataFrame:
             hashes, sizes, doc_ids, held, total = [], [], [], [], 0
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], ["chunk", "words", "ids", "bounds", "doc_ids", "held", "n"])
 
-        for batch in slices(batches, most=4 << 20):
+        for batch in slices(batches):
             words = Words(batch.column("text"), lower=True)
             with_end = np.insert(words.hash, words.bounds[1:], END)
             hashes.append(with_end)
@@ -243,7 +244,7 @@ def choose(messages: pa.Table) -> pa.Table:
 
 
 class Learner:
-    def __init__(self, docs: DataFrame, depth: int = DEPTH, least: int = SEEN, chunk: int = CHUNK) -> None:
+    def __init__(self, docs: DataFrame, depth: int = DEPTH, least: int = SEEN, share: float = SHARE, chunk: int = CHUNK) -> None:
         self.least = least
         self.spark = docs.sparkSession
         self.scratch = Scratch(self.spark)
@@ -262,6 +263,7 @@ class Learner:
         self.replies["r0"] = self._count(lambda c: c.word_messages())
         size = self.replies["r0"].agg(F.sum("total"), F.sum("distinct")).first()
         self.tokens, self.distinct = size[0] or 0, size[1] or 0
+        self.least = max(least, math.ceil(share * self.tokens))
         for d in range(1, depth + 1):
             self.replies[f"r{d}"] = self._count(lambda c: c.pair_messages())
             self.replies[f"s{d}"] = self._retained()
@@ -318,15 +320,15 @@ class Learner:
         return self.each(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def score(docs: DataFrame, depth: int = DEPTH, least: int = SEEN, chunk: int = CHUNK) -> DataFrame:
+def score(docs: DataFrame, depth: int = DEPTH, least: int = SEEN, share: float = SHARE, chunk: int = CHUNK) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
 
     A null text has its end alone. A null doc_id is not held out. Repeated rows each count in training and get a row each. An
-    empty table gives no rows; other columns are ignored. least: occurrences that make a context a candidate; chunk: words that
+    empty table gives no rows; other columns are ignored. least, share: see SEEN and SHARE; chunk: words that
     are numbered together. Where nothing is held in training, all words are unknown and the root
     has one outcome.
     """
-    return Learner(docs, depth, least, chunk).scores()
+    return Learner(docs, depth, least, share, chunk).scores()
 
 
 def op9_suffix_tree(spark, sf_dir):
