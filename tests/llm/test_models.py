@@ -123,6 +123,15 @@ def test_no_documents_to_learn_from(spark, nothing):
     assert (row.n_tokens, row.n_known, row.train_tokens, row.base_score, row.score) == (3, 0, 0, 0.0, 0.0)
 
 
+def test_a_context_is_a_state_in_a_large_corpus_too(spark):
+    filler = spark.range(20).selectExpr("id AS doc_id", f"repeat('z ', {1 << 20}) AS text")
+    phrase = spark.range(1000, 1300).selectExpr("id AS doc_id", "'alpha beta' AS text")
+    rows = suffix_tree.score(filler.union(phrase)).filter("doc_id >= 1000").collect()
+    seen = sum(not r.held_out for r in rows)
+    assert suffix_tree.SEEN <= seen < 2e-5 * rows[0].train_tokens
+    assert all(r.score > r.base_score + 1 for r in rows)
+
+
 # --- personal data -------------------------------------------------------------------------------------------------------
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+){3}", "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}

@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, Words, mix64, partitions, slices, table
 
 DEPTH = 2
-#: What makes a context a candidate: occurrences in training, and their share of all tokens of training.
-SEEN, SHARE = 200, 2e-5
+#: Occurrences in training that make a context a candidate, at any size of the corpus.
+SEEN = 200
 WEIGHTS = (2.0, 30.0, 400.0)
 #: Least gain in nats, in all and for each occurrence.
 GAIN, GAIN_EACH = 5.0, 0.005
@@ -244,7 +244,7 @@ def choose(messages: pa.Table) -> pa.Table:
 
 
 class Learner:
-    def __init__(self, docs: DataFrame, depth: int = DEPTH, least: int = SEEN, share: float = SHARE, chunk: int = CHUNK) -> None:
+    def __init__(self, docs: DataFrame, depth: int = DEPTH, least: int = SEEN, share: float = 0, chunk: int = CHUNK) -> None:
         self.least = least
         self.spark = docs.sparkSession
         self.scratch = Scratch(self.spark)
@@ -320,13 +320,13 @@ class Learner:
         return self.each(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def score(docs: DataFrame, depth: int = DEPTH, least: int = SEEN, share: float = SHARE, chunk: int = CHUNK) -> DataFrame:
+def score(docs: DataFrame, depth: int = DEPTH, least: int = SEEN, share: float = 0, chunk: int = CHUNK) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
 
     A null text has its end alone. A null doc_id is not held out. Repeated rows each count in training and get a row each. An
-    empty table gives no rows; other columns are ignored. least, share: see SEEN and SHARE; chunk: words that
-    are numbered together. Where nothing is held in training, all words are unknown and the root
-    has one outcome.
+    empty table gives no rows; other columns are ignored. least: see SEEN; share: a caller's own further bound, as a share of all
+    tokens of training; chunk: words that are numbered together. Where nothing is held in training, all words are unknown and
+    the root has one outcome.
     """
     return Learner(docs, depth, least, share, chunk).scores()
 
