@@ -6,7 +6,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from treeline.queries import ORACLES, QUERIES
+from treeline.plans.decompose import decompositions
+from treeline.queries import ORACLES, QUERIES, cycle
 
 D = "/root/testdata/sf0.001"
 
@@ -37,6 +38,14 @@ def test_ranking_is_by_cost(spark):
     assert costs == sorted(costs)
 
 
+def test_ranking_has_all_trees(spark):
+    rows = QUERIES["cost_ranking"](spark, D).orderBy("rank").collect()
+    q = cycle(spark, D)
+    trees = [str(t) for t in decompositions(q.graph, 2)]
+    assert len(trees) > 200 and sorted(r.tree for r in rows) == sorted(trees)
+    assert rows[0].cost == q.costs().cost(q.plan())
+
+
 def test_all_queries_are_registered():
     assert set(ORACLES) <= set(QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -228,7 +228,7 @@ def decompositions_enum(spark, d):
 
 def cost_ranking(spark, d):
     q = cycle(spark, d)
-    costs = sorted((q.costs().cost(t), i, t) for i, t in enumerate(decompositions(q.graph, 2, limit=200)))
+    costs = sorted((q.costs().cost(t), i, t) for i, t in enumerate(decompositions(q.graph, 2)))
     rows = [(i + 1, float(c), t.width(), str(t)) for i, (c, _, t) in enumerate(costs)]
     return spark.createDataFrame(rows, "rank int, cost double, width int, tree string")
 
