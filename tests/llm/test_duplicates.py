@@ -136,6 +136,28 @@ def test_a_shard_is_split_and_a_dense_ball_is_found_whole(monkeypatch):
     assert len(pairs) >= 0.9 * len(true) and {tuple(p) for p in pairs.tolist()} <= {tuple(p) for p in true.tolist()}
 
 
+def test_all_pairs_of_a_large_hot_shard_are_found(monkeypatch):
+    monkeypatch.setattr(neardup_vectors, "LARGEST", 200)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=64) + 0.25 * rng.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = np.argwhere(np.triu(x @ x.T >= 0.9, 1))
+    got = neardup_vectors.links(x, 0.9)
+    assert len(want) > 1e6 and {*map(tuple, got.tolist())} == {*map(tuple, want.tolist())} and len(got) == len(want)
+
+
+def test_links_that_no_overlap_finds_are_found_in_the_end(spark, monkeypatch):
+    alone = lambda reps, n, overlap: reps.select("uid", "unit", "copies", F.col("uid").alias("shard"), F.array("uid").alias("shards"))
+    monkeypatch.setattr(neardup_vectors, "placed", alone)
+    monkeypatch.setattr(neardup_vectors, "BLOCK", 100)
+    rows = vectors()
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = (x @ x.T >= 0.9).sum(axis=1) - 1
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {r.vec_id: r.n_links for r in neardup_vectors.near_duplicates(df).collect()} == {i: n for (i, _), n in zip(rows, want.tolist())}
+
+
 def test_no_vectors(spark):
     df = spark.createDataFrame([(1, None)], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in neardup_vectors.near_duplicates(df).collect()] == [(1, 0, 1, True)]

@@ -8,11 +8,13 @@ left. Pairs found are verified in double precision. A pair that shares several s
 return a count for each vector and a spanning forest of their links, never pairs; forests are joined into components.
 
 Recall is audited: the links of a bounded sample of vectors are counted by brute force, and where too few were found, the
-search is done again with more overlap.
+search is done again with more overlap, and in the end by comparing all vectors with each other.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,9 +24,10 @@ from .cells import MOST_CELLS, SAMPLE, centres, finite, nearest
 from .common import Scratch, components, table, with_uid
 
 SIMILAR = 0.9
-#: Vectors in a shard, about; a shard that is larger is split again inside its task.
+#: Vectors in a shard, about; a shard that is larger than LARGEST is compared in full inside its task.
 SHARD, LARGEST = 1200, 3000
-OVERLAP = 4
+BLOCK, BLOCK_PAIRS = 8192, 1 << 21
+OVERLAP, MOST_OVERLAP = 4, 32
 DEGREE, POOL, ALPHA, BEAM, WIDER = 24, 64, 1.2, 24, 0.15
 AUDIT, RECALL = 512, 0.97
 
@@ -79,26 +82,29 @@ def search(near: np.ndarray, adjacent: np.ndarray, level: float) -> np.ndarray:
     return seen & (near >= level)
 
 
-def links(units: np.ndarray, level: float, depth: int = 0) -> np.ndarray:
-    """Pairs (i < j) found, as rows. Large sets are split by cells of their own, with overlap."""
+def link_pieces(units: np.ndarray, level: float, exact: bool = False) -> Iterator[np.ndarray]:
+    """Pairs (i < j) found, as rows, in pieces. Large sets, or all if exact, are compared in full, a block of rows at a time."""
     m = len(units)
     if m < 2:
-        return np.zeros((0, 2), np.int64)
-    if m > LARGEST and depth < 8:
-        k = min(MOST_CELLS, -(-2 * m // LARGEST))
-        own = nearest(units, centres(units[np.linspace(0, m - 1, min(m, SAMPLE)).astype(int)], k), OVERLAP)
-        sizes = [np.flatnonzero((own == c).any(axis=1)) for c in range(k)]
-        if max(map(len, sizes)) < m:
-            parts = [s[links(units[s], level, depth + 1)] for s in sizes if len(s) > 1]
-            return np.unique(np.concatenate([np.sort(p, axis=1) for p in parts]), axis=0) if parts else np.zeros((0, 2), np.int64)
+        return
+    if exact or m > LARGEST:
+        step = max(1, BLOCK_PAIRS // m)
+        for lo in range(0, m, step):
+            yield np.argwhere(np.triu(units[lo : lo + step] @ units[lo:].T >= level, 1)) + lo
+        return
     near = units @ units.T
     found = search(near, pruned_graph(near), level)
-    return np.argwhere(np.triu(found | found.T, 1))
+    yield np.argwhere(np.triu(found | found.T, 1))
+
+
+def links(units: np.ndarray, level: float) -> np.ndarray:
+    """All pieces in one."""
+    return np.concatenate([np.zeros((0, 2), np.int64), *link_pieces(units, level)])
 
 
-def forest(m: int, pairs: np.ndarray) -> np.ndarray:
-    """The least index each vector is joined to by pairs."""
-    label = np.arange(m)
+def forest(label: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """The least index each vector is joined to by pairs, and by the label it had."""
+    pairs = np.concatenate([np.stack([label, np.arange(len(label))], axis=1), pairs])
     while True:
         low = np.minimum(label[pairs[:, 0]], label[pairs[:, 1]])
         new = label.copy()
@@ -110,7 +116,7 @@ def forest(m: int, pairs: np.ndarray) -> np.ndarray:
         label = new
 
 
-def shard_links(rows: pa.Table, level: float) -> pa.Table:
+def shard_links(rows: pa.Table, level: float, exact: bool = False) -> pa.Table:
     """uid, unit, copies, shards of one shard -> (uid, other null, n) counts and (uid, other, 0) forest edges."""
     order = np.argsort(np.asarray(rows.column("uid")), kind="stable")
     uid = np.asarray(rows.column("uid"))[order]
@@ -121,12 +127,10 @@ def shard_links(rows: pa.Table, level: float) -> pa.Table:
     for i, k in enumerate(order.tolist()):
         own[i, : len(shards[k])] = shards[k]
     here = rows.column("shard")[0].as_py()
-    pairs = links(units, level)
-    label = forest(len(uid), pairs)
-    joined = np.flatnonzero(label != np.arange(len(uid)))
+    label = np.arange(len(uid))
     count = np.zeros(len(uid), np.int64)
-    for lo in range(0, len(pairs), 1 << 18):
-        a, b = pairs[lo : lo + (1 << 18)].T
+    for a, b in (p.T for found in link_pieces(units, level, exact) for p in np.split(found, range(1 << 18, len(found), 1 << 18))):
+        label = forest(label, np.stack([a, b], axis=1))
         least = np.full(len(a), np.iinfo(np.int64).max)
         for x in range(own.shape[1]):
             both = (own[a, x][:, None] == own[b]).any(axis=1) & (own[a, x] >= 0)
@@ -134,7 +138,7 @@ def shard_links(rows: pa.Table, level: float) -> pa.Table:
         first = least == here
         count += np.bincount(a[first], weights=copies[b[first]], minlength=len(uid)).astype(np.int64)
         count += np.bincount(b[first], weights=copies[a[first]], minlength=len(uid)).astype(np.int64)
-    some = np.flatnonzero(count)
+    some, joined = np.flatnonzero(count), np.flatnonzero(label != np.arange(len(uid)))
     return pa.table({
         "uid": pa.array(np.concatenate([uid[some], uid[joined]])), "other": pa.array([None] * len(some) + uid[label[joined]].tolist(), pa.int64()),
         "n": pa.array(np.concatenate([count[some], np.zeros(len(joined), np.int64)])),
@@ -186,6 +190,17 @@ def placed(reps: DataFrame, n: int, overlap: int) -> DataFrame:
     return reps.select("uid", "dim", "unit", "copies").mapInArrow(run, "uid long, unit binary, copies long, shard long, shards array<long>")
 
 
+def blocked(reps: DataFrame, n: int) -> DataFrame:
+    """As placed, but a shard for each two blocks of vectors, so that all vectors of a length share a shard."""
+    blocks = -(-n // BLOCK)
+    base = F.col("dim") * (blocks * (blocks + 1))  # a block's own shard comes before those with others: pairs within a block count there
+    own = base + F.col("b")
+    other = base + blocks + F.least("b", "c") * blocks + F.greatest("b", "c")
+    rows = reps.select("uid", "dim", "unit", "copies", F.pmod(F.xxhash64("uid"), F.lit(blocks)).alias("b"))
+    rows = rows.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("shard", F.when(F.col("b") == F.col("c"), own).otherwise(other))
+    return rows.select("uid", "unit", "copies", "shard", F.array_distinct(F.array(own, "shard")).alias("shards"))
+
+
 def audited(reps: DataFrame, most: int, level: float) -> DataFrame:
     """uid, true (links by brute force, copies counted) of a bounded sample of vectors."""
     chosen = reps.orderBy(F.xxhash64("uid", F.lit(1)), "uid").select("uid", "dim", "unit").limit(most).collect()
@@ -241,10 +256,12 @@ def near_duplicates(rows: DataFrame, level: float = SIMILAR) -> DataFrame:
     truth = scratch.keep(audited(reps, AUDIT, level)) if n else None
     overlap = OVERLAP
     while n:
-        found = scratch.keep(placed(reps, n, overlap).groupBy("shard").applyInArrow(lambda t: shard_links(t, level), "uid long, other long, n long"))
+        exact = overlap > MOST_OVERLAP
+        shards = blocked(reps, n) if exact else placed(reps, n, overlap)
+        found = scratch.keep(shards.groupBy("shard").applyInArrow(lambda t: shard_links(t, level, exact), "uid long, other long, n long"))
         counts = found.filter("other is null").groupBy("uid").agg(F.sum("n").alias("n"))
         got = truth.join(counts, "uid", "left").agg(F.sum("true"), F.sum(F.least("true", F.coalesce("n", F.lit(0))))).first()
-        if not got[0] or got[1] >= RECALL * got[0] or overlap > 4 * OVERLAP:
+        if not got[0] or got[1] >= RECALL * got[0] or exact:
             break
         overlap *= 2
     if not n:
