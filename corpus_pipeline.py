@@ -37,10 +37,11 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids of each document of the mix."""
+    """doc_id, n_tokens, ids of each document of the mix, and decoded_sha256 of the text that its ids give back."""
     import public_tokenizers
 
-    return byte_bpe.encode(docs, public_tokenizers.path(byte_bpe.RANKS), public_tokenizers.PATTERN)
+    of = public_tokenizers.path(byte_bpe.RANKS), public_tokenizers.PATTERN
+    return byte_bpe.with_decoded(byte_bpe.encode(docs, *of), *of)
 
 
 STAGES = [

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import hashlib
+
 import corpus_pipeline
 from treeline.llm.queries import ORACLES, QUERIES
 
@@ -27,5 +29,11 @@ def test_stages_stand_odd_rows(spark, docs, nothing):
             assert name == "tokens" or out.columns == table.columns
 
 
+def test_the_last_stage_decodes_its_ids(spark, docs):
+    sha = lambda text: hashlib.sha256((text or "").encode()).hexdigest()
+    got = [(r.doc_id, r.decoded_sha256) for r in corpus_pipeline.token_ids(spark, docs, D).collect()]
+    assert sorted(map(repr, got)) == sorted(repr((r.doc_id, sha(r.text))) for r in docs.collect())
+
+
 def test_one_query_for_each_operator():
     assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)

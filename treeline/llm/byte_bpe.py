@@ -407,6 +407,19 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.mapInArrow(run, "doc_id long, text string")
 
 
+def with_decoded(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, n_tokens, ids of encode() and decoded_sha256 of the text that the ids give back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path, pattern)
+        for batch in batches:
+            back = [hashlib.sha256(decoded(own, np.frombuffer(x, "<u4")).encode()).hexdigest() for x in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(back, pa.string())], [*batch.schema.names, "decoded_sha256"])
+
+    prepare(encoded.sparkSession)
+    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded_sha256 string")
+
+
 def decoded(own: Codec, ids: np.ndarray) -> str:
     stream = StreamDecoder(own)
     return stream.feed(ids) + stream.close()
