@@ -86,3 +86,12 @@ def test_join_all_avoids_products(spark):
     a, b, c = (rel.relation(spark, x, [("1", "1")]) for x in (["a", "b"], ["c", "d"], ["b", "c"]))
     assert rel.join_all([a, b, c]).columns == ["a", "b", "c", "d"]
     assert rel.attributes_of([a, c])[0] == ["a", "b", "c"]
+
+
+def test_a_relation_given_twice_or_thrice_is_joined_as_often(left, right):
+    for n in (2, 3):
+        want = left
+        for _ in range(n):
+            want = rel.natural_join(want, right)
+        assert rows(rel.join_all([left, *[right] * n])) == rows(want)
+    assert sum(rows(rel.join_all([left, left, left])).values()) == 8 + 1 + 1

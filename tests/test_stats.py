@@ -1,12 +1,15 @@
 from __future__ import annotations
 
+import csv
+import io
+
 import pytest
 
 from treeline.functions import stats
 from treeline.functions.stats import Statistics, estimate_join, estimate_semijoin
 from treeline.operators import relation as rel
 from treeline.plans.hypergraph import Hypergraph
-from treeline.sources.csv_files import differing_estimates, load_database, load_large_database, load_statistics, parse_database, parse_statistics
+from treeline.sources.csv_files import differing_estimates, load_database, load_statistics, parse_database, parse_statistics
 
 
 def test_collect_counts_rows_values_and_frequencies(spark):
@@ -54,11 +57,18 @@ def test_database_files(spark, tmp_path):
     text = 'r,R,a,b\nt,1,2\n\nt,,"x,y"\nr,S,b,c\nt,2,9\nr,R,a\nt,7\n'
     assert parse_database(text) == {"R": (["a"], [["7"]]), "S": (["b", "c"], [["2", "9"]])}
     path = tmp_path / "db.csv"
-    path.write_text('r,R,a,b\nt,1,2\nt,,"x,y"\nr,S,b,c\nt,2,9\n')
-    small, large = load_database(spark, str(path)), load_large_database(spark, str(path))
-    for name in small:
-        assert rel.same_bag(small[name], large[name])
-    assert sorted(map(tuple, large["R"].collect())) == [("", "x,y"), ("1", "2")]
+    path.write_text(text := 'r,R,a,b\nt,1,2\n\nt,,"x,y"\nt,"two\nlines ""q""\n\nmore", z\nr,S,b,c\nt,2,9\n')
+    loaded, parsed = load_database(spark, str(path)), parse_database(text)
+    assert set(loaded) == set(parsed)
+    for name, (attributes, rows) in parsed.items():
+        assert loaded[name].columns == attributes and sorted(map(list, loaded[name].collect())) == sorted(rows)
+    path.write_text("r,R,a,b\nt,1\n")
+    with pytest.raises(Exception, match="MALFORMED"):
+        load_database(spark, str(path))["R"].collect()
+    for bad in ("t,1\n", "q,1\n", 'r,R,a\nt,"1\n'):
+        path.write_text(bad)
+        with pytest.raises(ValueError):
+            load_database(spark, str(path))
     for bad in ("t,1\n", "r,R,a\nt,1,2\n", "q,1\n", "r,R\n", "r,R,a,a\n"):
         with pytest.raises(ValueError):
             parse_database(bad)
@@ -74,3 +84,25 @@ def test_statistics_files(spark, tmp_path):
     for bad in ("size,R,x\n", "size,Q,1\n", "ndv,R,z,1\n", "size,R,-1\n", "other,x\n"):
         with pytest.raises(ValueError):
             parse_statistics(bad, g)
+
+
+def test_records_go_on_across_partitions(spark, tmp_path):
+    rows = [[str(i), "line\n" * (i % 7) + 'x"y' * (i % 3)] for i in range(400)]
+    out = io.StringIO()
+    w = csv.writer(out, lineterminator="\n")
+    w.writerow(["r", "R", "a", "b"])
+    w.writerows(["t", *r] for r in rows)
+    path = tmp_path / "db.csv"
+    path.write_text(out.getvalue())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "37")
+        assert sorted(map(list, load_database(spark, str(path))["R"].collect())) == sorted(rows)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_too_many_values_for_a_histogram_are_told(spark, monkeypatch, caplog):
+    monkeypatch.setattr(stats, "HELD", 2)
+    df = rel.relation(spark, ["a"], [("1",), ("2",), ("3",)])
+    assert stats.collect(df, histograms=True).kind == "ndv" and "histograms of a" in caplog.text

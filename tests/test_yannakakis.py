@@ -5,34 +5,49 @@ import pytest
 from treeline.operators import relation as rel
 from treeline.operators.yannakakis import Yannakakis, tree
 from treeline.queries import CASE1, CASE2, CASE3, fixture
+from treeline.sources.tables import stored
 
 
 def named(tree):
-    return {k: sorted("".join(r) for r in df.collect()) for k, df in tree.named().items()}
+    return {k: sorted(map(tuple, df.collect())) for k, df in tree.named().items()}
 
 
-ALL = sorted(["389", "938", "838", "384", "383", "894", "947"])
+# What the phases leave of the three cases, and their answers.
+ALL_R = [("3", "8", "3"), ("3", "8", "4"), ("3", "8", "9"), ("8", "3", "8"), ("8", "9", "4"), ("9", "3", "8"), ("9", "4", "7")]
+UP_R = [("3", "8", "3"), ("3", "8", "9"), ("8", "3", "8"), ("9", "3", "8")]
+UP_1 = {"d": [("3", "7"), ("3", "8")], "r": UP_R, "s": ALL_R, "t": [("9", "3"), ("9", "5"), ("9", "8")]}
+DOWN_R, DOWN_S, DOWN_T = [("3", "8", "3"), ("3", "8", "9")], [("8", "3", "8"), ("8", "9", "4")], [("9", "8")]
+DOWN_1 = {"d": [("3", "7"), ("3", "8")], "r": DOWN_R, "s": DOWN_S, "t": DOWN_T}
+ANSWERS_1 = [("7", "3", "9", "8", "3", "8"), ("7", "9", "9", "4", "3", "8"), ("8", "3", "9", "8", "3", "8"), ("8", "9", "9", "4", "3", "8")]
+UP_2 = {"d": [("3", "8")], "r": UP_R, "a": [("3", "5"), ("8", "4")], "b": [("3", "2"), ("4", "1"), ("5", "4")], "s": ALL_R, "t": UP_1["t"]}
+DOWN_2 = {"d": [("3", "8")], "r": DOWN_R, "a": [("8", "4")], "b": [("4", "1")], "s": DOWN_S, "t": DOWN_T}
+ANSWERS_2 = [("1", "4", "8", "3", "9", "8", "3", "8"), ("1", "4", "8", "9", "9", "4", "3", "8")]
 
 
 def test_case1_phases(spark):
     y = fixture(spark, CASE1)
-    up = named(y.reduced())
-    assert up == {"d": ["37", "38"], "r": ["383", "389", "838", "938"], "s": ALL, "t": ["93", "95", "98"]}
-    down = named(y.fully_reduced())
-    assert down == {"d": ["37", "38"], "r": ["383", "389"], "s": ["838", "894"], "t": ["98"]}
-    want = {"799438", "899438", "739838", "839838"}
+    assert named(y.reduced()) == UP_1 and named(y.fully_reduced()) == DOWN_1
     for reduce in ("none", "up", "full"):
         out = fixture(spark, CASE1, reduce).all_answers()
-        assert out.columns == ["P", "U", "V", "W", "Y", "Z"] and {"".join(r) for r in out.collect()} == want
+        assert out.columns == ["P", "U", "V", "W", "Y", "Z"] and sorted(map(tuple, out.collect())) == ANSWERS_1
     assert y.bool_answer()
 
 
 def test_case2_phases(spark):
     y = fixture(spark, CASE2)
-    up, down = named(y.reduced()), named(y.fully_reduced())
-    assert up["d"] == ["38"] and up["a"] == ["35", "84"] and up["b"] == ["32", "41", "54"]
-    assert down == {"d": ["38"], "r": ["383", "389"], "a": ["84"], "s": ["838", "894"], "t": ["98"], "b": ["41"]}
-    assert {"".join(r) for r in y.all_answers().collect()} == {"14899438", "14839838"}
+    assert named(y.reduced()) == UP_2 and named(y.fully_reduced()) == DOWN_2
+    assert sorted(map(tuple, y.all_answers().collect())) == ANSWERS_2
+
+
+def test_stored_passes_read_each_node_once_and_stop_at_an_empty_root(spark):
+    for case, want in ((CASE1, ANSWERS_1), (CASE2, ANSWERS_2), (CASE3, [])):
+        root = fixture(spark, case).root
+        y = Yannakakis(root, "full", stored(spark))
+        out = y.all_answers()
+        assert sorted(map(tuple, out.collect())) == want
+        n = len(list(root.nodes()))
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("parquet") == (n if want else 0) and out.columns == fixture(spark, case).all_answers().columns
 
 
 def test_case3_is_unsatisfiable_with_the_full_schema(spark):

@@ -32,9 +32,9 @@ def arguments(argv: Sequence[str] | None = None) -> argparse.Namespace:
     if args.width < 1:
         parser.error("width must be at least 1")
     if args.evaldb and args.evaljoin:
-        parser.error("choose only one of evaldb and evaljoin")
+        parser.error("costs come from a database or from statistics, not from both")
     if args.mode != "enum" and not (args.evaldb or args.evaljoin):
-        parser.error(f"mode {args.mode} requires evaldb or evaljoin")
+        parser.error(f"-mode {args.mode} compares costs: give -evaldb or -evaljoin")
     return args
 
 

@@ -13,8 +13,12 @@ from .operators.yannakakis import Tree, Yannakakis
 from .plans.cost import Evaluator
 from .plans.hypergraph import Decomposition, Hypergraph, Node
 from .plans.shrink import shrink as shrunk
+from .sources.tables import stored
 from .streaming import stream
 
+#: Relative error of distinct counts that plans are chosen by.
+ROUGHLY = 0.05
+
 
 def statistics(tables: Mapping[str, DataFrame], approximate: float | None = None) -> dict[str, Statistics]:
     """One aggregation for each table, all in one job, and a row for each on the driver."""
@@ -79,7 +83,7 @@ class Query:
 
     def costs(self) -> Evaluator:
         if self.evaluator is None:
-            self.evaluator = Evaluator(statistics(self.tables))
+            self.evaluator = Evaluator(statistics(self.tables, ROUGHLY))
         return self.evaluator
 
     def plan(self) -> Decomposition:
@@ -88,14 +92,16 @@ class Query:
             raise ValueError(f"no decomposition of width {self.width} was found")
         return shrunk(found, self.shrink) if self.shrink else found
 
-    def evaluation(self, d: Decomposition | None = None, reduce: str = "none") -> Yannakakis:
-        return Yannakakis(execution_tree(d or self.plan(), self.tables), reduce)
+    def evaluation(self, d: Decomposition | None = None, reduce: str = "none", store: bool = False) -> Yannakakis:
+        keep = stored(next(iter(self.tables.values())).sparkSession) if store else None
+        return Yannakakis(execution_tree(d or self.plan(), self.tables), reduce, keep)
 
-    def answers(self, semantics: str = "bag", reduce: str = "none", columns: Sequence[str] | None = None, plan: Decomposition | None = None) -> DataFrame:
-        """bag: as often as a flat natural join has them; set: once."""
+    def answers(self, semantics: str = "bag", reduce: str = "none", columns: Sequence[str] | None = None, plan: Decomposition | None = None, store: bool = False) -> DataFrame:
+        """bag: as often as a flat natural join has them; set: once. store: each reduction pass writes its nodes to the shared folder
+        (spark.checkpoint.dir) now, rather than leave plans that repeat the passes below them."""
         if semantics not in ("bag", "set"):
             raise ValueError(f"semantics must be bag or set, not {semantics}")
-        out = self.evaluation(plan, reduce).all_answers(columns)
+        out = self.evaluation(plan, reduce, store).all_answers(columns)
         return out.distinct() if semantics == "set" else out
 
     def satisfiable(self) -> bool:

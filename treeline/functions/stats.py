@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import dataclasses
 import functools
+import logging
 import math
 from collections.abc import Mapping, Sequence
 
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HELD = 10_000
+log = logging.getLogger(__name__)
 #: Selectivities below count as none.
 NONE = 1e-9
 
@@ -86,9 +88,13 @@ def semijoin_selectivity(left: DataFrame, right: DataFrame, attribute: str) -> D
 
 
 def collect(df: DataFrame, histograms: bool = False, approximate: float | None = None) -> Statistics:
+    """histograms: of kind "histogram" if no column has more than HELD distinct values; else of kind "ndv", with a warning."""
     row = size_and_ndv(df, approximate).first()
     ndv = {c: row[f"ndv_{c}"] for c in df.columns}
-    if not histograms or max(ndv.values(), default=0) > HELD:
+    if not histograms:
+        return Statistics(row["size"], ndv)
+    if large := [c for c, n in ndv.items() if n > HELD]:
+        log.warning("histograms of %s would have more than %d values: the statistics are of kind ndv", ", ".join(large), HELD)
         return Statistics(row["size"], ndv)
     held = {c: {r.value: r.freq for r in histogram(df.filter(F.col(c).isNotNull()), c).collect()} for c in df.columns}
     return Statistics(row["size"], ndv, held)

@@ -83,14 +83,13 @@ def natural_join(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def join_all(relations: Sequence[DataFrame]) -> DataFrame:
     """Left-deep natural join in an order that keeps to common attributes where it can, so that no product is made for the order's
-    sake."""
+    sake. A relation that is given several times is joined as often."""
     if not relations:
         raise ValueError("nothing to join")
     rest, out = list(relations[1:]), relations[0]
     while rest:
-        nxt = next((r for r in rest if common(out, r)), rest[0])
-        rest = [r for r in rest if r is not nxt]
-        out = natural_join(out, nxt)
+        at = next((i for i, r in enumerate(rest) if common(out, r)), 0)
+        out = natural_join(out, rest.pop(at))
     return out
 
 

@@ -1,12 +1,14 @@
 """Yannakakis' algorithm over a tree of relations.
 
 Every phase gives a new tree of lazy DataFrames, so nothing runs before the caller's action, and Catalyst sees the whole plan.
+A pass refers to what the pass before made, so lazy plans repeat the work below each node; keep= (a function that stores a
+DataFrame and gives it back as stored) makes every node's rows once in each pass, and ends where a node is empty.
 """
 
 from __future__ import annotations
 
 import dataclasses
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +36,9 @@ class Tree:
         for c in self.children:
             yield from c.nodes()
 
+    def map(self, change: Callable[[DataFrame], DataFrame]) -> Tree:
+        return Tree(tuple(map(change, self.relations)), tuple(c.map(change) for c in self.children), self.name)
+
     def named(self) -> dict[str, DataFrame]:
         return {n.name: n.joined for n in self.nodes()}
 
@@ -48,18 +53,25 @@ def compute_nodes(root: Tree) -> Tree:
     return Tree((join_all(root.relations),), tuple(map(compute_nodes, root.children)), root.name)
 
 
-def reduce_up(root: Tree) -> Tree:
+Keep = Callable[[DataFrame], DataFrame]
+
+
+def _lazy(df: DataFrame) -> DataFrame:
+    return df
+
+
+def reduce_up(root: Tree, keep: Keep = _lazy) -> Tree:
     """Children first: each parent semijoined with its reduced children."""
-    children = tuple(map(reduce_up, root.children))
+    children = tuple(reduce_up(c, keep) for c in root.children)
     own = root.joined
     for c in children:
         own = semijoin(own, c.joined)
-    return Tree((own,), children, root.name)
+    return Tree((keep(own),), children, root.name)
 
 
-def reduce_down(root: Tree) -> Tree:
+def reduce_down(root: Tree, keep: Keep = _lazy) -> Tree:
     """Parents first, after reduce_up: each child semijoined with its reduced parent."""
-    children = tuple(reduce_down(Tree((semijoin(c.joined, root.joined),), c.children, c.name)) for c in root.children)
+    children = tuple(reduce_down(Tree((keep(semijoin(c.joined, root.joined)),), c.children, c.name), keep) for c in root.children)
     return Tree(root.relations, children, root.name)
 
 
@@ -83,16 +95,19 @@ class Yannakakis:
     """reduce: "none", "up" or "full". Semijoin passes pay off where they filter much; without them the joins alone give
     the same answers."""
 
-    def __init__(self, root: Tree, reduce: str = "full") -> None:
+    def __init__(self, root: Tree, reduce: str = "full", keep: Keep | None = None) -> None:
         if reduce not in ("none", "up", "full"):
             raise ValueError(f"reduce must be none, up or full, not {reduce}")
-        self.root, self.mode = compute_nodes(root), reduce
+        self.root, self.mode, self.keep = compute_nodes(root), reduce, keep
 
     def reduced(self) -> Tree:
-        return reduce_up(self.root)
+        return reduce_up(self.root, self.keep or _lazy)
 
     def fully_reduced(self) -> Tree:
-        return reduce_down(reduce_up(self.root))
+        up = self.reduced()
+        if self.keep and up.joined.isEmpty():  # nothing is left to reduce below an empty root
+            return up
+        return reduce_down(up, self.keep or _lazy)
 
     def bool_answer(self) -> bool:
         """Whether there is an answer: one job for the reduced root, and one for each node that shares nothing with its parent."""
@@ -115,5 +130,8 @@ class Yannakakis:
     def all_answers(self, columns: Sequence[str] | None = None) -> DataFrame:
         """All answers, columns sorted by name unless given; no rows where there is none."""
         root = {"none": lambda: self.root, "up": self.reduced, "full": self.fully_reduced}[self.mode]()
+        if self.keep and self.mode != "none" and root.joined.isEmpty():  # the joins' columns, of no rows, and none of the joins
+            spark = root.joined.sparkSession
+            root = root.map(lambda df: spark.createDataFrame([], df.schema))
         out = join_up(root)
         return out.select(*(columns or sorted(out.columns)))

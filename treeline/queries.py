@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .engine import Query, statistics
+from .engine import ROUGHLY, Query, statistics
 from .functions import stats
 from .operators import relation as rel
 from .operators.yannakakis import Yannakakis, tree
@@ -15,8 +15,8 @@ from .plans.cost import Evaluator
 from .plans.decompose import decompositions
 from .plans.export import plan_table
 from .plans.hypergraph import Hypergraph
-from .sources.csv_files import parse_database
-from .sources.tables import bind, table
+from .sources.csv_files import load_database, load_statistics, parse_database
+from .sources.tables import bind, shared_folder, table
 
 CHAIN = {
     "region": ("region", {"r_regionkey": "rk"}),
@@ -34,8 +34,9 @@ TRIANGLE = {
     "b": ("lineitem", {"l_suppkey": "sk", "l_partkey": "pk"}),
     "c": ("lineitem", {"l_orderkey": "ok", "l_partkey": "pk"}),
 }
-#: Relative error of distinct counts that plans are chosen by.
-ROUGHLY = 0.05
+
+#: A cycle whose atoms, joined as written, make every customer's pairs with the suppliers of a nation first.
+LOCAL = {n: CYCLE[n] for n in ("customer", "supplier", "lineitem", "orders")}
 
 # The rows of the three test cases of the evaluator, whose answers are known.
 CASE1 = """\
@@ -170,6 +171,22 @@ def estimate_semijoin_size_ndv(spark, d):
     return spark.createDataFrame([tuple(made)], "est_supplier long, est_nation long")
 
 
+def _histograms(spark, d) -> list[stats.Statistics]:
+    return [stats.collect(x.select("nk"), histograms=True) for x in atoms(spark, d, "customer", "supplier", "nation")]
+
+
+def estimate_join_size_hist(spark, d):
+    made = stats.estimate_join(_histograms(spark, d))
+    return spark.createDataFrame([(made.size, made.ndv["nk"])], "est_size long, ndv_nk long")
+
+
+def estimate_semijoin_size_hist(spark, d):
+    customer, supplier, nation = _histograms(spark, d)
+    few = stats.collect(rel.rename(rel.select(table(spark, d, "supplier"), "s_nationkey % 3 = 0"), {"s_nationkey": "nk"}), histograms=True)
+    made = [stats.estimate_semijoin(customer, few).size, stats.estimate_semijoin(nation, supplier).size]
+    return spark.createDataFrame([tuple(made)], "est_customer long, est_nation long")
+
+
 def yannakakis_chain_all(spark, d):
     return chain(spark, d).all_answers()
 
@@ -206,7 +223,17 @@ def cq_cycle_set(spark, d):
 
 
 def cq_cycle_full_reduction(spark, d):
-    return cycle(spark, d).answers(reduce="full")
+    return cycle(spark, d).answers(reduce="full", store=True)
+
+
+def cq_local_suppliers(spark, d):
+    tables = bind(spark, d, LOCAL)
+    return Query(Hypergraph.parse("customer(ck,nk), supplier(sk,nk), lineitem(ok,sk), orders(ok,ck)."), tables).answers()
+
+
+def node_join_repeated_relation(spark, d):
+    customer, orders = atoms(spark, d, "customer", "orders")
+    return rel.join_all([customer, orders, orders])
 
 
 def cq_triangle_complete(spark, d):
@@ -226,7 +253,22 @@ def decompositions_enum(spark, d):
     return plan_table(spark, decompositions(Hypergraph.parse("R(a,b), S(b,c), T(c,d)."), 1))
 
 
+def decompositions_cycle_width2(spark, d):
+    return plan_table(spark, decompositions(Hypergraph.parse("R(a,b), S(b,c), T(a,c)."), 2))
+
+
 def cost_ranking(spark, d):
+    """All trees of a path of three atoms, by exact statistics."""
+    names = ("customer", "nation")
+    tables = bind(spark, d, {n: CYCLE[n] for n in names} | {"region": ("region", {"r_regionkey": "rk", "r_name": "rn"})})
+    graph = Hypergraph.parse("customer(ck,nk), nation(nk,rk), region(rk,rn).")
+    costs = Evaluator(statistics(tables))
+    found = sorted((costs.cost(t), i, t) for i, t in enumerate(decompositions(graph, 1)))
+    return spark.createDataFrame([(i + 1, float(c), ",".join(t.root.cover)) for i, (c, _, t) in enumerate(found)], "rank int, cost double, root string")
+
+
+def cost_ranking_cycle(spark, d):
+    """All trees of the six-way cycle, by approximate distinct counts."""
     q = cycle(spark, d)
     costs = sorted((q.costs().cost(t), i, t) for i, t in enumerate(decompositions(q.graph, 2)))
     rows = [(i + 1, float(c), t.width(), str(t)) for i, (c, _, t) in enumerate(costs)]
@@ -250,6 +292,59 @@ def load_csv_database(spark, d):
     return rel.natural_join(loaded["R"], loaded["S"])
 
 
+def _written(spark, lines: DataFrame) -> str:
+    """A file with these lines, in their order."""
+    folder = shared_folder(spark)
+    lines.coalesce(1).write.text(folder)
+    return folder
+
+
+def load_csv_file(spark, d):
+    """Nations and regions written as a database file, one field with a line break, a quote and a comma, and loaded again."""
+    quoted = F.concat(F.lit('"'), F.replace(F.col("name"), F.lit('"'), F.lit('""')), F.lit('"'))
+    head = lambda text: spark.createDataFrame([(text,)], "value string")
+    region = table(spark, d, "region").select(F.col("r_regionkey").cast("string").alias("k"), F.concat("r_name", F.lit(', "r"\nof ')).alias("name"))
+    nation = table(spark, d, "nation").selectExpr("concat('t,', n_nationkey, ',', n_regionkey) AS value")
+    lines = head("r,nation,nk,rk").union(nation).union(head("r,region,rk,rn")).union(region.select(F.concat(F.lit("t,"), "k", F.lit(","), quoted)))
+    loaded = load_database(spark, _written(spark, lines))
+    return rel.natural_join(loaded["nation"], loaded["region"])
+
+
+def load_statistics_file(spark, d):
+    text = ["size,R,100", "ndv,R,a,10", "ndv,R,b,20", "size,S,50", "ndv,S,b,5", "size,T,7", "size,R,S,200", "note,3"]
+    path = _written(spark, spark.createDataFrame([(x,) for x in text], "value string").coalesce(1))
+    graph = Hypergraph.parse("R(a,b), S(b,c), T(c,d).")
+    single, joins = load_statistics(spark, path, graph)
+    rows = [(e, s.size, ",".join(f"{v}={s.ndv[v]}" for v in sorted(s.ndv))) for e, s in single.items()]
+    rows += [(",".join(sorted(k)), n, "") for k, n in joins.items()]
+    return spark.createDataFrame(rows, "edges string, size long, ndv string")
+
+
+def _random(spark, n: int, shift: int) -> DataFrame:
+    """Three columns of 500, 200 and 100 values that look random."""
+    value = lambda by, m: f"cast((id + {shift}) * {by} % 2147483647 % {m} as string)"
+    return spark.range(1, n + 1).selectExpr(f"{value(48271, 500)} AS a", f"{value(69621, 200)} AS b", f"{value(16807, 100)} AS c")
+
+
+SMALL, BIG = (1000, 0), (100_000, 5_000_000)
+
+
+def join_small_big(spark, d):
+    return rel.natural_join(_random(spark, *SMALL), _random(spark, *BIG))
+
+
+def join_big_small(spark, d):
+    return rel.natural_join(_random(spark, *BIG), _random(spark, *SMALL))
+
+
+def semijoin_small_big(spark, d):
+    return rel.semijoin(_random(spark, *SMALL), _random(spark, *BIG))
+
+
+def semijoin_big_small(spark, d):
+    return rel.semijoin(_random(spark, *BIG), _random(spark, *SMALL))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -257,7 +352,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         project_bag_distinct, node_join_three_tables, stats_size_ndv_lineitem, histogram_orders_custkey, hist_join_matching, hist_semijoin_selectivity,
         estimate_join_size_ndv, estimate_semijoin_size_ndv, yannakakis_chain_all, yannakakis_chain_reduced_root, yannakakis_chain_fully_reduced_leaf,
         yannakakis_bool_sat, yannakakis_bool_unsat, cq_cycle_best, cq_cycle_bnb, cq_cycle_set, cq_cycle_full_reduction, cq_triangle_complete,
-        shrink_soft_answers, shrink_hard_answers, decompositions_enum, cost_ranking, fixture_case1, fixture_case2, fixture_case3, load_csv_database,
+        shrink_soft_answers, shrink_hard_answers, decompositions_enum, decompositions_cycle_width2, cost_ranking, cost_ranking_cycle, fixture_case1, fixture_case2, fixture_case3,
+        load_csv_database, load_csv_file, load_statistics_file, node_join_repeated_relation, cq_local_suppliers, estimate_join_size_hist, estimate_semijoin_size_hist,
+        join_small_big, join_big_small, semijoin_small_big, semijoin_big_small,
     )
 }
 
@@ -268,7 +365,56 @@ JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey
 _CYCLE_BAG = _CYCLE_SQL.format(d="")
 _CHAIN_SQL = "FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey"
 
+
+
+def _random_sql(n: int, shift: int) -> str:
+    value = lambda by, m: f"CAST((i + {shift}) * {by} % 2147483647 % {m} AS VARCHAR)"
+    return f"(SELECT {value(48271, 500)} AS a, {value(69621, 200)} AS b, {value(16807, 100)} AS c FROM range(1, {n + 1}) t(i))"
+
+
+_JOIN_SQL = f"SELECT s.a, s.b, s.c FROM {_random_sql(*SMALL)} s JOIN {_random_sql(*BIG)} b ON s.a = b.a AND s.b = b.b AND s.c = b.c"
+_SEMIJOIN_SQL = "SELECT a, b, c FROM {0} x WHERE EXISTS (SELECT 1 FROM {1} y WHERE x.a = y.a AND x.b = y.b AND x.c = y.c)"
+
+
 ORACLES: dict[str, str] = {
+    "join_small_big": _JOIN_SQL,
+    "join_big_small": _JOIN_SQL,
+    "semijoin_small_big": _SEMIJOIN_SQL.format(_random_sql(*SMALL), _random_sql(*BIG)),
+    "semijoin_big_small": _SEMIJOIN_SQL.format(_random_sql(*BIG), _random_sql(*SMALL)),
+    "node_join_repeated_relation": "SELECT c_custkey AS ck, c_nationkey AS nk, a.o_orderkey AS ok FROM customer JOIN orders a ON a.o_custkey = c_custkey JOIN orders b ON b.o_orderkey = a.o_orderkey AND b.o_custkey = a.o_custkey",
+    "load_csv_file": """
+SELECT CAST(n_nationkey AS VARCHAR) AS nk, CAST(n_regionkey AS VARCHAR) AS rk, r_name || ', "r"' || chr(10) || 'of ' AS rn
+FROM nation JOIN region ON n_regionkey = r_regionkey""",
+    "load_statistics_file": """
+SELECT edges, CAST(size AS BIGINT) AS size, ndv FROM (VALUES
+('R', 100, 'a=10,b=20'), ('S', 50, 'b=5,c=50'), ('T', 7, 'c=7,d=7'), ('R,S', 200, '')) t(edges, size, ndv)""",
+    "cq_local_suppliers": """
+SELECT c_custkey AS ck, c_nationkey AS nk, o_orderkey AS ok, s_suppkey AS sk
+FROM orders JOIN customer ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey AND s_nationkey = c_nationkey""",
+    "estimate_join_size_hist": """
+WITH a AS (SELECT c_nationkey AS v, count(*) AS n FROM customer GROUP BY 1), b AS (SELECT s_nationkey AS v, count(*) AS n FROM supplier GROUP BY 1),
+c AS (SELECT n_nationkey AS v, count(*) AS n FROM nation GROUP BY 1)
+SELECT CAST(sum(a.n * b.n * c.n) AS BIGINT) AS est_size, count(*) AS ndv_nk FROM a JOIN b USING (v) JOIN c USING (v)""",
+    "estimate_semijoin_size_hist": """
+SELECT (SELECT count(*) FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_nationkey % 3 = 0)) AS est_customer,
+       (SELECT count(*) FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier)) AS est_nation""",
+    "decompositions_cycle_width2": """
+WITH b(cover, bag) AS (VALUES ('R', 'a,b'), ('S', 'b,c'), ('T', 'a,c'), ('R,S', 'a,b,c'), ('R,T', 'a,b,c'), ('S,T', 'a,b,c')),
+t(decomp_id, root, child) AS (VALUES (0, 'R', 'R,S'), (1, 'R', 'R,T'), (2, 'R', 'S,T'), (3, 'S', 'R,S'), (4, 'S', 'R,T'), (5, 'S', 'S,T'),
+  (6, 'T', 'R,S'), (7, 'T', 'R,T'), (8, 'T', 'S,T'), (9, 'R,S', NULL), (10, 'R,T', NULL), (11, 'S,T', NULL))
+SELECT CAST(decomp_id AS INTEGER) AS decomp_id, CAST(0 AS INTEGER) AS node_id, CAST(-1 AS INTEGER) AS parent_id, bag, cover FROM t JOIN b ON cover = root
+UNION ALL SELECT CAST(decomp_id AS INTEGER), CAST(1 AS INTEGER), CAST(0 AS INTEGER), bag, cover FROM t JOIN b ON cover = child""",
+    "cost_ranking": """
+WITH s AS (
+  SELECT (SELECT count(*) FROM customer) AS c, (SELECT count(DISTINCT c_custkey) FROM customer) AS c_ck, (SELECT count(DISTINCT c_nationkey) FROM customer) AS c_nk,
+         (SELECT count(*) FROM nation) AS n, (SELECT count(DISTINCT n_nationkey) FROM nation) AS n_nk, (SELECT count(DISTINCT n_regionkey) FROM nation) AS n_rk,
+         (SELECT count(*) FROM region) AS r, (SELECT count(DISTINCT r_regionkey) FROM region) AS r_rk, (SELECT count(DISTINCT r_name) FROM region) AS r_rn),
+m AS (SELECT *, least(n, n_nk * least(n_rk, r_rk)) AS n_by_r, least(n, least(n_nk, c_nk) * n_rk) AS n_by_c FROM s),
+k(i, root, cost) AS (
+  SELECT 0, 'customer', r + n + n_by_r + c + least(c, c_ck * least(c_nk, n_nk)) FROM m
+  UNION ALL SELECT 1, 'nation', n + c + n_by_c + r + least(n_by_c, least(n_nk, c_nk) * least(n_rk, r_rk)) FROM m
+  UNION ALL SELECT 2, 'region', r + n + c + n_by_c + least(r, least(r_rk, n_rk) * r_rn) FROM m)
+SELECT CAST(row_number() OVER (ORDER BY cost, i) AS INTEGER) AS rank, CAST(cost AS DOUBLE) AS cost, root FROM k""",
     "natural_join_orders_customer": "SELECT o_orderkey AS ok, c_custkey AS ck, c_nationkey AS nk FROM orders JOIN customer ON o_custkey = c_custkey",
     "cross_region_nation": "SELECT r_name AS region, n_name AS nation FROM region CROSS JOIN nation",
     "self_intersection_bag": "SELECT a.l_orderkey AS ok, a.l_suppkey AS sk FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey = b.l_suppkey",

@@ -14,7 +14,7 @@ MODES = ("enum", "best", "bnb")
 def stream(graph: Hypergraph, k: int, mode: str = "enum", evaluator: Evaluator | None = None, seconds: float | None = None, complete: bool = False, root_single_edge: bool = False) -> Iterator[Decomposition]:
     """enum: all trees as found; best and bnb: the cheapest, if there is one."""
     if mode not in MODES:
-        raise ValueError(f"mode {mode} unknown, choose between {', '.join(MODES)}")
+        raise ValueError(f"no search is called {mode}; there are {' and '.join(MODES)}")
     if mode == "enum":
         yield from decompositions(graph, k, seconds=seconds, complete=complete, root_single_edge=root_single_edge)
         return
