@@ -36,25 +36,53 @@ def test_components(spark):
     assert all(got[x] == want[x] for a, b in links if a != b for x in (a, b))
 
 
-@pytest.mark.parametrize("table,n", [("docs", 13), ("plain", 13), ("plain", 5), ("nothing", 13)])
-def test_repeated_windows_go(request, table, n):
+def test_lengths_double():
+    assert substrings.lengths(13) == [7, 13] and substrings.lengths(50) == [7, 13, 25, 50] and substrings.lengths(5) == [5] and substrings.lengths(13, 2) == [2, 4, 7, 13]
+
+
+@pytest.mark.parametrize("table,n,first,chunk", [("docs", 13, 6, 1 << 19), ("docs", 13, 2, 40), ("plain", 13, 6, 100), ("plain", 5, 2, 30), ("plain", 1, 1, 50), ("plain", 140, 6, 50), ("nothing", 13, 6, 50)])
+def test_repeated_windows_go(request, table, n, first, chunk):
     df = request.getfixturevalue(table)
     rows = [(LAST if r.doc_id is None else r.doc_id, r.doc_id, WORDS.findall(r.text or "")) for r in df.collect()]
-    first = {}
+    least = {}
     for d, _, w in rows:
         for i in range(len(w) - n + 1):
-            first[tuple(w[i : i + n])] = min(d, first.get(tuple(w[i : i + n]), LAST + 1))
+            least[tuple(w[i : i + n])] = min(d, least.get(tuple(w[i : i + n]), LAST + 1))
     want = []
     for d, doc_id, w in rows:
         gone = set()
         for i in range(len(w) - n + 1):
-            if first[tuple(w[i : i + n])] < d:
+            if least[tuple(w[i : i + n])] < d:
                 gone.update(range(i, i + n))
         want.append((doc_id, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
-    got = substrings.without_repeats(df, n)
+    got = substrings.without_repeats(df, n, first, chunk)
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
 
 
+def test_long_texts_and_passages_of_many_documents(spark):
+    rng = random.Random(7)
+    passage = [f"p{i}" for i in range(160)]
+    rows = []
+    for i in range(120):
+        own = [f"o{i}_{k}" for k in range(rng.randrange(40))]
+        rows.append((i, " ".join(own + (passage if i % 3 == 0 else passage[: rng.randrange(160)]))))
+    rows.append((500, " ".join(rng.choice("abc") for _ in range(60_000)) + " " + "x" * 100_000))
+    rows.append((501, rows[-1][1][2:]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for n in (13, 140):
+        seen, want = {}, {}
+        for d, t in rows:
+            w = t.split()
+            own, gone = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}, set()
+            for i in range(len(w) - n + 1):
+                if seen.get(tuple(w[i : i + n]), d) < d:
+                    gone.update(range(i, i + n))
+            for x in own:
+                seen.setdefault(x, d)
+            want[d] = (len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone))
+        assert {r.doc_id: tuple(r)[1:] for r in substrings.without_repeats(df, n, chunk=4000).collect()} == want
+
+
 def shingle_set(text, n):
     w = WORDS.findall((text or "").translate(LOWER))
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} - {()}

@@ -71,51 +71,67 @@ def test_quality_of_odd_rows(spark, docs, nothing):
 # --- language model ------------------------------------------------------------------------------------------------------
 
 
-def brute_scores(texts, held, least):
-    c = Counter(w for t, h in zip(texts, held) if not h for w in t)
-    n, v, lam = sum(c.values()), len(c), suffix_tree.WEIGHTS
-    p0 = lambda w: (c[w] + 1) / (n + v + 1)
-    c1, c2 = Counter(), Counter()
+def brute_scores(texts, held, depth, least):
+    """Counts of all runs of words, and contexts kept by the divergence test from the shortest on; scores of all texts."""
+    counts = [Counter() for _ in range(depth + 1)]
     for t, h in zip(texts, held):
         if not h:
-            c1.update(zip(t, t[1:]))
-            c2.update(zip(t, t[1:], t[2:]))
-
-    def keep(candidates, counts, below):
+            for d in range(depth + 1):
+                counts[d].update(zip(*(t[i:] for i in range(d + 1))))
+    n, v, lam = sum(counts[0].values()), len(counts[0]), suffix_tree.WEIGHTS
+    states, candidates = {}, {()}
+
+    def p(context, w):
+        """By the longest of the states that the context ends with."""
+        out = (counts[0][w,] + 1) / (n + v + 1)
+        for d in range(1, len(context) + 1):
+            c = context[-d:]
+            if c in states:
+                out = (counts[d][*c, w] + states[c] * out) / (counts[d - 1][c] + states[c])
+        return out
+
+    for d in range(1, depth + 1):
+        candidates = {c for c, m in counts[d - 1].items() if m >= least and c[-1] is not None and c[:-1] in candidates}
         gains = {}
-        for k, m in counts.items():
+        for k, m in counts[d].items():
             if k[:-1] in candidates:
-                p, seen = below(k[1:]), candidates[k[:-1]]
-                g = gains.setdefault(k[:-1], [0.0] * len(lam))
-                for q, w in enumerate(lam):
-                    g[q] += m * (math.log((m - 1 + w * p) / (seen - 1 + w)) - math.log(p))
-        return {k: lam[g.index(max(g))] for k, g in gains.items() if max(g) > suffix_tree.GAIN and max(g) > suffix_tree.GAIN_EACH * candidates[k]}
-
-    first = {(w,): m for w, m in c.items() if m >= least and w is not None}
-    kept1 = keep(first, c1, lambda s: p0(s[-1]))
-    p1 = lambda a, w: (c1[a, w] + kept1[a,] * p0(w)) / (first[a,] + kept1[a,]) if (a,) in kept1 else p0(w)
-    second = {k: m for k, m in c1.items() if m >= least and k[1] is not None and (k[0],) in first}
-    kept2 = keep(second, c2, lambda s: p1(*s))
-    p2 = lambda a, b, w: (c2[a, b, w] + kept2[a, b] * p1(b, w)) / (second[a, b] + kept2[a, b]) if (a, b) in kept2 else p1(b, w)
+                c, q = k[:-1], p(k[1:-1], k[-1])
+                g = gains.setdefault(c, [0.0] * len(lam))
+                for i, w in enumerate(lam):
+                    g[i] += m * (math.log((m - 1 + w * q) / (counts[d - 1][c] - 1 + w)) - math.log(q))
+        states |= {c: lam[g.index(max(g))] for c, g in gains.items() if max(g) > suffix_tree.GAIN and max(g) > suffix_tree.GAIN_EACH * counts[d - 1][c]}
     out = []
     for t in texts:
-        s = sum(math.log10(p0(w) if j == 0 else p1(t[0], w) if j == 1 else p2(t[j - 2], t[j - 1], w)) for j, w in enumerate(t))
-        out.append((len(t), sum(w in c for w in t), n, sum(math.log10(p0(w)) for w in t), s))
-    return out, len(kept1), len(kept2)
+        score = sum(math.log10(p(tuple(t[max(0, j - depth) : j]), w)) for j, w in enumerate(t))
+        out.append((len(t), sum((w,) in counts[0] for w in t), n, sum(math.log10((counts[0][w,] + 1) / (n + v + 1)) for w in t), score))
+    return out, Counter(map(len, states))
 
 
-def test_scores_against_brute_force(docs):
+@pytest.mark.parametrize("depth,least,chunk", [(2, 4, 300), (3, 2, 300), (4, 2, 1 << 19)])
+def test_scores_against_brute_force(docs, depth, least, chunk):
     given = docs.union(docs).union(docs)
     rows = given.collect()
     texts = [[*WORDS.findall((r.text or "").translate(LOWER)), None] for r in rows]
     held = [r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 7 == 2 for r in rows]
-    want, kept1, kept2 = brute_scores(texts, held, 4)
-    assert kept1 > 3 and kept2 > 3
-    fields = lambda i, h, x: (i is None, i or 0, h, *x[:3], round(x[3], 6), round(x[4], 6))
-    got = sorted(fields(r.doc_id, r.held_out, (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score)) for r in suffix_tree.score(given, least=4, share=0, chunk=300).collect())
+    want, kept = brute_scores(texts, held, depth, least)
+    assert kept[1] > 3 and kept[2] > 3
+    fields = lambda i, h, x: (i is None, i or 0, h, *x[:3], round(x[3], 4), round(x[4], 4))
+    got = sorted(fields(r.doc_id, r.held_out, (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score)) for r in suffix_tree.score(given, depth, least, chunk).collect())
     assert got == sorted(fields(r.doc_id, h, w) for r, h, w in zip(rows, held, want))
 
 
+def test_the_registered_scores_against_brute_force(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    texts = [[*WORDS.findall((r.text or "").translate(LOWER)), None] for r in rows]
+    held = [zlib.crc32(str(r.doc_id).encode()) % 7 == 2 for r in rows]
+    want, _ = brute_scores(texts, held, suffix_tree.DEPTH, suffix_tree.SEEN)
+    got = {r.doc_id: r for r in suffix_tree.op9_suffix_tree(spark, "/root/testdata/sf0.001").collect()}
+    for r, h, w in zip(rows, held, want):
+        g = got[r.doc_id]
+        assert (g.held_out, g.n_tokens, g.n_known, g.train_tokens) == (h, *w[:3])
+        assert g.base_score == pytest.approx(w[3], rel=1e-9) and g.score == pytest.approx(w[4], rel=1e-6)
+
+
 def test_no_documents_to_learn_from(spark, nothing):
     assert suffix_tree.score(nothing).count() == 0
     only = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
@@ -125,10 +141,9 @@ def test_no_documents_to_learn_from(spark, nothing):
 
 def test_a_context_is_a_state_in_a_large_corpus_too(spark):
     filler = spark.range(20).selectExpr("id AS doc_id", f"repeat('z ', {1 << 20}) AS text")
-    phrase = spark.range(1000, 1300).selectExpr("id AS doc_id", "'alpha beta' AS text")
+    phrase = spark.range(1000, 1012).selectExpr("id AS doc_id", "'alpha beta' AS text")
     rows = suffix_tree.score(filler.union(phrase)).filter("doc_id >= 1000").collect()
-    seen = sum(not r.held_out for r in rows)
-    assert suffix_tree.SEEN <= seen < 2e-5 * rows[0].train_tokens
+    assert sum(not r.held_out for r in rows) < 1e-6 * rows[0].train_tokens
     assert all(r.score > r.base_score + 1 for r in rows)
 
 

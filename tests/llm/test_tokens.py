@@ -85,10 +85,10 @@ def test_token_files_hold_every_document_in_order(request, table, monkeypatch):
     df = request.getfixturevalue(table)
     blocks, ranks = token_files.write(df, Scratch(df.sparkSession), WORD)
     e = token_files.Encoder(WORD)
-    want = sorted(((r.doc_id is not None, r.doc_id or 0), np.array([*e.inner.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4").tobytes()) for r in df.collect())
+    want = sorted(((r.doc_id is None, r.doc_id or 0), np.array([*e.inner.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4").tobytes()) for r in df.collect())
     rows = sorted(token_files.read(blocks, ranks).collect(), key=lambda r: r.start)
-    assert sorted(((r.doc_id is not None, r.doc_id or 0), bytes(r.ids)) for r in rows) == want
-    assert [(r.doc_id is not None, r.doc_id or 0) for r in rows] == [k for k, _ in want]
+    assert sorted(((r.doc_id is None, r.doc_id or 0), bytes(r.ids)) for r in rows) == want
+    assert [(r.doc_id is None, r.doc_id or 0) for r in rows] == [k for k, _ in want]
     at = 0
     for r in rows:
         assert r.start == at and r.n_tokens * 4 == len(r.ids)

@@ -18,10 +18,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import prepare, slices, table
-from .segments import CLASS, GAP, ODD, Memory, binaries, buffers, classes, hashes, per_text, runs
+from .common import byte_hashes, prepare, slices, table
+from .segments import CLASS, GAP, ODD, Memory, binaries, buffers, classes, per_text, runs
 
 RANKS = "byte_bpe_50k.tiktoken"
+#: The pattern whose matches are runs of classes. Fixed value.
+CUT_BY_CLASS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bounds of what a worker remembers; beyond one, that memory starts anew.
 STATES, PAIRS = 30_000, 150_000
 
@@ -219,13 +221,14 @@ class Codec:
     Where a text's bytes are ASCII or letters from U+00C0 to U+00FF, the pattern's matches are runs of letters, of digits or of
     marks, each with the space before it, and white space: these are cut by class of bytes. Runs between white space that
     hold other bytes or an apostrophe go through the pattern whole, with the space before; texts that may hold white space
-    beyond ASCII go through it altogether. A run's ids are remembered.
+    beyond ASCII go through it altogether. A run's ids are remembered. With another pattern than CUT_BY_CLASS all texts go through it
+    whole.
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         import regex
 
-        self.machine, self.split = Transducer(ranks), regex.compile(pattern).findall
+        self.machine, self.split, self.by_runs = Transducer(ranks), regex.compile(pattern).findall, pattern == CUT_BY_CLASS
         self.memory = Memory(lambda raw: [self._run(x) for x in raw])
         self.table = [self.machine.bytes_of.get(i, b"") for i in range(max(self.machine.bytes_of, default=0) + 1)]
         self.lengths = np.array([len(t) for t in self.table], np.int64)
@@ -243,6 +246,9 @@ class Codec:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and their bounds."""
+        if not self.by_runs:
+            parts = [self._pattern(x or "") for x in texts.to_pylist()]
+            return np.concatenate([np.zeros(0, np.uint32), *parts]), np.cumsum([0, *map(len, parts)])
         data, offsets = buffers(texts)
         n = len(data)
         found = classes(data, offsets)
@@ -272,7 +278,7 @@ class Codec:
         if odd.any():
             keep = ~odd[np.searchsorted(offsets, starts, "right") - 1] if len(starts) else np.zeros(0, bool)
             starts, ends = starts[keep], ends[keep]
-        ids, size = self.memory.lookup(hashes(data, starts, ends), data, starts, ends)
+        ids, size = self.memory.lookup(byte_hashes(data, starts, ends), data, starts, ends)
         bounds = per_text(size, starts, offsets)
         if odd.any():
             raw = data.tobytes()
@@ -395,16 +401,17 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids of encode() -> doc_id, text, as the stream decoder has it."""
+    """doc_id, n_tokens, ids of encode() -> doc_id, text, as the stream decoder has it. No ids give an empty text, null ids a null one;
+    null doc_ids and repeated rows stay; other columns are left out; an empty table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
-            texts = [decoded(own, np.frombuffer(x, "<u4")) for x in batch.column("ids").to_pylist()]
+            texts = [None if x is None else decoded(own, np.frombuffer(x, "<u4")) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     prepare(encoded.sparkSession)
-    return encoded.mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
 def with_decoded(encoded: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import hashlib
 import os
 import tempfile
 import uuid
@@ -32,7 +34,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def prepare(spark: SparkSession) -> None:
     """Arrow batches of about BATCH_BYTES at most, and Python workers that look for this package where the driver found it (where
-    that is another place on the workers, the package is to be installed there or sent along with --py-files)."""
+    that is another place on the workers, the package is to be installed there or sent along with --py-files). Both stay as they are
+    set, as results are lazy and their plans read the settings when they run."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if not 0 < int(spark.conf.get(key).rstrip("b")) <= BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
@@ -42,24 +45,37 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests on one machine), a new local one."""
+    """The folder in spark.checkpoint.dir; where that is unset, a new local one if the session runs on this machine alone."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="treeline-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
 class Scratch:
-    """Tables written to the shared folder, which cut lineage and survive the loss of executors."""
+    """Tables written to the shared folder, which cut lineage and survive the loss of executors. Results are lazy and read them, so
+    they stay until close(), or until the driver's process ends."""
 
     def __init__(self, spark: SparkSession) -> None:
         prepare(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/treeline-{uuid.uuid4().hex}"
-        self.made = 0
+        self.made, self.tables = 0, []
+        atexit.register(self.close)
+
+    def close(self) -> None:
+        """Deletes all tables. What was returned from them can't be read any more."""
+        atexit.unregister(self.close)
+        if self.spark.sparkContext._jsc is None:  # stopped: nothing to ask
+            return
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.drop(self.root)
 
     def write(self, df: DataFrame, codec: str = "zstd") -> tuple[DataFrame, str]:
         self.made += 1
@@ -98,6 +114,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SLICE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
+#: Bytes of a run that is hashed eight at a time; longer ones go through blake2b one by one.
+_SHORT = 256
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -109,16 +127,38 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-_powers: list[np.ndarray] = []
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as little-endian integers; zeros after the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
 
 
-def _power_tables(n: int) -> list[np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 20)
-        inverse = pow(_BASE, -1, 1 << 64)
-        _powers[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, b, np.uint64)]), dtype=np.uint64) for b in (_BASE, inverse)]
-    return _powers
+def low_bytes(n: np.ndarray) -> np.ndarray:
+    """Masks of the first n of eight bytes."""
+    return _MASKS[np.minimum(n, 8)]
+
+
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+
+def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges. Ranges of one length up to eight never share one; others do by chance only: each step
+    scrambles what came before before the next eight bytes are added."""
+    n = end - start
+    h = mix64((n.astype(np.uint64) + np.uint64(1)) * np.uint64(_BASE))
+    if not len(n):
+        return h
+    wide = eights(data)
+    h = mix64(h ^ (wide[start] & low_bytes(n)))
+    rest = np.flatnonzero((n > 8) & (n <= _SHORT))
+    j = 8
+    while len(rest):
+        h[rest] = mix64((h[rest] ^ (wide[start[rest] + j] & low_bytes(n[rest] - j))) + np.uint64(j))
+        j += 8
+        rest = rest[n[rest] > j]
+    for i in np.flatnonzero(n > _SHORT).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8).digest(), "little")
+    return h
 
 
 def _pieces(offsets: np.ndarray, data: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -169,11 +209,7 @@ class Words:
             inside = offsets[np.searchsorted(offsets, lo) : np.searchsorted(offsets, hi)] - lo
             before[inside], after[inside[inside > 0] - 1] = True, True
             s, e = np.flatnonzero(~gap & before), np.flatnonzero(~gap & after) + 1
-            up, down = _power_tables(len(part) + 1)
-            sums = np.empty(len(part) + 1, np.uint64)
-            sums[0] = 0
-            np.cumsum(_BYTE[part] * up[: len(part)], out=sums[1:])
-            hashes.append(mix64((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)))
+            hashes.append(byte_hashes(part, s, e))
             starts.append(s + lo)
             ends.append(e + lo)
         self.hash = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
@@ -203,10 +239,6 @@ def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def unsigned(x: pa.Array) -> np.ndarray:
-    return np.asarray(x).astype(np.int64, copy=False).view(np.uint64)
-
-
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut into ones with about so many bytes of text, so that memory doesn't follow the batch size."""
     for batch in batches:

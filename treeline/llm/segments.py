@@ -7,7 +7,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 
-from .common import _BYTE, _power_tables, mix64
+from .common import eights, low_bytes
 
 GAP, LETTER, DIGIT, MARK, ODD = range(5)
 #: Classes of bytes. Odd are an apostrophe (it begins a match of its own in both patterns), control character 1 (it stands
@@ -65,32 +65,28 @@ def runs(found: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    up, down = _power_tables(len(data) + 1)
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
-    return mix64((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
-
-
 class Memory:
-    """Ids of segments by their 64-bit hash. learn() gives ids of new segments; beyond most entries the memory starts anew."""
+    """Ids of segments, found by their 64-bit hash and then compared byte by byte. learn() gives ids of new segments; beyond most
+    entries the memory starts anew. A segment whose hash another one has is learnt each time."""
 
     BITS = 20
 
-    def __init__(self, learn: Callable[[list[bytes]], list[np.ndarray]], most: int = 800_000) -> None:
-        self.learn, self.most = learn, most
+    def __init__(self, learn: Callable[[list[bytes]], list[np.ndarray]], most: int = 800_000, most_bytes: int = 32 << 20) -> None:
+        self.learn, self.most, self.most_bytes = learn, most, most_bytes
         self._restart()
 
     def _restart(self) -> None:
         self.slot = [np.zeros(1 << self.BITS, np.int32) for _ in range(2)]
         self.keys, self.at, self.size = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
         self.pool, self.used, self.count = np.zeros(1 << 18, np.uint32), 0, 1  # entry 0 is none
+        self.text, self.text_at, self.text_size, self.text_used = np.zeros(1 << 20, np.uint8), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
         self.rest: dict[int, int] = {}
 
-    def _room(self, entries: int, ids: int) -> None:
+    def _room(self, entries: int, ids: int, raw: int) -> None:
         while self.count + entries > len(self.keys):
-            self.keys, self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.keys, self.at, self.size))
+            self.keys, self.at, self.size, self.text_at, self.text_size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.keys, self.at, self.size, self.text_at, self.text_size))
+        while self.text_used + raw + 8 > len(self.text):
+            self.text = np.concatenate([self.text, np.zeros_like(self.text)])
         while self.used + ids > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
 
@@ -107,10 +103,43 @@ class Memory:
         entry[miss] = other
         return entry
 
+    def _add(self, h: np.ndarray, raw: list[bytes]) -> np.ndarray:
+        """Entries of segments that are new."""
+        ids = self.learn(raw)
+        lengths, sizes = np.array([len(x) for x in ids], np.int32), np.array([len(x) for x in raw], np.int64)
+        self._room(len(raw), int(lengths.sum()), int(sizes.sum()))
+        k = np.arange(self.count, self.count + len(raw), dtype=np.int32)
+        flat, text = np.concatenate(ids) if ids else np.zeros(0, np.uint32), np.frombuffer(b"".join(raw), np.uint8)
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.text[self.text_used : self.text_used + len(text)] = text
+        self.keys[k], self.size[k], self.text_size[k] = h, lengths, sizes
+        self.at[k] = self.used + np.cumsum(lengths) - lengths
+        self.text_at[k] = self.text_used + np.cumsum(sizes) - sizes
+        self.used, self.text_used, self.count = self.used + len(flat), self.text_used + len(text), self.count + len(raw)
+        return k
+
+    def _other(self, entry: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Places of segments that aren't what their entries hold."""
+        n = end - start
+        bad = self.text_size[entry] != n
+        at, j = np.flatnonzero(~bad), 0
+        here, there = eights(data), np.ndarray((len(self.text) - 7,), "<u8", self.text, 0, (1,))
+        while len(at) and j <= 256:
+            same = ((here[start[at] + j] ^ there[self.text_at[entry[at]] + j]) & low_bytes(n[at] - j)) == 0
+            bad[at[~same]] = True
+            j += 8
+            at = at[same]
+            at = at[n[at] > j]
+        for i in at.tolist():
+            a = int(self.text_at[entry[i]])
+            bad[i] = not np.array_equal(data[start[i] : end[i]], self.text[a : a + int(n[i])])
+        return np.flatnonzero(bad)
+
     def lookup(self, h: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all segments one after another, and how many each has."""
-        if self.count > self.most:
+        if self.count > self.most or self.text_used > self.most_bytes:
             self._restart()
+        raw = lambda at: [data[a:b].tobytes() for a, b in zip(start[at].tolist(), end[at].tolist())]
         entry = self._find(h)
         miss = np.flatnonzero(entry == 0)
         if len(miss):
@@ -118,20 +147,7 @@ class Memory:
             found = np.array([self.rest.get(x, 0) for x in own.tolist()], np.int32) if self.rest else np.zeros(len(own), np.int32)
             new = np.flatnonzero(found == 0)
             if len(new):
-                where = miss[first[new]]
-                raw = data.tobytes()
-                ids = self.learn([raw[a:b] for a, b in zip(start[where].tolist(), end[where].tolist())])
-                lengths = np.array([len(x) for x in ids], np.int32)
-                self._room(len(new), int(lengths.sum()))
-                k = np.arange(self.count, self.count + len(new), dtype=np.int32)
-                flat = np.concatenate(ids) if len(ids) else np.zeros(0, np.uint32)
-                self.pool[self.used : self.used + len(flat)] = flat
-                self.keys[k], self.size[k] = own[new], lengths
-                self.at[k] = self.used + np.cumsum(lengths) - lengths
-                self.used += len(flat)
-                self.count += len(new)
-                found[new] = k
-                left = k
+                k = left = found[new] = self._add(own[new], raw(miss[first[new]]))
                 for slot, place in zip(self.slot, self._slots(own[new])):
                     p = place[left - k[0]]
                     free = slot[p] == 0
@@ -139,6 +155,8 @@ class Memory:
                     left = left[slot[p] != left]
                 self.rest.update(zip(self.keys[left].tolist(), left.tolist()))
             entry[miss] = found[back]
+        if len(other := self._other(entry, data, start, end)):
+            entry[other] = self._add(h[other], raw(other))
         size = self.size[entry].astype(np.int64)
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0

@@ -1,15 +1,19 @@
 """Substring dedup by level-wise doubling.
 
-Windows repeated at one length are alone extended to twice that length. For windows of n words the first level has length
-k = ceil(n / 2), and takes of each window only the k words whose hash is least (equal windows agree on them), so a quarter
-of the places are looked at; a window of n words can be repeated only if those k words are. Level two extends
-the repeated ones to 2k - 1 or 2k = n words and compares the windows around equal seeds. The loop ends when a level leaves nothing.
-Copies of whole texts need no comparison of windows: all their windows start in the first copy.
+Windows repeated at one length alone are extended to twice that length. For windows of n words the lengths are n, its half
+(rounded up), that one's half, and so on down to FIRST words at least, taken from the shortest. At each length k but the last,
+a window of n words stands by the k words in it whose hash is least (equal windows agree on them, so a part of the places is
+looked at); windows whose k words begin in one document only are dropped, and the rest go on to the next length, until none is
+left or the length is n. There each window's least document is found, and a document loses the windows that begin in a smaller
+one.
+
+Documents are dealt once into chunks; repeated words and least documents are found by messages between chunks and buckets of
+hashes, one for each distinct window of a chunk, so that a passage in a third of all documents costs one number a chunk. Windows
+are compared by two hashes of 96 bits together.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,203 +21,193 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, Scratch, Words, doc_key, grams, mix64, partitions, signed, slices, table, with_uid
+from .common import NULL_ID, Scratch, Words, doc_key, grams, slices, table
+from .messages import Chunks, Received, bits, merged, planes, sent, split, unpacked_bits, unplaned
 
 WINDOW = 13
+#: Words of the shortest length that is looked at: shorter runs are repeated nearly everywhere, and leave nothing out.
+FIRST = 6
+CHUNK = 1 << 19
 
 
-def _chosen(words: Words, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all windows of n words that lie in one text: first word, first word of the seed; and all hashes of k words."""
-    seeds = grams(words.hash, k)
-    windows = len(words.hash) - n + 1
-    if windows <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), seeds
-    least, at = seeds[:windows].copy(), np.zeros(windows, np.int64)
-    for j in range(1, n - k + 1):
-        here = seeds[j : j + windows]
-        lower = here < least
-        least[lower], at[lower] = here[lower], j
-    first = np.arange(windows)
-    owner = np.repeat(np.arange(len(words)), np.diff(words.bounds))
-    inside = owner[:windows] == owner[n - 1 :]
-    first = first[inside]
-    return first, first + at[inside], seeds
+def lengths(n: int, first: int = FIRST) -> list[int]:
+    """From the shortest to n, each half of the next, rounded up."""
+    out = [n]
+    while (out[0] + 1) // 2 >= first and out[0] > 1:
+        out.insert(0, (out[0] + 1) // 2)
+    return out
 
 
-def seeds_of(docs: DataFrame, n: int, k: int) -> DataFrame:
-    """seed, uid, pos: the distinct seeds of each document's windows, with the first place of each."""
+def chunked(docs: DataFrame, size: int = CHUNK) -> DataFrame:
+    """doc_id, doc (its key), text -> a row for each chunk of about size words (whole documents): the texts together, their offsets,
+    doc_ids, keys, and the number of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            words = Words(batch.column("text"))
-            at = np.unique(_chosen(words, n, k)[1])
-            if not len(at):
-                continue
-            doc = np.searchsorted(words.bounds, at, "right") - 1
-            hashes = grams(words.hash, k)[at]
-            order = np.lexsort((hashes, doc))  # stable: the first place of equal seeds of a document comes first
-            new = np.concatenate([[True], (hashes[order][1:] != hashes[order][:-1]) | (doc[order][1:] != doc[order][:-1])])
-            one = np.sort(order[new])
-            hashes, doc, at = hashes[one], doc[one], at[one]
-            uid = np.asarray(batch.column("uid"))[doc]
-            yield pa.RecordBatch.from_arrays([signed(hashes), pa.array(uid), pa.array((at - words.bounds[doc]).astype(np.int32))], ["seed", "uid", "pos"])
-
-    return docs.select("uid", "text").mapInArrow(run, "seed long, uid long, pos int")
-
-
-def _groups(key: np.ndarray) -> np.ndarray:
-    """Starts of runs of equal keys."""
-    return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-
-
-def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in the order of seed and uid, those whose seed has more than one uid. Holds back one document's rows at most."""
-    held = [np.zeros(0, np.int64)] * 3
-    sure = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        seed, uid, pos = (np.concatenate([h, np.asarray(batch.column(c), np.int64)]) for h, c in zip(held, ("seed", "uid", "pos")))
-        starts = _groups(seed)
-        ends = np.append(starts[1:], len(seed))
-        many = uid[starts] != uid[ends - 1]
-        many[0] |= sure is not None and seed[0] == sure
-        sure = int(seed[-1]) if many[-1] else None
-        keep = np.repeat(many, ends - starts)
-        held = [np.zeros(0, np.int64)] * 3 if many[-1] else [x[starts[-1] :] for x in (seed, uid, pos)]
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(uid[keep]), pa.array(pos[keep].astype(np.int32))], ["uid", "pos"])
-
-
-def extend(docs: DataFrame, n: int, k: int) -> DataFrame:
-    """uid, doc, text, places (of repeated seeds) -> a row for each place: its seed, and the windows of n words around it."""
+        from pyspark import TaskContext
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            words = Words(batch.column("text"))
-            first, at, seeds = _chosen(words, n, k)
-            if not len(first):
-                continue
-            places = batch.column("places")
-            offsets = np.asarray(places.offsets)
-            flat = np.asarray(places.values)[offsets[0] : offsets[-1]] + np.repeat(words.bounds[:-1], np.diff(offsets))
-            doc = np.repeat(np.arange(len(words), dtype=np.uint64), np.diff(words.bounds))  # places of a document's equal seeds stand for one another
-            keep = np.isin(seeds[at] ^ mix64(doc[at] + np.uint64(1)), seeds[flat] ^ mix64(doc[flat] + np.uint64(1)))
-            first, at = first[keep], at[keep]
-            if not len(first):
-                continue
-            starts = _groups(at)
-            ends = np.append(starts[1:], len(at))
-            hashes = grams(words.hash, n)[first].tobytes()
-            doc = np.searchsorted(words.bounds, first[starts], "right") - 1
-            packed = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.append(8 * starts, 8 * ends[-1]).astype(np.int32).tobytes()), pa.py_buffer(hashes)])
-            yield pa.RecordBatch.from_arrays(
-                [signed(seeds[at[starts]]), batch.column("doc").take(pa.array(doc)), batch.column("uid").take(pa.array(doc)), pa.array((first[starts] - words.bounds[doc]).astype(np.int32)), packed],
-                ["seed", "doc", "uid", "pos", "windows"],
-            )
-
-    return docs.mapInArrow(run, "seed long, doc long, uid long, pos int, windows binary")
-
-
-def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in the order of seed and doc: which windows also start in a smaller doc, as bits. Holds the distinct windows of one
-    seed at most."""
-    last, known, owner = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        seed, doc = np.asarray(batch.column("seed")), np.asarray(batch.column("doc"))
-        offsets = np.asarray(pa.compute.binary_length(batch.column("windows")), np.int64) // 8
-        windows = np.frombuffer(b"".join(batch.column("windows").to_pylist()), np.uint64)
-        starts = _groups(seed)
-        group = np.repeat(np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(seed)))), offsets)
-        docs = np.repeat(doc, offsets)
-        if last is None or seed[0] != last:
-            known, owner = known[:0], owner[:0]
-        all_group = np.concatenate([np.zeros(len(known), group.dtype), group])
-        all_window, all_doc = np.concatenate([known, windows]), np.concatenate([owner, docs])
-        order = np.lexsort((all_window, all_group))  # stable, so the smallest doc comes first
-        new = np.concatenate([[True], (all_window[order][1:] != all_window[order][:-1]) | (all_group[order][1:] != all_group[order][:-1])])
-        least = all_doc[order][new][np.cumsum(new) - 1]
-        drop = np.empty(len(order), bool)
-        drop[order] = all_doc[order] > least
-        drop = drop[len(known) :]
-        heads = order[new]
-        keep = heads[all_group[heads] == all_group[-1]]
-        last, known, owner = seed[-1], all_window[keep], all_doc[keep]
-        ends = np.cumsum(offsets)
-        bit = np.arange(len(windows)) - np.repeat(ends - offsets, offsets)
-        mask = np.add.reduceat(np.append(drop.astype(np.int64) << bit, 0), ends - offsets) if len(windows) else np.zeros(0, np.int64)
-        some = mask != 0
-        if some.any():
-            yield pa.RecordBatch.from_arrays([batch.column("uid").filter(pa.array(some)), batch.column("pos").filter(pa.array(some)), pa.array(mask[some])], ["uid", "pos", "mask"])
-
-
-def kept_words(docs: DataFrame, n: int) -> DataFrame:
-    """uid, doc_id, text, copy, marks -> doc_id, n_words, n_removed, kept (the words left, joined by one space)."""
+        base, made = TaskContext.get().partitionId() << 32, 0
+        texts, offsets, doc_ids, keys, total = [], [0], [], [], 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
+        def flush() -> pa.RecordBatch:
+            nonlocal texts, offsets, doc_ids, keys, total, made
+            row = [[base + made], [b"".join(texts)], [np.array(offsets, np.int64).tobytes()], [doc_ids], [np.array(keys, np.int64).tobytes()], [total]]
+            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.int64()]
+            texts, offsets, doc_ids, keys, total, made = [], [0], [], [], 0, made + 1
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], ["chunk", "text", "offsets", "doc_ids", "docs", "n"])
 
-        find = re.compile(r"[^\x20\x09-\x0D]+").findall
-        odd = re.compile("[\x1c-\x1f\x85\xa0  -     　]").search
         for batch in slices(batches):
-            total, gone, left = [], [], []
-            for text, copy, marks in zip(*(batch.column(c).to_pylist() for c in ("text", "copy", "marks"))):
-                text = text or ""
-                words = find(text) if odd(text) else text.split()
-                total.append(len(words))
-                if copy and len(words) >= n:
-                    gone.append(len(words))
-                    left.append("")
-                    continue
-                if not marks:
-                    gone.append(0)
-                    left.append(" ".join(words))
-                    continue
-                edges = np.zeros(len(words) + 1, np.int32)
-                for m in marks:
-                    mask, at = m["mask"], m["pos"]
-                    while mask:
-                        if mask & 1:
-                            edges[at] += 1
-                            edges[at + n] -= 1
-                        mask >>= 1
-                        at += 1
-                keep = np.cumsum(edges[:-1]) == 0
-                gone.append(int(len(words) - keep.sum()))
-                left.append(" ".join([words[i] for i in np.flatnonzero(keep).tolist()]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(left, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
-
-    return docs.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
-
-
-def without_repeats(docs: DataFrame, n: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_removed, kept: each word is removed that a window of n words covers whose words also start in a document
-    with a smaller doc_id. Windows are judged on the input.
+            words = Words(batch.column("text"))
+            for i, (text, doc_id, key) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("text", "doc_id", "doc")))):
+                texts.append((text or "").encode())
+                offsets.append(offsets[-1] + len(texts[-1]))
+                doc_ids.append(doc_id)
+                keys.append(key)
+                total += int(words.bounds[i + 1] - words.bounds[i])
+                if total >= size or offsets[-1] >= 16 * size:
+                    yield flush()
+        if doc_ids:
+            yield flush()
+
+    return docs.mapInArrow(run, "chunk long, text binary, offsets binary, doc_ids array<long>, docs binary, n long")
+
+
+class Chunk:
+    """A chunk's row: its words, and the windows of n words that have come through the lengths whose replies it holds."""
+
+    def __init__(self, row: dict, n: int, steps: list[int], buckets: int) -> None:
+        self.n, self.buckets, self.doc_ids = n, buckets, row["doc_ids"]
+        self.docs = np.frombuffer(row["docs"], np.int64)
+        offsets = np.frombuffer(row["offsets"], np.int64)
+        self.words = Words(pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(row["text"])]))
+        self.doc = np.repeat(np.arange(len(self.docs)), np.diff(self.words.bounds))
+        last = len(self.doc) - n + 1
+        self.first = np.flatnonzero(self.doc[:last] == self.doc[n - 1 :]) if last > 0 else np.zeros(0, np.int64)
+        for k in steps:
+            self._shorten(k)
+            if (replies := row.get(f"k{k}")) is None:
+                return
+            repeated = merged(len(self.keys), split(self.keys, buckets), replies, unpacked_bits, bool)
+            self.first = self.first[repeated[self.back]]
+        self.window = grams(self.words.hash, n)[self.first]
+
+    def _shorten(self, k: int) -> None:
+        """For each window the k words of least hash in it: the distinct ones, and which each window has."""
+        runs = grams(self.words.hash, k)
+        least = runs[self.first]
+        for j in range(1, self.n - k + 1):
+            np.minimum(least, runs[self.first + j], out=least)
+        self.keys, self.back = np.unique(least, return_inverse=True)
+
+    def run_messages(self) -> Iterator[tuple[int, list[bytes]]]:
+        """The distinct runs of this length, and whether several documents here have them."""
+        doc = self.docs[self.doc[self.first]]
+        low, high = np.full(len(self.keys), NULL_ID), np.full(len(self.keys), -NULL_ID - 1)
+        np.minimum.at(low, self.back, doc)
+        np.maximum.at(high, self.back, doc)
+        return sent(self.keys, self.buckets, lambda part: bits(low[part] < high[part]))
+
+    def distinct_windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct windows in the order of both hashes, the least document of each here, and which each window is."""
+        runs = grams(self.words.hash, (self.n + 1) // 2)
+        second = (runs[self.first] >> np.uint64(32)).astype(np.uint32)
+        order = np.lexsort((second, self.window))
+        w, s = self.window[order], second[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (w[1:] != w[:-1]) | (s[1:] != s[:-1])
+        starts = np.flatnonzero(new)
+        back = np.empty(len(order), np.int64)
+        back[order] = np.cumsum(new) - 1
+        least = np.minimum.reduceat(self.docs[self.doc[self.first[order]]], starts) if len(starts) else np.zeros(0, np.int64)
+        return w[new], s[new], least, back
+
+    def window_messages(self) -> Iterator[tuple[int, list[bytes]]]:
+        own, second, least, _ = self.distinct_windows()
+
+        def documents(part: slice) -> bytes:
+            low = least[part].min()
+            return int(low).to_bytes(8, "little", signed=True) + planes(least[part].view(np.uint64) - np.uint64(int(low) & (1 << 64) - 1))
+
+        return sent(own, self.buckets, lambda part: second[part].tobytes(), documents)
+
+    def kept(self, replies: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+        """Which words stay, and how many of each document go."""
+        own, _, least, back = self.distinct_windows()
+        elsewhere = merged(len(own), split(own, self.buckets), replies, unpacked_bits, bool)
+        gone = self.first[elsewhere[back] | (self.docs[self.doc[self.first]] > least[back])]
+        edges = np.zeros(len(self.doc) + 1, np.int64)
+        np.add.at(edges, gone, 1)
+        np.add.at(edges, gone + self.n, -1)
+        stay = np.cumsum(edges[:-1]) == 0
+        return stay, np.bincount(self.doc[~stay], minlength=len(self.docs))
+
+    def texts(self, stay: np.ndarray) -> pa.Array:
+        """Each document's words that stay, joined by one space."""
+        at = np.flatnonzero(stay)
+        start, size, doc = self.words.start[at], self.words.end[at] - self.words.start[at] + 1, self.doc[at]
+        ends = np.cumsum(size)
+        flat = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - size), size)
+        data = np.append(self.words.data, np.uint8(32))[flat]
+        data[ends - 1] = 32
+        bounds = np.concatenate([[0], ends])[np.searchsorted(doc, np.arange(len(self.docs) + 1))]
+        keep = np.ones(len(data), bool)  # no space after a document's last word
+        some = np.flatnonzero(np.diff(bounds))
+        keep[bounds[some + 1] - 1] = False
+        drop = np.concatenate([[0], np.cumsum(np.diff(bounds) > 0)])
+        return pa.Array.from_buffers(pa.large_string(), len(self.docs), [None, pa.py_buffer((bounds - drop).astype(np.int64)), pa.py_buffer(data[keep])])
+
+
+def common_runs(messages: pa.Table) -> pa.Table:
+    """Which runs several documents or chunks have; and how many do."""
+    got = Received(messages)
+    own, back, chunks = np.unique(got.keys, return_inverse=True, return_counts=True)
+    many = chunks > 1
+    many[back[got.flags(1)]] = True
+    return got.replies(many[back], bits, many.sum(), 0)
+
+
+def smaller_elsewhere(messages: pa.Table) -> pa.Table:
+    """Which windows begin in a smaller document than the least of the chunk that asks; and for how many chunks."""
+    got = Received(messages)
+    second = got.column(1, lambda raw: np.frombuffer(raw, np.uint32))
+    doc = got.column(2, lambda raw: (unplaned(raw[8:]) + np.uint64(int.from_bytes(raw[:8], "little"))).view(np.int64))
+    order = np.lexsort((second, got.keys))
+    w, s = got.keys[order], second[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (w[1:] != w[:-1]) | (s[1:] != s[:-1])
+    least = np.minimum.reduceat(doc[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+    out = np.empty(len(order), bool)
+    out[order] = least < doc[order]
+    return got.replies(out, bits, out.sum(), 0)
+
+
+def without_repeats(docs: DataFrame, n: int = WINDOW, first: int = FIRST, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, n_words, n_removed, kept: each word is removed that a window of n words (any number from 1 on) covers whose words
+    also start in a document with a smaller doc_id. Windows are judged on the input.
 
     A null text has no words; a null doc_id counts as larger than all others; rows of one doc_id are one document to each other
-    (neither is removed for the other's sake); texts with fewer than n words stay whole; other columns are ignored; an
-    empty table gives no rows.
+    (neither is removed for the other's sake); texts with fewer than n words stay whole, texts of any length are whole in one
+    chunk; other columns are ignored; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    scratch, parts, k = Scratch(spark), partitions(spark), (n + 1) // 2
-    docs = with_uid(docs, scratch, "text").withColumn("doc", doc_key())
-    whole = docs.select("uid", "doc", F.md5("text").alias("digest"), F.xxhash64("text").alias("digest2"))
-    firsts = whole.groupBy("digest", "digest2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last")
-    copies = scratch.keep(whole.join(firsts, ["digest", "digest2"]).filter("doc > first").select("uid"))
-    seeds = seeds_of(docs, n, k).repartition(parts, "seed").sortWithinPartitions("seed", "uid")
-    places, places_path = scratch.write(seeds.mapInArrow(repeated, "uid long, pos int"))
-    scratch.free()
-    marked = places.join(copies, "uid", "left_anti").groupBy("uid").agg(F.collect_list("pos").alias("places"))
-    longer = extend(docs.select("uid", "doc", "text").join(marked, "uid"), n, k)
-    longer = longer.repartition(parts, "seed").sortWithinPartitions("seed", "doc", "uid", "pos")
-    marks = scratch.keep(longer.mapInArrow(later, "uid long, pos int, mask long"))
-    scratch.drop(places_path)
-    scratch.free()
-    marks = marks.groupBy("uid").agg(F.collect_list(F.struct("pos", "mask")).alias("marks"), F.lit(False).alias("copy"))
-    notes = marks.unionByName(copies.select("uid", F.lit(None).cast(marks.schema["marks"].dataType).alias("marks"), F.lit(True).alias("copy")))
-    return kept_words(docs.join(notes, "uid", "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "marks"), n)
+    if n < 1:
+        raise ValueError("a window has a word at least")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc_key().alias("doc"), "text")
+    chunks = Chunks(chunked(rows, chunk), Scratch(docs.sparkSession))
+    steps, buckets, done = lengths(n, first), chunks.buckets, []
+    for k in steps[:-1]:
+        done.append(k)
+        found, _ = chunks.exchange(f"k{k}", 2, lambda row, tried=tuple(done): Chunk(row, n, tried, buckets).run_messages(), common_runs)
+        if not found:
+            break
+    whole = tuple(done)
+    if not done or found:
+        chunks.exchange("windows", 3, lambda row: Chunk(row, n, whole, buckets).window_messages(), smaller_elsewhere)
+
+    def run(row: dict) -> Iterator[pa.RecordBatch]:
+        own = Chunk(row, n, whole, buckets)
+        stay, gone = own.kept(row.get("windows") or [])
+        yield pa.RecordBatch.from_arrays([pa.array(own.doc_ids, pa.int64()), pa.array(np.diff(own.words.bounds)), pa.array(gone), own.texts(stay).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+
+    return chunks.each(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def op4_substring_dedup(spark, sf_dir):

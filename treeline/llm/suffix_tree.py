@@ -1,21 +1,18 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
 A state of the tree is a context of up to DEPTH words; the root is the smoothed distribution of single words. A context is a
-candidate if it is seen often enough, and is retained if a divergence test says that what follows it differs from what
-its own suffix predicts: the gain in log-likelihood of its occurrences, each scored without itself, for the best of a few
-weights of smoothing. A word is scored in the state of the longest retained suffix of what precedes it; each state's
-distribution is mixed with its suffix's, down to the root, so it sums to one.
-
-How it runs: texts are turned once into chunks of word numbers, each with a dictionary of its words, in a table bucketed by
-chunk. Counts are summed by messages: a chunk sends each bucket of keys its sorted distinct keys with counts, and gets
-back the sums in the same order; so one key's traffic is one number a chunk, however frequent it is, and texts are not
-shuffled. All counts are over all training documents, and nothing of the vocabulary comes to the driver.
+candidate if it is seen twice, and is retained if a divergence test says that what follows it differs from what its own
+suffix predicts: the gain in log-likelihood of its occurrences, each scored without itself, for the best of a few weights of
+smoothing. A word is scored in the state of the longest retained suffix of what precedes it; each state's distribution is
+mixed with its suffix's, down to the root, so it sums to one.
+
+How it runs: texts are turned once into chunks of word numbers, each with a dictionary of its words, and all counts and gains
+are summed by messages between chunks and buckets of keys. All counts are over all training documents, and nothing of the
+vocabulary comes to the driver. Words and contexts are told apart by 64-bit hashes; counts are whole numbers of 64 bits.
 """
 
 from __future__ import annotations
 
-import math
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -24,16 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, mix64, partitions, slices, table
+from .common import Scratch, Words, mix64, slices, table
+from .messages import Chunks, Received, bits, merged, planes, sent, split, unpacked_bits, unplaned
 
 DEPTH = 2
-#: Occurrences in training that make a context a candidate, at any size of the corpus.
-SEEN = 200
+#: Occurrences in training that make a context a candidate: one alone says nothing about itself.
+SEEN = 2
 WEIGHTS = (2.0, 30.0, 400.0)
 #: Least gain in nats, in all and for each occurrence.
 GAIN, GAIN_EACH = 5.0, 0.005
 CHUNK = 1 << 19
-KEY_BYTES = 6
 END = np.uint64(0xE4D0F7E27C15A5A5)
 _K = np.uint64(0xD6E8FEB86659FD93)
 
@@ -85,7 +82,8 @@ def chunked(docs: DataFrame, size: int = CHUNK) -> DataFrame:
 
 
 class Chunk:
-    """A chunk's row and what has come back for it: words (bucket, counts), then for each depth pairs (bucket, counts) and states."""
+    """A chunk's row and what has come back for it: counts of words (r0), then for each depth counts of pairs (r1, ...) and which
+    contexts are states (s1, ...)."""
 
     def __init__(self, row: dict, buckets: int, tokens: int, distinct: int, least: int = SEEN) -> None:
         self.least = least
@@ -100,33 +98,22 @@ class Chunk:
         self.place = np.arange(len(self.ids)) - np.repeat(self.bounds[:-1], sizes)
         if row.get("r0") is None:
             return
-        self.counts = self._merge(len(self.words), self.split(self.words), row["r0"])
-        self.known = self.counts[self.ids]
+        self.known = self._counts(self.words, row["r0"])[self.ids]
         self.base = (self.known + 1.0) / (tokens + distinct + 1.0)
         self.p = self.base
-        self.seen, self.context = np.zeros(0), np.zeros(0)
+        self.context = np.zeros(0, np.uint64)
         self.depth = 0
         self._next()
         while row.get(f"r{self.depth}") is not None:
-            pair = self._merge(len(self.keys), self.split(self.keys), row[f"r{self.depth}"])
             self.both = np.zeros(len(self.ids))
-            self.both[self.at] = pair[self.back]
+            self.both[self.at] = self._counts(self.keys, row[f"r{self.depth}"])[self.back]
             if (states := row.get(f"s{self.depth}")) is None:
                 return
             self._apply(states)
             self._next()
 
-    def split(self, keys: np.ndarray) -> np.ndarray:
-        """Bounds of the buckets in sorted keys."""
-        edges = np.array([(b << 64) // self.buckets for b in range(1, self.buckets)], np.uint64) if self.buckets > 1 else np.zeros(0, np.uint64)
-        return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
-
-    @staticmethod
-    def _merge(n: int, bounds: np.ndarray, replies: list[dict]) -> np.ndarray:
-        out = np.zeros(n)
-        for r in replies:
-            out[bounds[r["bucket"]] : bounds[r["bucket"] + 1]] = np.frombuffer(r["counts"], np.uint32)
-        return out
+    def _counts(self, keys: np.ndarray, replies: list[dict]) -> np.ndarray:
+        return merged(len(keys), split(keys, self.buckets), replies, lambda raw, _: unplaned(raw), np.float64)
 
     def _next(self) -> None:
         """Candidate contexts of the next depth: the places (at) that have one, its hash and count, and the keys of pairs."""
@@ -144,51 +131,39 @@ class Chunk:
         self.seen = count[self.at]
         self.keys, self.back = np.unique(mix64(context[self.at] * _K + mix64(self.hash[self.at] + np.uint64(self.depth))), return_inverse=True)
 
-    def messages(self, keys: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
-        bounds = self.split(keys)
-        for b in range(self.buckets):
-            lo, hi = bounds[b], bounds[b + 1]
-            if hi > lo:
-                yield b, np.ascontiguousarray(keys[lo:hi].astype(">u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]).tobytes(), counts[lo:hi].astype(np.uint32).tobytes()
+    def word_messages(self) -> Iterator[tuple[int, list[bytes]]]:
+        counts = np.bincount(self.ids[self.train], minlength=len(self.words))
+        return sent(self.words, self.buckets, lambda part: planes(counts[part]))
 
-    def word_messages(self) -> Iterator[tuple[int, bytes, bytes]]:
-        return self.messages(self.words, np.bincount(self.ids, weights=self.train, minlength=len(self.words)))
+    def pair_messages(self) -> Iterator[tuple[int, list[bytes]]]:
+        counts = np.bincount(self.back[self.train[self.at]], minlength=len(self.keys))
+        return sent(self.keys, self.buckets, lambda part: planes(counts[part]))
 
-    def pair_messages(self) -> Iterator[tuple[int, bytes, bytes]]:
-        return self.messages(self.keys, np.bincount(self.back, weights=self.train[self.at], minlength=len(self.keys)))
+    def contexts(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct candidate contexts, and which of them each place (in at) has."""
+        return np.unique(self.context[self.at], return_inverse=True)
 
-    def gains(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Contexts, their counts, and their gains here for each weight."""
-        own, first, back = np.unique(self.context[self.at], return_index=True, return_inverse=True)
+    def gain_messages(self) -> Iterator[tuple[int, list[bytes]]]:
+        """Contexts, their occurrences here, and their gains here for each weight."""
+        own, back = self.contexts()
         use = self.train[self.at]
         p, both = self.p[self.at], self.both[self.at]
-        out = []
+        times = np.bincount(back[use], minlength=len(own))
+        gain = []
         for w in WEIGHTS:
             with np.errstate(divide="ignore", invalid="ignore"):
                 each = np.log((both - 1 + w * p) / (self.seen - 1 + w)) - np.log(p)
-            out.append(np.bincount(back[use], weights=each[use], minlength=len(own)))
-        return own, self.seen[first] if len(own) else np.zeros(0), np.stack(out, axis=1)
-
-    def gain_messages(self) -> Iterator[tuple[int, bytes, bytes, bytes]]:
-        own, seen, gain = self.gains()
-        bounds = self.split(own)
-        for b in range(self.buckets):
-            lo, hi = bounds[b], bounds[b + 1]
-            if hi > lo:
-                yield b, own[lo:hi].tobytes(), seen[lo:hi].astype(np.float32).tobytes(), np.ascontiguousarray(gain[lo:hi].astype(np.float32)).tobytes()
+            gain.append(np.bincount(back[use], weights=each[use], minlength=len(own)).astype("<f4"))
+        return sent(own, self.buckets, lambda part: planes(times[part]), lambda part: b"".join(g[part].tobytes() for g in gain))
 
     def _apply(self, states: list[dict]) -> None:
-        kept = np.frombuffer(b"".join(s["kept"] for s in states), np.uint64)
-        weight = np.array(WEIGHTS)[np.frombuffer(b"".join(s["weights"] for s in states), np.uint8)]
-        order = np.argsort(kept)
-        kept, weight = kept[order], weight[order]
-        if not len(kept):
+        """Replies: for each context whether it is a state, then the place of its weight (0 where it is none)."""
+        own, back = self.contexts()
+        weight = merged(len(own), split(own, self.buckets), states, _decided, np.uint8)[back]
+        hit = weight > 0
+        if not hit.any():
             return
-        own = self.context[self.at]
-        k = np.minimum(np.searchsorted(kept, own), len(kept) - 1)
-        hit = kept[k] == own
-        at = self.at[hit]
-        w = weight[k[hit]]
+        at, w = self.at[hit], np.array((0.0, *WEIGHTS))[weight[hit]]
         p = self.p.copy()
         p[at] = (self.both[at] + w * p[at]) / (self.seen[hit] + w)
         self.p = p
@@ -198,137 +173,82 @@ class Chunk:
         return np.add.reduceat((self.known > 0).astype(np.int64), firsts), np.add.reduceat(np.log10(self.base), firsts), np.add.reduceat(np.log10(self.p), firsts)
 
 
+def _decided(raw: bytes, n: int) -> np.ndarray:
+    size = -(-n // 8)
+    return unpacked_bits(raw[:size], n).astype(np.uint8) + 2 * unpacked_bits(raw[size:], n).astype(np.uint8)
+
+
 def add_up(messages: pa.Table) -> pa.Table:
-    """A bucket's messages (bucket, chunk, keys, counts) -> the same with summed counts, and in the first the number of keys
-    that were counted and the sum of all counts."""
-    keys, sizes = [], []
-    for raw in messages.column("keys").to_pylist():
-        wide = np.zeros((len(raw) // KEY_BYTES, 8), np.uint8)
-        wide[:, :KEY_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, KEY_BYTES)
-        keys.append(wide.view(">u8").reshape(-1).astype(np.uint64))
-        sizes.append(len(wide))
-    counts = np.frombuffer(b"".join(messages.column("counts").to_pylist()), np.uint32)
-    own, back = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(back, weights=counts, minlength=len(own))
-    reply = np.minimum(total[back], 2**32 - 1).astype(np.uint32)
-    ends = np.cumsum(sizes)
-    rest = [0] * (len(sizes) - 1)
-    return pa.table({
-        "chunk": messages.column("chunk"), "bucket": messages.column("bucket"), "counts": pa.array([reply[e - s : e].tobytes() for s, e in zip(sizes, ends)], pa.binary()),
-        "distinct": pa.array([int((total > 0).sum()), *rest], pa.int64()), "total": pa.array([int(total.sum()), *rest], pa.int64()),
-    })
+    """Counts of each key over all chunks; and the number of keys that were counted and the sum of all counts."""
+    got = Received(messages)
+    own, back = np.unique(got.keys, return_inverse=True)
+    order = np.argsort(back, kind="stable")
+    total = np.add.reduceat(got.column(1)[order], np.searchsorted(back[order], np.arange(len(own))))
+    return got.replies(total[back], planes, (total > 0).sum(), total.sum())
 
 
 def choose(messages: pa.Table) -> pa.Table:
-    """A bucket's messages (bucket, chunk, contexts, seen, gains) -> for each chunk those of its contexts that are retained, and the
-    place of their weight."""
-    keys = [np.frombuffer(x, np.uint64) for x in messages.column("contexts").to_pylist()]
-    seen = np.frombuffer(b"".join(messages.column("seen").to_pylist()), np.float32)
-    gains = np.frombuffer(b"".join(messages.column("gains").to_pylist()), np.float32).reshape(-1, len(WEIGHTS))
-    own, back = np.unique(np.concatenate(keys), return_inverse=True)
+    """Which contexts are retained, and the place of their weight from 1 on; and how many are."""
+    got = Received(messages)
+    own, back = np.unique(got.keys, return_inverse=True)
+    times = np.bincount(back, weights=got.column(1), minlength=len(own))
+    gains = got.column(2, lambda raw: np.frombuffer(raw, "<f4").reshape(len(WEIGHTS), -1).T)
     total = np.stack([np.bincount(back, weights=gains[:, i], minlength=len(own)) for i in range(len(WEIGHTS))], axis=1)
-    times = np.zeros(len(own))
-    np.maximum.at(times, back, seen)
     best = total.max(axis=1)
     good = (best > GAIN) & (best > GAIN_EACH * times)
-    weight = total.argmax(axis=1).astype(np.uint8)
-    ends = np.cumsum([len(k) for k in keys])
-    out = ([], [], [])
-    for chunk, k, e in zip(messages.column("chunk").to_pylist(), keys, ends):
-        at = back[e - len(k) : e]
-        hit = good[at]
-        if hit.any():
-            for column, value in zip(out, (chunk, k[hit].tobytes(), weight[at[hit]].tobytes())):
-                column.append(value)
-    return pa.table({"chunk": pa.array(out[0], pa.int64()), "kept": pa.array(out[1], pa.binary()), "weights": pa.array(out[2], pa.binary())})
+    place = np.where(good, total.argmax(axis=1) + 1, 0)
+    return got.replies(place[back], lambda x: bits(x & 1 > 0) + bits(x & 2 > 0), good.sum(), 0)
 
 
 class Learner:
-    def __init__(self, docs: DataFrame, depth: int = DEPTH, least: int = SEEN, share: float = 0, chunk: int = CHUNK) -> None:
-        self.least = least
-        self.spark = docs.sparkSession
-        self.scratch = Scratch(self.spark)
+    def __init__(self, docs: DataFrame, depth: int = DEPTH, least: int = SEEN, chunk: int = CHUNK) -> None:
+        self.least = max(2, least)
+        self.scratch = Scratch(docs.sparkSession)
         held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
         rows = chunked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held"), "text"), chunk)
-        n = partitions(self.spark)
-        self.name = f"treeline_{uuid.uuid4().hex}"
-        writer = rows.repartition(n, "chunk").write.option("compression", "zstd").option("path", f"{self.scratch.root}/chunks")
-        writer.bucketBy(n, "chunk").sortBy("chunk").saveAsTable(self.name)
-        self.chunks = self.spark.table(self.name)
-        self.scratch.free()
-        words = self.chunks.agg(F.sum("n")).first()[0] or 0
-        self.buckets = max(n, -(-words // (1 << 20)))
-        self.replies: dict[str, DataFrame] = {}
+        self.chunks = Chunks(rows, self.scratch)
         self.tokens = self.distinct = 0
-        self.replies["r0"] = self._count(lambda c: c.word_messages())
-        size = self.replies["r0"].agg(F.sum("total"), F.sum("distinct")).first()
-        self.tokens, self.distinct = size[0] or 0, size[1] or 0
-        self.least = max(least, math.ceil(share * self.tokens))
+        self.distinct, self.tokens = self.chunks.exchange("r0", 2, self._of("word_messages"), add_up)
         for d in range(1, depth + 1):
-            self.replies[f"r{d}"] = self._count(lambda c: c.pair_messages())
-            self.replies[f"s{d}"] = self._retained()
-            self.scratch.free()
-
-    def _joined(self) -> DataFrame:
-        """Chunks with what has come back for each."""
-        out = self.chunks
-        for name, rows in self.replies.items():
-            item = F.struct("bucket", "counts") if name[0] == "r" else F.struct("kept", "weights")
-            out = out.join(rows.groupBy("chunk").agg(F.collect_list(item).alias(name)), "chunk", "left")
-            out = out.withColumn(name, F.coalesce(name, F.array().cast(out.schema[name].dataType)))
-        return out
-
-    def each(self, make, schema: str) -> DataFrame:
-        buckets, tokens, distinct, least = self.buckets, self.tokens, self.distinct, self.least
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    row = batch.slice(i, 1).to_pylist()[0]
-                    yield from make(row["chunk"], Chunk(row, buckets, tokens, distinct, least))
-
-        return self._joined().mapInArrow(run, schema)
-
-    def _count(self, messages) -> DataFrame:
-        def send(chunk: int, own: Chunk) -> Iterator[pa.RecordBatch]:
-            rows = list(messages(own))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int64()), pa.array([k for _, k, _ in rows], pa.binary()), pa.array([c for _, _, c in rows], pa.binary())], ["bucket", "chunk", "keys", "counts"])
-
-        sent = self.each(send, "bucket int, chunk long, keys binary, counts binary")
-        return self.scratch.keep(sent.groupBy("bucket").applyInArrow(add_up, "chunk long, bucket int, counts binary, distinct long, total long"))
-
-    def _retained(self) -> DataFrame:
-        def send(chunk: int, own: Chunk) -> Iterator[pa.RecordBatch]:
-            rows = list(own.gain_messages())
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int64()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3))], ["bucket", "chunk", "contexts", "seen", "gains"])
-
-        sent = self.each(send, "bucket int, chunk long, contexts binary, seen binary, gains binary")
-        return self.scratch.keep(sent.groupBy("bucket").applyInArrow(choose, "chunk long, kept binary, weights binary"))
+            pairs, _ = self.chunks.exchange(f"r{d}", 2, self._of("pair_messages"), add_up)
+            if not pairs:  # no context is left that could have a longer one
+                del self.chunks.replies[f"r{d}"]
+                break
+            self.chunks.exchange(f"s{d}", 3, self._of("gain_messages"), choose)
+
+    def _made(self):
+        buckets, tokens, distinct, least = self.chunks.buckets, self.tokens, self.distinct, self.least
+        return lambda row: Chunk(row, buckets, tokens, distinct, least)
+
+    def _of(self, name: str):
+        make = self._made()
+        return lambda row: getattr(make(row), name)()
 
     def scores(self) -> DataFrame:
         tokens = self.tokens
 
-        def run(chunk: int, own: Chunk) -> Iterator[pa.RecordBatch]:
+        make = self._made()
+
+        def run(row: dict) -> Iterator[pa.RecordBatch]:
+            own = make(row)
             known, base, score = own.scores()
             yield pa.RecordBatch.from_arrays(
                 [pa.array(own.doc_ids, pa.int64()), pa.array(own.held), pa.array(np.diff(own.bounds)), pa.array(known), pa.array(np.full(len(known), tokens, np.int64)), pa.array(base), pa.array(score)],
                 ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
-        return self.each(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        return self.chunks.each(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def score(docs: DataFrame, depth: int = DEPTH, least: int = SEEN, share: float = 0, chunk: int = CHUNK) -> DataFrame:
+def score(docs: DataFrame, depth: int = DEPTH, least: int = SEEN, chunk: int = CHUNK) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
 
     A null text has its end alone. A null doc_id is not held out. Repeated rows each count in training and get a row each. An
-    empty table gives no rows; other columns are ignored. least: see SEEN; share: a caller's own further bound, as a share of all
-    tokens of training; chunk: words that are numbered together. Where nothing is held in training, all words are unknown and
-    the root has one outcome.
+    empty table gives no rows; other columns are ignored. A text of any length is whole in one chunk. depth: words of the
+    longest contexts, any number; least: occurrences that make a context a candidate, two at least; chunk: words that are
+    numbered together. Where nothing is held in training, all words are unknown and the root has one outcome.
     """
-    return Learner(docs, depth, least, share, chunk).scores()
+    return Learner(docs, depth, least, chunk).scores()
 
 
 def op9_suffix_tree(spark, sf_dir):

@@ -8,6 +8,7 @@ system will do), beside a table of ranks. Reading turns control bytes into lengt
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions, slices, table
-from .segments import GAP, Memory, binaries, buffers, classes, hashes, per_text, runs
+from .common import NULL_ID, Scratch, byte_hashes, partitions, slices, table
+from .segments import GAP, Memory, binaries, buffers, classes, per_text, runs
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
@@ -65,10 +66,23 @@ def unpack(control: bytes, data: bytes, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+#: What the tokenizer does before it merges, as far as runs can be encoded one by one. Fixed values, as its file has them.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _cut_by_class(tokenizer) -> bool:
+    known = json.loads(tokenizer.to_str())
+    steps = (known.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}]
+    split = steps[0].get("type") == "Split" and steps[0].get("pattern") == {"Regex": SPLIT} and steps[0].get("behavior") == "Removed" and steps[0].get("invert")
+    bytewise = len(steps) == 2 and steps[1].get("type") == "ByteLevel" and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex")
+    return bool((known.get("normalizer") or {}).get("normalizers") == NORMALIZERS and split and bytewise and not known["model"].get("dropout"))
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
-    The tokenizer makes any white space one space and drops it between words, and cuts words where letters, digits and marks
+    A tokenizer with other steps before its merges than those named above encodes whole texts. One with these makes any white space one space and drops it between words, and cuts words where letters, digits and marks
     meet; so a text's ids are those of such runs one after another (of whole words where a word holds other bytes than
     those known to behave so), and each distinct run is encoded once as long as it is remembered. New runs go to the library
     many at a time, with a control character between them that has an id of its own.
@@ -84,6 +98,7 @@ class Encoder:
 
         self.inner = Tokenizer.from_file(path)
         self.inner.encode_special_tokens = True
+        self.by_runs = _cut_by_class(self.inner)
         self.mark = self._ids(self.MARK)
         self.memory = Memory(self._learn)
 
@@ -105,13 +120,16 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and their bounds."""
+        if not self.by_runs:
+            parts = [np.array(e.ids, np.uint32) for e in self.inner.encode_batch_fast([x or "" for x in texts.to_pylist()], add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, np.uint32), *parts]), np.cumsum([0, *map(len, parts)])
         data, offsets = buffers(texts)
         found = classes(data, offsets)
         start = runs(found, offsets)
         end = np.append(start[1:], len(data))
         word = found[start] != GAP
         start, end = start[word], end[word]
-        ids, size = self.memory.lookup(hashes(data, start, end), data, start, end)
+        ids, size = self.memory.lookup(byte_hashes(data, start, end), data, start, end)
         return ids, per_text(size, start, offsets)
 
 
@@ -124,10 +142,6 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _ids(batch: pa.RecordBatch, path: str, end: bytes) -> list[np.ndarray]:
-    return [np.frombuffer(b + end, "<u4") for b in encoder(path).encode(batch.column("text").to_pylist())]
-
-
 BLOCKS = "shard int, block long, shard_start long, doc_ids array<long>, counts array<int>, n_tokens long, control binary, data binary"
 
 
@@ -157,7 +171,8 @@ def write(docs: DataFrame, scratch: Scratch, path: str, end_id: int = END_ID) ->
 
     Documents are encoded once, into blocks by provisional ranks; all ids in these are counted, and blocks written anew by the
     final ranks. Shards are ranges of doc_id of about as many documents each; a shard's blocks follow one another. A null text
-    is empty (its end id alone); a null doc_id comes before all others; rows of one doc_id come in the order of their texts' hash.
+    is empty (its end id alone); a null doc_id comes after all others; rows of one doc_id come in the order of their texts' hash. A
+    text of any length is one document of one block. Other columns are ignored; an empty table gives no blocks.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
@@ -176,7 +191,7 @@ def write(docs: DataFrame, scratch: Scratch, path: str, end_id: int = END_ID) ->
             bounds = bounds + np.arange(len(bounds))
             control, data, control_bounds, data_bounds = pack(rank_of[ids], bounds)
             doc = batch.column("doc_id")
-            shard = np.searchsorted(cuts, np.asarray(pc.fill_null(doc, -(2**63))), "right").astype(np.int32)
+            shard = np.searchsorted(cuts, np.asarray(pc.fill_null(doc, NULL_ID)), "right").astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(shard), doc, batch.column("tie"), pa.array(np.diff(bounds).astype(np.int32)), binaries(control, control_bounds), binaries(data, data_bounds)],
                 ["shard", "doc_id", "tie", "n", "control", "data"],
@@ -184,7 +199,7 @@ def write(docs: DataFrame, scratch: Scratch, path: str, end_id: int = END_ID) ->
 
     docs = docs.withColumn("tie", F.xxhash64("text"))
     coded = docs.mapInArrow(encode, "shard int, doc_id long, tie long, n int, control binary, data binary")
-    coded = coded.repartition(n, "shard").sortWithinPartitions("shard", "doc_id", "tie").drop("tie")
+    coded = coded.repartitionByRange(n, F.col("shard")).sortWithinPartitions(F.col("shard"), F.col("doc_id").asc_nulls_last(), F.col("tie")).drop("tie")
     first, first_path = scratch.write(coded.mapInArrow(join_blocks, BLOCKS))
     scratch.free()
     counted = frequencies(first, provisional).orderBy(F.desc("n"), "id").select("id").collect()  # at most the vocabulary
