@@ -154,24 +154,57 @@ def test_near_vectors_against_brute_force(spark):
     assert same >= 0.97 * len(want)
 
 
-def test_a_shard_is_split_and_a_dense_ball_is_found_whole(monkeypatch):
+def groups_of(n: int, size: int, dim: int, noise: float, seed: int) -> np.ndarray:
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=(n, dim))
+    x = np.repeat(base, size, axis=0) + noise * rng.normal(size=(n * size, dim))
+    return x[rng.permutation(len(x))]
+
+
+def brute_links(x: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    return near.sum(axis=1), roots(len(x), np.argwhere(np.triu(near)).tolist())
+
+
+@pytest.mark.parametrize("n,size,noise,shard", [(40, 70, 0.25, 2048), (500, 9, 0.2, 600), (3, 900, 0.05, 400)])
+def test_groups_of_near_copies(spark, monkeypatch, n, size, noise, shard):
+    monkeypatch.setattr(neardup_vectors, "SHARD", shard)
+    exact = []
+    monkeypatch.setattr(neardup_vectors, "exact_links", lambda *a: exact.append(a))
+    x = groups_of(n, size, 64, noise, n)
+    count, root = brute_links(x)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in neardup_vectors.near_duplicates(df).collect()}
+    assert not exact and count.sum() > 30_000
+    assert all(got[i].n_links <= count[i] for i in got)
+    assert np.mean([got[i].n_links / count[i] for i in got if count[i]]) >= 0.97 and sum(r.n_links for r in got.values()) >= 0.97 * count.sum()
+    assert np.mean([got[i].component_id == root[i] for i in got]) >= 0.97
+    size_of = defaultdict(int)
+    for r in got.values():
+        size_of[r.component_id] += 1
+    assert all((r.n_links > 0) == (size_of[r.component_id] > 1) for r in got.values())
+
+
+def test_a_shard_that_stays_large_is_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(neardup_vectors, "LARGEST", 200)
-    rng = np.random.default_rng(3)
-    x = np.concatenate([rng.normal(size=(300, 24)), rng.normal(size=24) + 0.05 * rng.normal(size=(250, 24))])
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    pairs = neardup_vectors.links(x, 0.9)
-    true = np.argwhere(np.triu(x @ x.T >= 0.9, 1))
-    assert len(pairs) >= 0.9 * len(true) and {tuple(p) for p in pairs.tolist()} <= {tuple(p) for p in true.tolist()}
+    monkeypatch.setattr(neardup_vectors, "BLOCK", 90)
+    x = groups_of(2, 300, 24, 0.1, 5)
+    count, root = brute_links(x)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert {r.vec_id: (r.n_links, r.component_id) for r in neardup_vectors.near_duplicates(df).collect()} == {i: (c, r) for i, (c, r) in enumerate(zip(count.tolist(), root))}
 
 
-def test_all_pairs_of_a_large_hot_shard_are_found(monkeypatch):
-    monkeypatch.setattr(neardup_vectors, "LARGEST", 200)
-    rng = np.random.default_rng(4)
-    x = rng.normal(size=64) + 0.25 * rng.normal(size=(3000, 64))
+def test_the_graph_is_connected_and_its_search_finds_whole_groups():
+    x = groups_of(40, 70, 64, 0.25, 4)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    want = np.argwhere(np.triu(x @ x.T >= 0.9, 1))
-    got = neardup_vectors.links(x, 0.9)
-    assert len(want) > 1e6 and {*map(tuple, got.tolist())} == {*map(tuple, want.tolist())} and len(got) == len(want)
+    edges = neardup_vectors.pruned_edges(x.astype(np.float32))
+    assert len(set(roots(len(x), edges.tolist()))) == 1 and len(edges) < 2.2 * neardup_vectors.DEGREE * len(x)
+    starts = np.searchsorted(edges[:, 0], np.arange(len(x) + 1))
+    found = np.concatenate(list(neardup_vectors.verified(x, neardup_vectors.searched(x, starts, edges[:, 1], 0.9), 0.9)))
+    true = np.argwhere(np.triu(x @ x.T >= 0.9, 1))
+    assert {*map(tuple, found.tolist())} <= {*map(tuple, true.tolist())} and len(found) >= 0.98 * len(true)
 
 
 def test_links_that_no_overlap_finds_are_found_in_the_end(spark, monkeypatch):

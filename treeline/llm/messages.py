@@ -115,6 +115,7 @@ class Chunks:
         scratch.free()
         self.words = self.base.agg(F.sum("n")).first()[0] or 0
         self.buckets = max(self.parts, -(-self.words // BUCKET))
+        self.places = self._places()
 
     def _table(self, rows: DataFrame) -> DataFrame:
         name = f"treeline_{uuid.uuid4().hex}"
@@ -123,6 +124,21 @@ class Chunks:
         writer.bucketBy(self.parts, "chunk").sortBy("chunk").saveAsTable(name)
         return self.spark.table(name)
 
+    def _places(self) -> list[int]:
+        """A number for each bucket, such that Spark's hash deals the buckets evenly to its partitions; where there are many buckets
+        for each partition chance does it."""
+        if self.buckets > 16 * self.parts:
+            return list(range(self.buckets))
+        number = F.col("id").cast("int")
+        found = self.spark.range(32 * max(self.buckets, 16)).select(number.alias("id"), F.pmod(F.hash(number), F.lit(self.parts)).alias("part")).collect()
+        by_part: dict[int, list[int]] = {}
+        for r in sorted(found):
+            by_part.setdefault(r.part, []).append(r.id)
+        rounds = -(-self.buckets // self.parts)
+        even = [own[i] for i in range(rounds) for _, own in sorted(by_part.items()) if i < len(own)]
+        rest = sorted({r.id for r in found} - set(even))
+        return (even + rest)[: self.buckets]
+
     def joined(self) -> DataFrame:
         """Chunks with the replies of all rounds so far."""
         out = self.base
@@ -142,16 +158,17 @@ class Chunks:
     def exchange(self, name: str, columns: int, send: Callable[[dict], Iterator[tuple[int, list[bytes]]]], reduce: Callable[[pa.Table], pa.Table]) -> tuple[int, int]:
         """A round: send gives a chunk's messages (bucket, so many columns), reduce a bucket's replies. Gives the sums of the two
         numbers of all buckets."""
-        names = [f"m{i}" for i in range(columns)]
+        names, places = [f"m{i}" for i in range(columns)], self.places
 
         def run(row: dict) -> Iterator[pa.RecordBatch]:
             found = list(send(row))
             if found:
                 body = [pa.array([m[i] for _, m in found], pa.binary()) for i in range(columns)]
-                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([row["chunk"]] * len(found), pa.int64()), *body], ["bucket", "chunk", *names])
+                ids = [pa.array([places[b] for b, _ in found], pa.int32()), pa.array([b for b, _ in found], pa.int32()), pa.array([row["chunk"]] * len(found), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*ids, *body], ["place", "bucket", "chunk", *names])
 
-        out = self.each(run, f"bucket int, chunk long, {', '.join(f'{n} binary' for n in names)}")
-        out = out.groupBy("bucket").applyInArrow(reduce, "chunk long, bucket int, reply binary, distinct long, total long")
+        out = self.each(run, f"place int, bucket int, chunk long, {', '.join(f'{n} binary' for n in names)}")
+        out = out.groupBy("place").applyInArrow(reduce, "chunk long, bucket int, reply binary, distinct long, total long")
         out = out.repartition(self.parts, "chunk").groupBy("chunk")
         made = self._table(out.agg(F.collect_list(F.struct("bucket", "reply")).alias(name), F.sum("distinct").alias("distinct"), F.sum("total").alias("total")))
         self.replies[name] = made.select("chunk", name)
