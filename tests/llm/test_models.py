@@ -179,15 +179,89 @@ def test_base_spans_against_the_plain_patterns(spark):
         assert [(int(a), pii.KINDS.index(k)) for k, a, _ in spans] == sorted((int(a), pii.KINDS.index(k)) for k, a, _ in spans)
 
 
+def test_the_registered_base_spans_against_the_plain_patterns(spark):
+    import hashlib
+
+    rows = spark.read.parquet(f"{D}/documents.parquet").collect()
+    got = {r.doc_id: r for r in pii.op10_pii(spark, D).collect()}
+    for r in rows:
+        want = base_spans(r.text)
+        own = got[r.doc_id]
+        assert own.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert (own.n_email, own.n_ip, own.n_card, own.n_phone) == tuple(sum(s.startswith(k) for s in want) for k in pii.KINDS)
+
+
+#: What only the looser forms find, around it words that say what it is, and its kind.
+PLANTED = [
+    ("write to ", "{a}.{b} (at) mail{n} (dot) org", "email"), ("my mail is ", "{a} at {b} dot com", "email"), ("call ", "(2{n2}) 555-01{n2}", "phone"), ("phone ", "0049 30 1234{n2}{n2}", "phone"),
+    ("server ", "10[.]0[.]{n}[.]{n2}", "ip"), ("host ", "2001:db8:0:{n}:0:0:0:{n2}", "ip"), ('api token = "', "9f{n2}c3d4e5f6a7b8{n2}d0e1f2", "secret"),
+]
+#: What looks like it and isn't.
+PLAIN = ["order 1234567890123{n3} shipped", "version 1.2.{n}", "isbn 978-3-16-148410-{n}", "he was at home at noon", "in 2019 and 20{n2}", "abcdefghijklmnopqrstuvwxyz{a}", "ratio 3:4:{n}"]
+
+
 def test_added_spans_and_redaction(spark):
-    text = "Des +1 (826) 555-4081 190.137.223.204 du"
-    rows = [(i, f"call +1 (20{i % 10}) 555-01{i:02d} or write to me{i}@mail.example.com from 10.0.0.{i}") for i in range(40)] + [(100, text), (101, "order 1234567890123456 shipped"), (102, None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'clash' as uid")
-    spans = {r.doc_id: r.spans for r in pii.find(df).collect()}
-    assert spans[100] == "phone:4:21,ip:22:37" and spans[101] == "" and spans[102] == ""
-    clean = {r.doc_id: r.text for r in pii.redact(df).collect()}
-    assert clean[100] == "Des <phone> <ip> du" and clean[101] == rows[41][1] and clean[102] is None
-    assert clean[3] == "call <phone> or write to <email> from <ip>" and pii.redact(df).columns == df.columns
+    rng = random.Random(8)
+    fill = lambda t, i: t.format(a=rng.choice(["ann", "bo", "cy"]), b=rng.choice(["lee", "ray"]), n=i % 9 + 1, n2=f"{i % 90 + 10}", n3=f"{i % 900 + 100}")
+    rows, want = [], {}
+    for i in range(40):
+        rows.append((i, f"call +1 (20{i % 10}) 555-01{i:02d} or write to me{i}@mail.example.com from server 10.0.0.{i} with card 4111 1111 1111 1111"))
+    for i in range(40, 320):
+        before, value, kind = PLANTED[i % len(PLANTED)]
+        value = fill(value, i)
+        text = f"some words and {before}{value}" + ('"' if kind == "secret" else "") + " then more"
+        rows.append((i, text))
+        want[i] = f"{kind}:{text.index(value)}:{text.index(value) + len(value)}"
+    rows += [(i, f"some words {fill(PLAIN[i % len(PLAIN)], i)} then more") for i in range(320, 600)]
+    rows += [(1000, "Des +1 (826) 555-4081 190.137.223.204 du"), (1001, None), (1002, "\ue000 a@b.com \ue000 x"), (1002, "\ue000 a@b.com \ue000 x"), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'clash' as uid", "1 as candidates", "2 as spans")
+    got = [(r.doc_id, r.spans, r.base) for r in pii.find(df).collect()]
+    added = {i: [x for x in s.split(",") if x and x not in b] for i, s, b in got if i is not None}
+    hits = sum(want[i] in added[i] for i in want)
+    total = sum(map(len, added.values()))
+    assert hits >= 0.9 * len(want) and hits >= 0.9 * total, (hits, len(want), total)
+    found = {i: s for i, s, _ in got}
+    assert found[1000] == "phone:4:21,ip:22:37" and found[1001] == "" and found[1002] == "email:2:9"
+    clean = pii.redact(df)
+    assert clean.columns == df.columns and clean.dtypes == df.dtypes
+    texts = dict(rows)
+
+    def cut(i):
+        out, at = "", 0
+        for kind, a, b in (x.split(":") for x in found[i].split(",") if x):
+            if int(a) >= at:
+                out += texts[i][at : int(a)] + f"<{kind}>"
+            at = max(at, int(b))
+        return out + texts[i][at:]
+
+    assert {r.doc_id: r.text for r in clean.collect()} == {i: None if t is None else cut(i) for i, t in texts.items()}
+
+
+def test_reliabilities_find_the_better_labeler():
+    rng = random.Random(9)
+    counts = Counter()
+    for _ in range(4000):
+        y = rng.random() < 0.4
+        right = [rng.random() < r for r in (0.95, 0.9, 0.6, 0.85, 0.7)]
+        counts[tuple(2 if ok == y else 0 for ok in right)] += 1
+    patterns = [("card", v, n) for v, n in sorted(counts.items())]
+    post, shares = pii.reliabilities(patterns)
+    good = [(shares["card"][1, i, 2] + shares["card"][0, i, 0]) / 2 for i in range(5)]
+    assert good == pytest.approx([0.95, 0.9, 0.6, 0.85, 0.7], abs=0.05)
+    # the last round's posterior, by Bayes' rule from the distributions it used
+    mass = sum(p * n for p, (_, _, n) in zip(post, patterns))
+    total = sum(n for _, _, n in patterns)
+    for p, (_, v, _) in zip(post, patterns):
+        odds = (mass + 1) / (total - mass + 1) * math.prod(shares["card"][1, i, x] / shares["card"][0, i, x] for i, x in enumerate(v))
+        assert p == pytest.approx(odds / (1 + odds), abs=1e-3)
+
+
+def test_chains_of_added_spans_keep_the_last_that_stays(spark):
+    row = lambda name, a, b: f"named_struct('name', '{name}', 'start', {a}, 'end', {b}, 'value', 'v', 'before', '', 'after', '')"
+    weights = {(k,): 5.0 for k in pii.ALL}
+    df = spark.sql(f"SELECT array({row('loose_phone', 0, 10)}, {row('secret', 8, 20)}, {row('ipv6', 15, 30)}, {row('email', 28, 33)}, {row('secret', 40, 50)}) AS candidates")
+    got = pii.spans(df, weights).first().spans
+    assert [(x.start, x.end, x.more) for x in got] == [(0, 10, True), (28, 33, False), (40, 50, True)]
 
 
 def test_personal_data_of_odd_rows(docs, nothing):

@@ -1,34 +1,47 @@
 """Personal data by weak supervision, in DataFrame functions only.
 
-Regular expressions propose spans: the base ones of each kind, base matches that fail their check, and looser forms. Five
-labelers vote on each (format check, gazetteer of prefixes and domains, words around it, characters next to it, shape).
-Expectation-maximisation over the counts of vote patterns estimates how reliable each labeler is for each kind, and a
-logistic span classifier is trained on the posteriors. Base spans stay; spans that the classifier accepts are added where they
-overlap none of them.
-
-The pattern counts have at most a fixed number of rows (votes and bucketed features), so they come to the driver.
+Regular expressions propose spans: the base ones of each kind, base matches that fail their check, and looser forms (spelled
+addresses, phone numbers without a plus, cards with other separators, IPv6 and defanged addresses, secrets). Five labelers vote
+on each (format check, gazetteer of prefixes and domains, words around it, characters next to it, shape).
+Expectation-maximisation over the counts of vote patterns estimates how reliable each labeler is for each kind, and a logistic
+span classifier is trained on the posteriors. Base spans stay; spans that the classifier accepts are added where they overlap
+none of them.
+
+All of a document's spans are found in its row, by array functions: nothing is shuffled but the counts of vote patterns, which
+have at most a fixed number of rows (votes and bucketed features) and come to the driver.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, table, with_uid
+from .common import Scratch, prepare, table
 
+#: Kinds with base patterns, then those that the method adds.
 KINDS = ("email", "ip", "card", "phone")
-#: Extractors: kind, whether base, pattern. The base patterns say the same as the plain ones in the contract, without
-#: backtracking into what they have read: a run of characters that a plain pattern would try from each place is tried from its
-#: first, or from where the match before ended; cards with too few or too many digits, which are dropped anyway, never match.
+ALL = (*KINDS, "secret")
+_AT = tuple(f"{b}{s}{w}" for b in "([{" for s in ("", " ") for w in ("at", "AT"))
+_FOUR_DIGITS = "[0-9]{4}"
+_SECRETS = ("token", "Token", "TOKEN", "secret", "Secret", "SECRET", "passw", "Passw", "PASSW", "api", "API", "Bearer")
+#: Extractors: kind, whether base, pattern, and strings (or one pattern) of which a text with a match holds one. The base patterns
+#: say the same as the plain ones in the contract, without backtracking into what they have read: a run of characters that a
+#: plain pattern would try from each place is tried from its first, or from where the match before ended; cards with too few or
+#: too many digits, which are dropped anyway, never match.
 EXTRACTORS = {
-    "email": ("email", True, r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
-    "ip": ("ip", True, r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
-    "card": ("card", True, r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])"),
-    "phone": ("phone", True, r"\+[0-9][\x20().0-9-]+[0-9]"),
-    "spelled_email": ("email", False, r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[(\[{] ?(?:at|AT) ?[)\]}] ?[A-Za-z0-9-]++(?: ?[(\[{] ?(?:dot|DOT) ?[)\]}] ?[A-Za-z0-9-]++|\.[A-Za-z0-9-]++)++"),
-    "loose_phone": ("phone", False, r"(?<![0-9.+()-])(?:\+?[0-9]{1,3}[\x20.-])?(?:\([0-9]{3}\)[\x20.-]?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9-])"),
+    "email": ("email", True, r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", ("@",)),
+    "ip": ("ip", True, r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ()),
+    "card": ("card", True, r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])", ()),
+    "phone": ("phone", True, r"\+[0-9][\x20().0-9-]+[0-9]", ("+",)),
+    "spelled_email": ("email", False, r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[(\[{] ?(?:at|AT) ?[)\]}] ?[A-Za-z0-9-]++(?: ?[(\[{] ?(?:dot|DOT) ?[)\]}] ?[A-Za-z0-9-]++|\.[A-Za-z0-9-]++)++", _AT),
+    "worded_email": ("email", False, r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ (?:at|AT) [A-Za-z0-9-]++(?: (?:dot|DOT) [A-Za-z0-9-]++)++", (" dot ", " DOT ")),
+    "loose_phone": ("phone", False, r"(?<![0-9.+()-])(?:\+?[0-9]{1,3}[\x20.-])?(?:\([0-9]{3}\)[\x20.-]?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9-])", _FOUR_DIGITS),
+    "zero_phone": ("phone", False, r"(?<![0-9.+(-])00[1-9][0-9]{0,2}[\x20/-][\x20().0-9/-]{5,16}[0-9](?![0-9])", ("00",)),
+    "parted_card": ("card", False, r"(?<![0-9])[0-9]{4}([./_])[0-9]{4}\1[0-9]{4}\1[0-9]{2,7}(?![0-9])", _FOUR_DIGITS),
+    "defanged_ip": ("ip", False, r"(?<![0-9])[0-9]{1,3}(?:[(\[]\.[)\]][0-9]{1,3}){3}(?![0-9])", ("[.]", "(.)")),
+    "ipv6": ("ip", False, r"(?<![A-Za-z0-9:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}:(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}))(?![A-Za-z0-9:])", r"[0-9A-Fa-f]:[0-9A-Fa-f]{0,4}:"),
+    "secret": ("secret", False, r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}", _SECRETS),
 }
 #: Characters of text around a span that labelers see.
 AROUND = 40
@@ -38,8 +51,11 @@ _ABOUT = {
     "ip": r"\bip\b|addr|host|server|node|ping|dirección|adresse",
     "card": "card|visa|master|amex|credit|debit|payment|tarjeta|carte|karte",
     "phone": r"phone|\btel|call|fax|mobile|cell|whatsapp|teléfono|téléphone|telefon|handy",
+    "secret": r"token|secret|passw|api.?key|bearer|credential",
 }
-_OTHER = r"version|\bv[0-9]|isbn|order|invoice|\bid\b|serial|hash|token|sha|build|issue|sku"
+_OTHER = r"version|\bv[0-9]|isbn|order|invoice|\bid\b|serial|hash|sha|build|issue|sku"
+#: Stands between the parts of a text; texts that hold it are cut in another way.
+_MARK = ""
 
 
 def _digits(value: Column) -> Column:
@@ -59,14 +75,12 @@ def luhn(digits: Column) -> Column:
 
 def passes(kind: str, value: Column) -> Column:
     """The check that a match of a kind's base pattern must pass."""
-    if kind == "email":
-        return F.lit(True)
     if kind == "ip":
         part = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
         return value.rlike(rf"^{part}(?:\.{part}){{3}}$")
     if kind == "card":
         return luhn(_digits(value))
-    return F.length(_digits(value)).between(10, 15)
+    return F.length(_digits(value)).between(10, 15) if kind == "phone" else F.lit(True)
 
 
 def _vote(yes: Column, no: Column) -> Column:
@@ -74,58 +88,90 @@ def _vote(yes: Column, no: Column) -> Column:
 
 
 def votes(name: str, value: Column, before: Column, after: Column) -> list[Column]:
-    kind, base, _ = EXTRACTORS[name]
+    kind, base, _, _ = EXTRACTORS[name]
     digits = _digits(value)
     n = F.length(digits)
     ok = passes(kind, value)
-    form = _vote(ok, ~ok) if base else F.lit(0)
+    form = _vote(ok, ~ok) if base or name == "parted_card" else F.lit(0)
+    near = F.lower(F.concat_ws(" ", before, F.substring(after, 1, 15)))
+    tight = before.rlike(r"[\p{L}0-9_=/#\"]$") | after.rlike(r"^[\p{L}0-9_\"]")
+    beside = _vote(~tight, tight)
     if kind == "email":
         known = F.lower(value).rlike(rf"[. )\]}}](?:{_DOMAINS})$")
         shape = F.length(value).between(6, 80) & ~value.contains("..")
         bad = ~shape
+    elif name == "ipv6":
+        known = F.lower(value).rlike("^(?:2|3|f[cde])[0-9a-f]{3}:|^::1$")
+        shape = F.length(value) >= 8
+        bad = ~value.rlike("[0-9]") | ~shape
     elif kind == "ip":
-        known = value.rlike(r"^0*(?:[1-9]|[1-9][0-9]|1[0-9]{2}|2[01][0-9]|22[0-3])\.")
-        shape = value.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$")
+        plain = F.regexp_replace(value, r"[\[\]()]", "")
+        known = plain.rlike(r"^0*(?:[1-9]|[1-9][0-9]|1[0-9]{2}|2[01][0-9]|22[0-3])\.")
+        shape = plain.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$")
         bad = ~shape
     elif kind == "card":
         known = digits.rlike("^(?:4|5[1-5]|2[2-7]|3[0-9]|6)")
-        shape = value.rlike(r"^[0-9]{4}([\x20-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}$") | value.rlike(r"^3[0-9]{3}([\x20-]?)[0-9]{6}\1[0-9]{5}$")
-        bad = value.rlike(r"[\x20-]") & ~shape
-    else:
+        shape = value.rlike(r"^[0-9]{4}([\x20./_-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}$") | value.rlike(r"^3[0-9]{3}([\x20./_-]?)[0-9]{6}\1[0-9]{5}$")
+        bad = value.rlike(r"[\x20./_-]") & ~shape
+    elif kind == "phone":
         known = n.between(10, 13)
-        shape = value.rlike(r"^(?:\+?[0-9]{1,3}[\x20.-]?)?\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{3,4}[\x20.-][0-9]{3,4}$")
+        shape = value.rlike(r"^(?:\+?[0-9]{1,3}[\x20.-]?)?\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{3,4}[\x20.-][0-9]{3,4}$") | value.rlike("^00[1-9]")
         bad = ~n.between(7, 15)
-    near = F.lower(F.concat_ws(" ", before, F.substring(after, 1, 15)))
-    tight = before.rlike(r"[\p{L}0-9_=/#\"]$") | after.rlike(r"^[\p{L}0-9_\"]")
-    return [form, _vote(known, ~known), _vote(near.rlike(_ABOUT[kind]), near.rlike(_OTHER)), _vote(~tight, tight), _vote(shape, bad)]
+    else:
+        letters = F.length(F.regexp_replace(value, "[^A-Za-z]", ""))
+        known = value.rlike("^(?:sk|pk|gh[pousr]|xox[abp]|AKIA|eyJ)[A-Za-z0-9_-]") | value.rlike("^[0-9a-f]{20,}$")
+        shape = (n >= 3) & (letters >= 3)
+        bad = (n == 0) | (letters == 0)
+        beside = _vote(before.rlike(r"[=:]\s?[\"']?$|[\"']$|(?i:bearer) $"), before.rlike(r"[\p{L}.@/]$"))
+    return [form, _vote(known, ~known), _vote(near.rlike(_ABOUT[kind]), near.rlike(_OTHER)), beside, _vote(shape, bad)]
 
 
 LABELERS = 5
-#: Log odds of the format check's votes (fails, none, passes): real data fail it once in a hundred, other strings pass it once in
-#: ten (a random number's chance of a right check digit).
-CHECK = (math.log(0.01 / 0.9), 0.0, math.log(0.99 / 0.1))
+#: The format check's reliability to begin with (fails, none, passes): real data fail it once in a hundred, other strings pass it
+#: once in ten (a random number's chance of a right check digit); it weighs as much as so many spans of each class.
+CHECK, WEIGHT = {1: (0.01, 0.5, 0.99), 0: (0.9, 0.5, 0.1)}, 20.0
+
+
+def parts_of(text: Column, pattern: str, needs: str | tuple[str, ...]) -> Column:
+    """What lies between matches and the matches in turn; nothing in texts that hold the mark themselves or can't have a match. The
+    pattern runs once over a text, and puts a mark around each match."""
+    may = text.rlike(needs) if isinstance(needs, str) else None
+    for x in () if isinstance(needs, str) else needs:
+        may = text.contains(x) if may is None else may | text.contains(x)
+    parts = F.split(F.regexp_replace(text, pattern, f"{_MARK}$0{_MARK}"), _MARK, -1)
+    use = ~text.contains(_MARK)
+    return F.when(use if may is None else use & may, parts).otherwise(F.array().cast("array<string>"))
+
+
+def matches_of(text: Column, pattern: str, parts: Column) -> Column:
+    """Matches (m) with the text before (b) and after (a) each; from the parts, or, in texts that hold the mark, by the pattern."""
+    none, marked = F.array().cast("array<string>"), text.contains(_MARK) & text.rlike(pattern)
+    found = F.when(marked, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.filter(parts, lambda _, i: i % 2 == 1))
+    between = F.when(marked, F.split(text, pattern, -1)).when(F.size(parts) > 1, F.filter(parts, lambda _, i: i % 2 == 0)).otherwise(none)
+    zipped = F.arrays_zip(found.alias("m"), between.alias("b"), F.slice(between, 2, 1 << 30).alias("a"))
+    return F.filter(zipped, lambda x: x["m"].isNotNull())
+
+
+_SPAN = "struct<name:string,start:int,end:int,value:string,before:string,after:string>"
 
 
-def found(text: Column, pattern: str) -> tuple[Column, Column]:
-    """Matches, and what lies between them (one more); nothing where there is no match."""
-    some = text.rlike(pattern)
-    none = F.array().cast("array<string>")
-    return F.when(some, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none), F.when(some, F.split(text, pattern, -1)).otherwise(none)
+def candidates(docs: DataFrame, column: str = "candidates") -> DataFrame:
+    """docs with an array of all matches (of _SPAN; in code points, end exclusive)."""
+    text, names = F.coalesce("text", F.lit("")), list(EXTRACTORS)
+    docs = docs.withColumns({f"__p{n}": parts_of(text, EXTRACTORS[n][2], EXTRACTORS[n][3]) for n in names})
+    docs = docs.withColumns({f"__m{n}": matches_of(text, EXTRACTORS[n][2], F.col(f"__p{n}")) for n in names})
 
+    def placed(name: str) -> Column:
+        def add(done: Column, x: Column) -> Column:
+            start = done["at"] + F.length(x["b"])
+            end = start + F.length(x["m"])
+            span = F.struct(F.lit(name), start, end, x["m"], F.right(x["b"], F.lit(AROUND)), F.left(x["a"], F.lit(AROUND))).cast(_SPAN)
+            return F.struct(end.alias("at"), F.concat(done["spans"], F.array(span)).alias("spans"))
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """uid, name (extractor), start, end, value, before, after: each match in code points, end exclusive."""
-    parts = []
-    texts = docs.select("uid", F.coalesce("text", F.lit("")).alias("text"))
-    for name, (_, _, pattern) in EXTRACTORS.items():
-        matches, between = found(F.col("text"), pattern)
-        parts.append(F.struct(F.lit(name).alias("name"), matches.alias("m"), between.alias("b")))
-    rows = texts.select("uid", F.explode(F.array(*parts)).alias("e")).filter(F.size("e.m") > 0)
-    rows = rows.select("uid", "e.name", F.posexplode(F.arrays_zip(F.col("e.m").alias("m"), F.col("e.b").alias("b"), F.slice("e.b", 2, 1 << 30).alias("a"))).alias("i", "x")).filter("x.m is not null")
-    rows = rows.select("uid", "name", "i", F.col("x.m").alias("value"), F.length("x.b").alias("gap"), F.right("x.b", F.lit(AROUND)).alias("before"), F.left("x.a", F.lit(AROUND)).alias("after"))
-    upto = Window.partitionBy("uid", "name").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    end = F.sum(F.col("gap") + F.length("value")).over(upto)
-    return rows.select("uid", "name", (end - F.length("value")).alias("start"), end.alias("end"), "value", "before", "after")
+        none = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("spans"))
+        return F.aggregate(f"__m{name}", none, add, lambda x: x["spans"])
+
+    return docs.withColumn(column, F.concat(*map(placed, names))).drop(*[f"__{c}{n}" for n in names for c in "pm"])
 
 
 def _features(name: str, value: Column, before: Column, after: Column) -> list[Column]:
@@ -137,140 +183,149 @@ def _features(name: str, value: Column, before: Column, after: Column) -> list[C
 NAMES = [f"f{i}" for i in range(LABELERS + 2)]
 
 
-def with_features(rows: DataFrame) -> DataFrame:
-    each = {name: _features(name, F.col("value"), F.col("before"), F.col("after")) for name in EXTRACTORS}
-    for i, column in enumerate(NAMES):
-        chosen = None
-        for name in EXTRACTORS:
-            chosen = F.when(F.col("name") == name, each[name][i]) if chosen is None else chosen.when(F.col("name") == name, each[name][i])
-        rows = rows.withColumn(column, chosen)
-    return rows
-
-
-def reliabilities(patterns: list[tuple[str, tuple[int, ...], int]], rounds: int = 60) -> list[float]:
-    """Posterior of each (kind, votes, count) by expectation-maximisation of a two-class model with independent labelers, whose
-    vote distributions are estimated for each kind; begun from the format check where it votes, else from majority votes. The
-    format check's own reliability is known (CHECK) and stays."""
-    sums = [(v[0] - 1) or sum(v) - len(v) for _, v, _ in patterns]
-    post = [0.5 + 0.45 * ((s > 0) - (s < 0)) for s in sums]
-    for _ in range(rounds):
-        tables: dict[tuple, float] = {}
-        for (kind, v, n), p in zip(patterns, post):
-            for y, w in ((1, p * n), (0, (1 - p) * n)):
-                tables[kind, y] = tables.get((kind, y), 0.0) + w
-                for l, x in enumerate(v):
-                    tables[kind, y, l, x] = tables.get((kind, y, l, x), 0.0) + w
-        new = []
-        for kind, v, _ in patterns:
-            odds = math.log((tables[kind, 1] + 1) / (tables[kind, 0] + 1))
-            odds += CHECK[v[0]]
-            for l, x in list(enumerate(v))[1:]:
-                yes, no = ((tables.get((kind, y, l, x), 0.0) + 1) / (tables[kind, y] + 3) for y in (1, 0))
-                odds += math.log(yes / no)
-            new.append(1 / (1 + math.exp(-max(-30.0, min(30.0, odds)))))
-        post = new
-    return post
-
-
-def fit(featured: DataFrame, steps: int = 300) -> dict[tuple, float]:
+def _by_name(name: Column, make) -> Column:
+    chosen = None
+    for x in EXTRACTORS:
+        chosen = F.when(name == x, make(x)) if chosen is None else chosen.when(name == x, make(x))
+    return chosen
+
+
+def pattern_counts(rows: DataFrame, column: str = "candidates") -> list[tuple[str, tuple[int, ...], int]]:
+    """kind, features, number of candidates; as many as the features have values at most."""
+    rows = rows.select(F.explode(column).alias("x")).select("x.*")
+    each = {n: F.struct(*[f.alias(c) for c, f in zip(NAMES, _features(n, F.col("value"), F.col("before"), F.col("after")))]) for n in EXTRACTORS}
+    rows = rows.select("name", _by_name(F.col("name"), each.get).alias("f")).select("name", "f.*")
+    found = rows.groupBy("name", *NAMES).agg(F.count(F.lit(1)).alias("n")).orderBy("name", *NAMES).collect()
+    return [(EXTRACTORS[r.name][0], tuple(r[c] for c in NAMES), r.n) for r in found]
+
+
+def reliabilities(patterns: list[tuple[str, tuple[int, ...], int]], rounds: int = 60) -> tuple[np.ndarray, dict]:
+    """Posterior of each (kind, votes, count) by expectation-maximisation of a two-class model with independent labelers, whose vote
+    distributions are estimated for each kind, begun from the format check where it votes, else from majority votes; and those
+    distributions by kind (class, labeler, vote). The format check's has CHECK as its prior; where it doesn't vote it says nothing."""
+    post, out = np.zeros(len(patterns)), {}
+    for kind in dict.fromkeys(k for k, _, _ in patterns):
+        at = [i for i, (k, _, _) in enumerate(patterns) if k == kind]
+        v, n = np.array([patterns[i][1] for i in at]), np.array([patterns[i][2] for i in at], float)
+        one = np.eye(3)[v]  # pattern, labeler, vote
+        first = np.where(v[:, 0] != 1, v[:, 0] - 1, np.sign((v - 1).sum(axis=1)))
+        p = 0.5 + 0.45 * first
+        prior = np.ones((2, v.shape[1], 3))
+        for y in (0, 1):
+            prior[y, 0] = WEIGHT * np.array(CHECK[y])
+        for _ in range(rounds):
+            mass = np.stack([(1 - p) * n, p * n])
+            votes_of = np.einsum("yi,ilx->ylx", mass, one) + prior
+            votes_of[:, 0, 1] = 0
+            share = votes_of / votes_of.sum(axis=2, keepdims=True)
+            share[:, 0, 1] = 1
+            odds = np.log((mass[1].sum() + 1) / (mass[0].sum() + 1)) + np.einsum("ilx,lx->i", one, np.log(share[1] / share[0]))
+            p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        post[at], out[kind] = p, share
+    return post, out
+
+
+def train(patterns: list[tuple[str, tuple[int, ...], int]], steps: int = 300) -> dict[tuple, float]:
     """Weights of the span classifier by (kind, feature, value), and of (kind,) alone."""
-    counted = featured.groupBy("name", *NAMES).agg(F.count(F.lit(1)).alias("n")).orderBy("name", *NAMES).collect()  # bounded by the features' values
-    rows = [(EXTRACTORS[r.name][0], tuple(r[c] for c in NAMES), r.n) for r in counted]
-    post = reliabilities([(k, f[:LABELERS], n) for k, f, n in rows])
-    keys = [[(k,), *((k, i, x) for i, x in enumerate(f))] for k, f, _ in rows]
-    total = sum(n for _, _, n in rows) or 1
-    weights: dict[tuple, float] = {k: 0.0 for ks in keys for k in ks}
-    speed = dict.fromkeys(weights, 1e-8)
+    if not patterns:
+        return {}
+    post, _ = reliabilities([(k, f[:LABELERS], n) for k, f, n in patterns])
+    keys = {k: i for i, k in enumerate(dict.fromkeys(x for k, f, _ in patterns for x in [(k,), *((k, i, v) for i, v in enumerate(f))]))}
+    at = np.array([[keys[k,], *(keys[k, i, v] for i, v in enumerate(f))] for k, f, _ in patterns], np.int64).reshape(len(patterns), -1)
+    n = np.array([x for _, _, x in patterns], float)
+    weight, speed = np.zeros(len(keys)), np.full(len(keys), 1e-8)
     for _ in range(steps):
-        slope = {k: -1e-3 * w for k, w in weights.items()}
-        for ks, p, (_, _, n) in zip(keys, post, rows):
-            z = sum(weights[k] for k in ks)
-            miss = (p - 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))) * n / total
-            for k in ks:
-                slope[k] += miss
-        for k, g in slope.items():
-            speed[k] += g * g
-            weights[k] += 0.5 * g / math.sqrt(speed[k])
-    return weights
+        miss = (post - 1 / (1 + np.exp(-np.clip(weight[at].sum(axis=1), -30, 30)))) * n / n.sum()
+        slope = np.bincount(at.reshape(-1), weights=np.repeat(miss, at.shape[1]), minlength=len(keys)) - 1e-3 * weight
+        speed += slope**2
+        weight += 0.5 * slope / np.sqrt(speed)
+    return {k: float(weight[i]) for k, i in keys.items()}
 
 
 def accepted(name: str, features: list[Column], weights: dict[tuple, float]) -> Column:
     kind = EXTRACTORS[name][0]
     z = F.lit(weights.get((kind,), 0.0))
     for i, f in enumerate(features):
-        values = [weights.get((kind, i, x), 0.0) for x in range(10 if i >= LABELERS else 3)]
-        z = z + F.element_at(F.array(*map(F.lit, values)), f + 1)
+        values = ", ".join(f"{weights.get((kind, i, x), 0.0)!r}D" for x in range(10 if i >= LABELERS else 3))
+        z = z + F.element_at(F.expr(f"array({values})"), f + 1)
     return z > 0
 
 
-def _any_of(make) -> Column:
-    chosen = F.lit(False)
-    for name in EXTRACTORS:
-        chosen = F.when(F.col("name") == name, make(name)).otherwise(chosen)
-    return chosen
+_FOUND = "struct<start:int,more:boolean,back:int,place:int,end:int,clear:boolean>"
 
 
-def spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """docs (uid, text) -> uid, kind, place (of the kind in KINDS), start, end, base."""
-    rows = scratch.keep(with_features(candidates(docs)))
-    weights = fit(rows)
-    is_base = _any_of(lambda name: passes(EXTRACTORS[name][0], F.col("value")) if EXTRACTORS[name][1] else F.lit(False))
-    is_more = _any_of(lambda name: accepted(name, [F.col(c) for c in NAMES], weights))
-    kind = F.element_at(F.create_map(*[F.lit(x) for name, (k, _, _) in EXTRACTORS.items() for x in (name, k)]), F.col("name"))
-    rows = rows.select("uid", kind.alias("kind"), "start", "end", is_base.alias("base"), is_more.alias("more")).filter("base or more")
-    rows = rows.withColumn("place", F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")))
-    order = Window.partitionBy("uid").orderBy(F.col("start"), F.col("base").desc(), F.col("end").desc(), F.col("place"))
-    past, future = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
-    clear = (F.coalesce(F.max(F.when(F.col("base"), F.col("end"))).over(past), F.lit(0)) <= F.col("start")) & (F.coalesce(F.min(F.when(F.col("base"), F.col("start"))).over(future), F.lit(1 << 40)) >= F.col("end"))
-    rows = rows.withColumn("clear", clear).filter("base or clear")
-    # of added spans that overlap each other, the first that begins stays
-    first = F.coalesce(F.max("end").over(past), F.lit(0)) <= F.col("start")
-    return rows.withColumn("first", first).filter("base or first").select("uid", "kind", "place", "start", "end", "base")
+def spans(docs: DataFrame, weights: dict[tuple, float], candidates: str = "candidates", column: str = "spans") -> DataFrame:
+    """docs with an array of the spans that stay, in the order of start, then of kind: start, more (no base span), place (of the kind
+    in ALL, from 0 on), end.
 
+    Added spans overlap no base span, and of those that overlap each other the first stays, judged against the last that did."""
+    def judged(x: Column) -> Column:
+        value, before, after = x["value"], x["before"], x["after"]
+        base = _by_name(x["name"], lambda n: passes(EXTRACTORS[n][0], value) if EXTRACTORS[n][1] else F.lit(False))
+        more = _by_name(x["name"], lambda n: accepted(n, _features(n, value, before, after), weights))
+        place = _by_name(x["name"], lambda n: F.lit(ALL.index(EXTRACTORS[n][0])))
+        return F.struct(x["start"].alias("start"), (~base).alias("more"), (-x["end"]).alias("back"), place.alias("place"), x["end"].alias("end"), (base | more).alias("clear")).cast(_FOUND)
 
-def find(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base (array of kind:start:end), spans (all, joined by commas).
+    none = F.array().cast(f"array<{_FOUND}>")
+    found = F.when(F.size(candidates) > 0, F.sort_array(F.filter(F.transform(candidates, judged), lambda x: x["clear"]))).otherwise(none)
+    docs = docs.withColumn("__found", found)
 
-    A null text is empty and has no spans; a null doc_id stays; repeated rows get a row each; other columns are ignored; an
-    empty table gives no rows. Spans are in order of start, then of kind, then of end.
-    """
-    scratch = Scratch(docs.sparkSession)
-    docs = with_uid(docs, scratch, "text")
-    named = F.concat_ws(":", "kind", F.col("start").cast("string"), F.col("end").cast("string"))
-    rows = spans(docs, scratch).withColumn("s", F.struct("start", "place", "end", named.alias("text")))
-    listed = lambda c: F.transform(F.sort_array(c), lambda x: x["text"])
-    counts = [F.count(F.when(F.col("base") & (F.col("kind") == k), 1)).alias(f"n_{k}") for k in KINDS]
-    by_doc = rows.groupBy("uid").agg(*counts, listed(F.collect_list(F.when(F.col("base"), F.col("s")))).alias("base"), listed(F.collect_list("s")).alias("all"))
-    out = docs.select("uid", "doc_id").join(by_doc, "uid", "left")
-    none = F.array().cast("array<string>")
-    return out.select("doc_id", *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS], F.coalesce("base", none).alias("base"), F.array_join(F.coalesce("all", none), ",").alias("spans"))
+    # from the end: does an added span end before the next base span begins?
+    def ahead(done: Column, x: Column) -> Column:
+        clear = ~x["more"] | (x["end"] <= done["next"])
+        return F.struct(F.when(x["more"], done["next"]).otherwise(x["start"]).alias("next"), F.concat(done["spans"], F.array(x.withField("clear", clear))).alias("spans"))
+
+    # from the start: does it begin after the last base span and the last added one that stays?
+    def behind(done: Column, x: Column) -> Column:
+        stays = x["clear"] & (~x["more"] | (x["start"] >= done["last"]))
+        last = F.when(stays, F.greatest(x["end"], done["last"])).otherwise(done["last"])
+        return F.struct(last.alias("last"), F.when(stays, F.concat(done["spans"], F.array(x))).otherwise(done["spans"]).alias("spans"))
 
+    far, near = F.lit(2**31 - 1), F.lit(0)
+    docs = docs.withColumn("__found", F.aggregate(F.reverse("__found"), F.struct(far.alias("next"), none.alias("spans")), ahead, lambda x: F.reverse(x["spans"])))
+    docs = docs.withColumn("__found", F.aggregate("__found", F.struct(near.alias("last"), none.alias("spans")), behind, lambda x: x["spans"]))
+    ordered = F.sort_array(F.transform("__found", lambda x: F.struct(x["start"].alias("start"), x["place"].alias("place"), x["end"].alias("end"), x["more"].alias("more"))))
+    return docs.withColumn(column, ordered).drop("__found")
 
-def _replaced(name: str, weights: dict[tuple, float]):
-    """Turns a match (m) with the text before (b) and after it (a) into what stands in the redacted text."""
-    kind, base, _ = EXTRACTORS[name]
 
-    def piece(x: Column) -> Column:
-        value, before, after = x["m"], F.right(x["b"], F.lit(AROUND)), F.left(x["a"], F.lit(AROUND))
-        yes = accepted(name, _features(name, value, before, after), weights)
-        yes = passes(kind, value) | yes if base else yes
-        return F.concat(x["b"], F.when(value.isNull(), "").when(yes, f"<{kind}>").otherwise(value))
+def _kind(place: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, ALL)), place + 1)
 
-    return piece
+
+def find(docs: DataFrame) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base (array of kind:start:end), spans (all, joined by commas).
+
+    A null text is empty and has no spans; a null doc_id stays; repeated rows get a row each; texts of any length are looked
+    through whole; other columns are ignored; an empty table gives no rows. Spans are in the order of start, then of kind.
+    """
+    prepare(docs.sparkSession)
+    rows = Scratch(docs.sparkSession).keep(candidates(docs.select(F.col("doc_id"), "text")).select("doc_id", "candidates"))
+    rows = spans(rows, train(pattern_counts(rows)))
+    base = F.filter("spans", lambda x: ~x["more"])
+    named = lambda c: F.transform(c, lambda x: F.concat_ws(":", _kind(x["place"]), x["start"].cast("string"), x["end"].cast("string")))
+    counts = [F.size(F.filter("base", lambda x: x["place"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    rows = rows.withColumn("base", base)
+    return rows.select("doc_id", *counts, named(F.col("base")).alias("base"), F.array_join(named(F.col("spans")), ",").alias("spans"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with each span of personal data replaced by its kind in angle brackets; columns as they were. Nulls stay null."""
-    scratch = Scratch(docs.sparkSession)
-    weights = fit(scratch.keep(with_features(candidates(docs.select(F.lit(0).cast("long").alias("uid"), "text")))))
-    columns = docs.columns
-    for name, (kind, base, pattern) in EXTRACTORS.items():
-        matches, between = found(F.col("text"), pattern)
-        docs = docs.withColumns({"__m": matches, "__b": between})
-
-        zipped = F.arrays_zip(F.col("__m").alias("m"), F.col("__b").alias("b"), F.slice("__b", 2, 1 << 30).alias("a"))
-        docs = docs.withColumn("text", F.when(F.size("__m") > 0, F.array_join(F.transform(zipped, _replaced(name, weights)), "")).otherwise(F.col("text")))
-    return docs.select(*columns)
+    """docs with each of the spans that find() gives replaced by its kind in angle brackets (of spans that overlap, the first's kind
+    stands for all); columns as they were. Nulls stay null; repeated rows, empty tables and long texts as in find()."""
+    prepare(docs.sparkSession)
+    names = {c: f"__{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(*[F.col(c).alias(n) for c, n in names.items()], F.col("text"))
+    rows = candidates(rows)
+    rows = spans(rows, train(pattern_counts(rows)))
+
+    def replace(done: Column, x: Column) -> Column:
+        new = F.concat(F.substring(F.col("text"), done["at"] + 1, x["start"] - done["at"]), F.lit("<"), _kind(x["place"]), F.lit(">"))
+        out = F.when(x["start"] >= done["at"], F.concat(done["parts"], F.array(new))).otherwise(done["parts"])
+        return F.struct(F.greatest(done["at"], x["end"]).alias("at"), out.alias("parts"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+    whole = F.aggregate("spans", start, replace, lambda x: F.concat(F.array_join(x["parts"], ""), F.substring(F.col("text"), x["at"] + 1, F.length("text"))))
+    text = F.when(F.size("spans") > 0, whole).otherwise(F.col("text"))
+    return rows.select(*[(text if c == "text" else F.col(n)).alias(c) for c, n in names.items()])
 
 
 def op10_pii(spark, sf_dir):
