@@ -88,9 +88,11 @@ def shingle_set(text, n):
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} - {()}
 
 
-@pytest.mark.parametrize("table,n,percent", [("docs", 4, 85), ("plain", 4, 60), ("plain", 5, 80), ("nothing", 4, 85)])
+@pytest.mark.parametrize("table,n,percent", [("docs", 4, 85), ("plain", 4, 60), ("plain", 2, 30), ("plain", 5, 80), ("nothing", 4, 85)])
 def test_jaccard_components(request, table, n, percent, monkeypatch):
-    monkeypatch.setattr(jaccard, "RANDOM_ROUNDS", 1)
+    if percent == 30:
+        monkeypatch.setattr(jaccard, "MAPPED", 3)
+        monkeypatch.setattr(jaccard, "SKETCH", 1)
     df = request.getfixturevalue(table)
     rows = sorted(df.collect(), key=lambda r: LAST if r.doc_id is None else r.doc_id)
     sets = [shingle_set(r.text, n) for r in rows]
@@ -102,7 +104,9 @@ def test_jaccard_components(request, table, n, percent, monkeypatch):
     assert kept.columns == df.columns and kept.count() == sum(i == k for i, k in enumerate(root))
 
 
-def test_large_group_of_near_copies(spark):
+@pytest.mark.parametrize("part", [1024, 20])
+def test_large_group_of_near_copies(spark, monkeypatch, part):
+    monkeypatch.setattr(jaccard, "PART", part)
     rng = random.Random(1)
     base = [f"w{i}" for i in range(60)]
     rows = []

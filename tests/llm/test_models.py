@@ -59,6 +59,61 @@ def test_held_out_accuracy(spark):
     assert sum(r.predicted == truth[r.doc_id] for r in held) >= 0.95 * len(held)
 
 
+def plain_bins(text):
+    """The bins of a text's lines, one character after another."""
+    lines = re.findall(r"[^\n]*\n|[^\n]+$", text or "") or [""]
+    words = [WORDS.findall(x) for x in lines]
+    letters, digits, stops = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", ".,;:'\"()-"
+    mark = lambda c: "!" <= c <= "~" and c not in letters + digits + stops
+    out = []
+    for x, w in zip(lines, words):
+        n, k = max(len(x), 1), max(len(w), 1)
+        wide = len(x.encode()) - sum(c < "\x80" for c in x)
+        values = {
+            "length": len(x), "upper": sum(c in letters[26:] for c in x) / max(1, sum(c in letters for c in x)), "digit": sum(c in digits for c in x) / n, "mark": sum(map(mark, x)) / n,
+            "stop": sum(c in stops for c in x) / n, "foreign": wide / max(len(x.encode()), 1), "word": len(x) / k, "fresh": len(set(w)) / k, "tail": sum(mark(v[-1]) for v in w) / k, "copies": words.count(w),
+        }
+        out.append([sum(c <= values[f] for c in cuts) for f, cuts in quality._CUTS.items()])
+    return out, [max(len(x), 1e-9) for x in lines]
+
+
+def plain_quality(text, field):
+    """The length-weighted marginals by all sequences of labels."""
+    bins, lengths = plain_bins(text)
+    n, k = len(bins), range(quality.FEATURES)
+    odds = [sum(field.own[f, bins[i][f]] for f in k) + sum(field.before[f, bins[i - 1][f]] for f in k if i) + sum(field.after[f, bins[i + 1][f]] for f in k if i + 1 < n) for i in range(n)]
+    mass, good = 0.0, [0.0] * n
+    for code in range(2**n):
+        y = [code >> i & 1 for i in range(n)]
+        w = math.exp(field.start[y[0]] + sum(o * v for o, v in zip(odds, y)) + sum(field.step[a, b] for a, b in zip(y, y[1:])))
+        mass += w
+        good = [g + w * v for g, v in zip(good, y)]
+    return sum(g / mass * c for g, c in zip(good, lengths)) / sum(lengths)
+
+
+def test_the_registered_scores_of_quality_against_enumeration(spark, docs):
+    small = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    field = quality.fit(small, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    got = {r.doc_id: r for r in quality.op6_quality(spark, "/root/testdata/sf0.001").collect()}
+    tried = 0
+    for r in small.collect():
+        own = got[r.doc_id]
+        assert own.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and own.predicted == (own.score >= 0.7)
+        if (r.text or "").count("\n") < 8:
+            assert own.score == pytest.approx(plain_quality(r.text, field), abs=1e-6)
+            tried += 1
+    assert tried > 50
+    odd = docs.filter("doc_id is not null and coalesce(regexp_count(text, '\\n'), 0) < 8").dropDuplicates(["doc_id"])
+    assert {r.doc_id: r.score for r in quality.score(odd, field).collect()} == pytest.approx({r.doc_id: plain_quality(r.text, field) for r in odd.collect()}, abs=1e-6)
+
+
+def test_a_repeated_label_trains_once(spark):
+    rows = [(0, "Good words here.\n"), (1, "### !!! 123\n"), *[(1, "### !!! 123\n")] * 500]
+    labels = spark.createDataFrame([(0, 1), (1, 0), (1, 0)], "doc_id long, quality int")
+    many, once = (quality.fit(spark.createDataFrame(r, "doc_id long, text string"), labels) for r in (rows, rows[:2]))
+    assert np.array_equal(many.own, once.own)
+
+
 def test_quality_of_odd_rows(spark, docs, nothing):
     labels = spark.createDataFrame([(0, 1), (3, 0), (6, None), (None, 1), (9, 1), (9, 1)], "doc_id long, quality int")
     rows = quality.classify(docs, labels).collect()

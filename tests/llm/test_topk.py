@@ -22,6 +22,7 @@ def brute(rows, k=10, every=100):
 def test_top_k_against_brute_force(spark, monkeypatch, shard):
     monkeypatch.setattr(topk, "SHARD", shard)
     monkeypatch.setattr(topk, "LEAF", 8)
+    monkeypatch.setattr(topk, "BLOCK", 3)
     rows = vectors() + ODD + [(7, [0.0] * 16), (200_000, [0.0] * 16)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert sorted(map(tuple, topk.top_k(df).collect())) == brute(rows)
@@ -38,3 +39,8 @@ def test_fewer_than_k_and_none(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in topk.top_k(df).collect()] == [(0, 1, 1, 1024 * 2048)]
     assert topk.top_k(df.limit(0)).count() == 0
+
+
+def test_components_that_overflow_take_no_part_and_large_ones_do(spark):
+    df = spark.createDataFrame([(0, [1e306]), (100, [1e300]), (1, [1.0]), (2, [-1.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in topk.top_k(df).collect()] == [(100, 1, 1, 2**63 - 1), (100, 2, 2, -(2**63))]

@@ -32,13 +32,13 @@ from .common import Scratch, Words, components, grams, mix64, partitions, signed
 
 #: Counters of the frequency table, and how many travel in one row.
 COUNTERS, CHUNK = 1 << 20, 1 << 12
-#: Bytes kept of a shingle's hash when sets are compared; 2**-40 is the chance that two shingles agree by accident.
-KEPT = 5
 #: Words of 64 bits in a sketch at least; it has two bits for each shingle at least.
 SKETCH = 16
 #: Bits, a power of two, of the map of documents whose sets are needed (others with the same bit are computed in vain), and
-#: bytes of it in one row.
-MAP_BITS, MAP_PART = 24, 1 << 13
+#: bytes of it in one row; where more documents than MAPPED are needed they are joined instead.
+MAP_BITS, MAP_PART, MAPPED = 26, 1 << 13, 1 << 23
+#: Entries of a list that are ordered, or compared with others, in one task; a longer list is dealt into parts.
+PART = 1024
 #: Rows of a list that is held to see whether another token has the same ones.
 LONG = 1 << 16
 #: Rounds that try random pairs across components before all are tried.
@@ -225,8 +225,14 @@ def bit_map(uids: DataFrame) -> np.ndarray:
     return out
 
 
-def sets(docs: DataFrame, n: int, wanted: np.ndarray) -> DataFrame:
-    """uid, members (shingles, sorted, KEPT bytes each) of the documents whose bit is set; texts stay where they are read."""
+def sets(docs: DataFrame, n: int, uids: DataFrame) -> DataFrame:
+    """uid, members (the 64-bit hashes of shingles, ascending) of these documents and perhaps some others; texts stay where they are
+    read, by a bit map of the documents, unless there are too many for it."""
+    uids = uids.toDF("uid").distinct()
+    if uids.count() > MAPPED:
+        docs, wanted = docs.join(uids, "uid", "left_semi"), np.full(1 << (MAP_BITS - 3), 255, np.uint8)
+    else:
+        wanted = bit_map(uids)
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,18 +242,12 @@ def sets(docs: DataFrame, n: int, wanted: np.ndarray) -> DataFrame:
             if not batch.num_rows:
                 continue
             words = Words(batch.column("text"), lower=True)
-            out = [np.ascontiguousarray(shingles(words, i, n).astype(">u8").view(np.uint8).reshape(-1, 8)[:, :KEPT]).tobytes() for i in range(len(words))]
+            out = [shingles(words, i, n).tobytes() for i in range(len(words))]
             yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(out, pa.binary())], ["uid", "members"])
 
     return docs.select("uid", "text").mapInArrow(run, "uid long, members binary")
 
 
-def _unpacked(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // KEPT, 8), np.uint8)
-    wide[:, 8 - KEPT :] = np.frombuffer(raw, np.uint8).reshape(-1, KEPT)
-    return wide.view(">u8").reshape(-1).astype(np.uint64)
-
-
 def similar(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """a, b, and their sets (rows of one a follow one another) -> the pairs that are similar."""
     last, left = None, np.zeros(0, np.uint64)
@@ -255,8 +255,8 @@ def similar(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yes = []
         for a, x, y in zip(batch.column("a").to_pylist(), batch.column("set_a"), batch.column("set_b")):
             if a != last:
-                last, left = a, _unpacked(x.as_py())
-            right = _unpacked(y.as_py())
+                last, left = a, np.frombuffer(x.as_py(), np.uint64)
+            right = np.frombuffer(y.as_py(), np.uint64)
             both = 0
             if len(left) and len(right):
                 short, long = (left, right) if len(left) < len(right) else (right, left)
@@ -268,8 +268,8 @@ def similar(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
 
 
 def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Of pairs (a, b), those whose sets are similar. Only documents in pairs, by a bit map of them, become sets."""
-    left, right = (sets(docs, n, bit_map(pairs.select(side))).select(F.col("uid").alias(side), F.col("members").alias(f"set_{side}")) for side in "ab")
+    """Of pairs (a, b), those whose sets are similar. Only documents in pairs become sets."""
+    left, right = (sets(docs, n, pairs.select(side)).select(F.col("uid").alias(side), F.col("members").alias(f"set_{side}")) for side in "ab")
     rows = pairs.join(right, "b").join(left, "a")
     return rows.select("a", "set_a", "b", "set_b").mapInArrow(lambda batches: similar(batches, percent), "a long, b long")
 
@@ -283,18 +283,30 @@ def _sketches_fit(x: str, y: str, percent: int):
     a, b = F.col(f"{x}.sketch"), F.col(f"{y}.sketch")
     words = F.least(F.size(a), F.size(b))
 
-    def folded(c):  # of twice the size at most, as sizes of similar sets are close; halves add up to the smaller sketch
-        return F.when(F.size(c) > words, F.zip_with(F.slice(c, F.lit(1), words), F.slice(c, words + 1, words), lambda p, q: p.bitwiseXOR(q))).otherwise(c)
+    def folded(c):  # parts of the smaller sketch's size add up to that of fewer counters
+        parts = F.transform(F.sequence(F.lit(0), (F.size(c) / words).cast("int") - 1), lambda i: F.slice(c, (i * words + 1).cast("int"), words))
+        return F.when(F.size(c) > words, F.aggregate(F.slice(parts, 2, 1 << 20), F.element_at(parts, 1), lambda p, q: F.zip_with(p, q, lambda x, y: x.bitwiseXOR(y)))).otherwise(c)
 
     bits = F.aggregate(F.zip_with(folded(a), folded(b), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, n: s + n)
     return bits * (100 + percent) <= (100 - percent) * (F.col(f"{x}.n") + F.col(f"{y}.n"))
 
 
+def parted(lists: DataFrame) -> DataFrame:
+    """Lists (key, uid, ...) with parts, a number for each list such that a part has PART entries, about, and part, the row's own."""
+    long = lists.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > PART).select("key", F.ceil(F.col("k") / PART).alias("parts"))
+    lists = lists.join(long, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    return lists.withColumn("part", F.pmod(F.xxhash64("uid", F.lit(3)), F.col("parts")))
+
+
 def near_lists(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs of neighbours in each list (key, uid, n), ordered by size, and of each list's first entry with the others."""
-    order = Window.partitionBy("key").orderBy("n", "uid")
+    """Pairs of neighbours in each list (key, uid, n), or each of its parts, ordered by size, and of its first entry with the others."""
+    order = Window.partitionBy("key", "part").orderBy("n", "uid")
     every = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     y = F.struct("uid", "n")
+    lists = parted(lists)
+    firsts = lists.filter("part > 0 or parts > 1").groupBy("key", "part", "parts").agg(F.min(F.struct("n", "uid")).alias("m"))
+    firsts = firsts.select("key", F.lit(-1).cast("long").alias("part"), "parts", "m.uid", "m.n")  # parts meet in their first entries
+    lists = lists.select("key", "part", "parts", "uid", "n").union(firsts)
     rows = lists.select(y.alias("y"), F.lag(y).over(order).alias("p"), F.first(y).over(every).alias("f"))
     rows = rows.select("y", F.explode(F.array_distinct(F.array("p", "f"))).alias("x")).filter("x is not null and x.uid <> y.uid")
     return _pairs(rows.filter(_sizes_fit("x.n", "y.n", percent)))
@@ -317,18 +329,21 @@ def open_lists(lists: DataFrame) -> DataFrame:
 
 
 def random_neighbours(lists: DataFrame, seed: int, percent: int) -> DataFrame:
-    """Pairs of neighbours in a random order of each list (key, uid, n, c) that are in different components."""
+    """Pairs of neighbours in a random order of each list (key, uid, n, c), or each of its parts, that are in different components."""
     y = F.struct("uid", "n", "c")
-    rows = lists.select(y.alias("y"), F.lag(y).over(Window.partitionBy("key").orderBy(F.xxhash64("uid", "key", F.lit(seed)), "uid")).alias("x"))
+    rows = parted(lists).select(y.alias("y"), F.lag(y).over(Window.partitionBy("key", "part").orderBy(F.xxhash64("uid", "key", F.lit(seed)), "uid")).alias("x"))
     return _pairs(rows.filter("x.c <> y.c").filter(_sizes_fit("x.n", "y.n", percent)))
 
 
 def across(lists: DataFrame, percent: int) -> DataFrame:
     """All pairs of entries (key, uid, n, sketch, c) of one list, in different components c, whose sizes and sketches allow the
-    similarity."""
-    x, y = lists.alias("x"), lists.alias("y")
+    similarity. A list's part meets each of its parts in a task of its own."""
+    lists = parted(lists)
+    x = lists.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).alias("x")
+    y = lists.withColumn("of", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).alias("y")
     fits = (F.col("x.c") != F.col("y.c")) & (F.col("x.uid") < F.col("y.uid")) & _sizes_fit("x.n", "y.n", percent) & _sketches_fit("x", "y", percent)
-    return x.join(y, (F.col("x.key") == F.col("y.key")) & fits).select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct()
+    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.of")) & (F.col("x.other") == F.col("y.part"))
+    return x.join(y, met & fits).select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct()
 
 
 def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -336,7 +351,8 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     A null text, or one without words, has no shingles and is linked with nothing; with fewer than n words the whole sequence
     is the one shingle. Words are runs of non-separators with A-Z lower-cased. Null doc_ids come last in the order of ids;
-    repeated rows are documents of their own, linked as their sets are. Other columns are ignored; an empty table gives no rows.
+    repeated rows are documents of their own, linked as their sets are; texts of any length are whole. Other columns are ignored; an
+    empty table gives no rows. percent: 1 to 100. Shingles are told apart by 64-bit hashes.
     """
     scratch = Scratch(docs.sparkSession)
     found = linked(with_uid(docs, scratch, "text"), scratch, n, percent)

@@ -83,7 +83,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, key
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """The documents of the mix, with the columns of docs: each as often as its source's whole epochs, and once more, cut after
     its last word in budget, where its last take is partial (one document a source). Nulls and ties as in mix(); of rows equal
-    in doc_id, source and text, as many get a last take as mix() gives them."""
+    in doc_id, source and text, as many get a last take as mix() gives them. Null texts have no words and come as often as their
+    source's whole epochs; an empty table gives no rows; texts of any length stay whole but for the one that is cut."""
     columns = docs.columns
     plan = mix(docs, weights, cap, keys=True)
     same = ["__name", "__key"]

@@ -196,11 +196,13 @@ def held_out():
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_DOCS) -> Field:
-    """From at most so many labelled documents, none of them held out. Rows without a label of 0 or 1 are passed over."""
+    """From at most so many labelled documents, none of them held out, each once: of rows of one doc_id the one whose text has the
+    least hash. Rows without a label of 0 or 1 are passed over."""
     prepare(docs.sparkSession)
     chosen = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter("quality in (0, 1) and doc_id is not null").filter(~held_out())
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen.distinct()), "doc_id")
+    rows = rows.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -215,7 +217,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_DOCS) -> Field:
 
 
 def score(docs: DataFrame, field: Field, name: str = "score") -> DataFrame:
-    """The rows of docs with a column of this name (double) added."""
+    """The rows of docs with a column of this name (double) added. Null and empty texts are one empty line; repeated rows get a score
+    each; an empty table gives no rows."""
     from pyspark.sql import types as T
 
     prepare(docs.sparkSession)
@@ -234,7 +237,8 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every document.
 
     A null or empty text is one empty line and gets that line's probability. A null doc_id is not held out. Repeated rows get
-    a score each. Without usable labels every score is 0.5. An empty table gives no rows. Other columns are ignored.
+    a score each. Without usable labels every score is 0.5. A text of any length is scored whole. An empty table gives no rows.
+    Other columns are ignored.
     """
     scored = score(docs.select("doc_id", "text"), fit(docs, labels))
     return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))

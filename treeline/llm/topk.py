@@ -1,8 +1,8 @@
 """Exact top-k by inner product: ball trees on shards, searched by branch and bound.
 
 Vectors go to shards around centres (large cells are dealt into several shards by hash; there is a fixed number of shards at
-most). A query first searches the shard whose bound is highest, and takes its kth score along as the score to beat; then
-it goes to the shards whose bound isn't below it. In a shard, nodes come in the order of their upper bound (inner product
+most). A query first searches the shard whose bound is highest, and takes its kth score along as the score to beat to the few
+next ones, and the best one of all so far to the rest, as far as their bounds aren't below it. In a shard, nodes come in the order of their upper bound (inner product
 with the ball's centre plus radius times the query's length), and the search ends at the first bound below the kth score.
 Scores are integers, compared exactly; a bound is rounded up by more than its error.
 """
@@ -20,9 +20,11 @@ from .cells import MOST_CELLS, SAMPLE, centres, finite, nearest
 from .common import Scratch, table, with_uid
 
 K, SCALE, EVERY = 10, 1024, 100
-SHARD, MOST_SHARDS, LEAF = 8192, 4096, 64
-#: Queries that meet one copy of a shard.
+SHARD, MOST_SHARDS, LEAF = 8192, 1 << 16, 64
+#: Queries that meet one copy of a shard; a shard that more are routed to is copied for each so many.
 BLOCK = 1 << 16
+#: Shards that a query has gone to after each round, in the order of their bounds.
+ROUNDS = (1, 5, None)
 _EXACT = 2.0**53
 _LONG = 2**63 - 1
 
@@ -145,14 +147,18 @@ def top_k(rows: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE) -
     A component x counts as floor(scale * x) in double precision. Vectors that are null or empty or hold null or non-finite
     components take no part, nor do rows with a null vec_id; vectors of different lengths aren't compared. Of rows with one
     vec_id each is a query and a candidate of its own, so ranks of one query_id then repeat. Ties go to the smaller vec_id.
-    Scores beyond a long are cut to its range. Other columns are ignored; an empty table gives no rows.
+    Scores beyond a long are cut to its range; vectors with a component that scale makes infinite take no part. Other columns are
+    ignored; an empty table gives no rows.
     """
     scratch = Scratch(rows.sparkSession)
     rows = with_uid(rows, scratch, "embedding", key="vec_id").filter("vec_id is not null").filter(finite("embedding"))
 
     def whole(batches):
         for batch in batches:
-            v = [np.floor(scale * np.array(x, np.float64)) for x in batch.column("v").to_pylist()]
+            with np.errstate(over="ignore"):
+                v = [np.floor(scale * np.array(x, np.float64)) for x in batch.column("v").to_pylist()]
+            good = [i for i, x in enumerate(v) if np.isfinite(x).all()]
+            batch, v = batch.take(pa.array(good, pa.int64())), [v[i] for i in good]
             yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("vec_id"), pa.array([len(x) for x in v], pa.int64()), pa.array([x.tobytes() for x in v], pa.binary())], ["uid", "vec_id", "dim", "v"])
 
     vectors = rows.select("uid", "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v")).mapInArrow(whole, "uid long, vec_id long, dim long, v binary")
@@ -162,7 +168,6 @@ def top_k(rows: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE) -
     shards = sharded.groupBy("shard").applyInArrow(balls, "shard long, dim long, centre binary, radius double").collect()  # at most MOST_SHARDS
     shared = rows.sparkSession.sparkContext.broadcast([(r.shard, r.dim, np.frombuffer(r.centre, np.float64), r.radius) for r in shards])
     queries = vectors.filter(F.col("vec_id") % every == 0).select(F.col("uid").alias("qid"), F.col("vec_id").alias("query_id"), "dim", F.col("v").alias("query"))
-    blocks = max(1, -(-queries.count() // BLOCK))
 
     def bounds(query: np.ndarray) -> tuple[list, np.ndarray]:
         own = [s for s in shared.value if s[1] == len(query)]
@@ -170,34 +175,47 @@ def top_k(rows: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE) -
         centre, radius = np.stack([s[2] for s in own]), np.array([s[3] for s in own])
         return own, centre @ query + radius * length + 1e-9 * length * (np.sqrt((centre**2).sum(axis=1)) + radius) + 1e-6
 
-    def route(first: bool):
+    def route(lo: int, hi: int | None):
         def run(batches):
             for batch in batches:
-                at, shard, beat = [], [], []
-                for i, row in enumerate(batch.to_pylist()):
-                    own, high = bounds(np.frombuffer(row["query"], np.float64))
-                    home = int(np.argmax(high))
-                    for j in [home] if first else [j for j in range(len(own)) if j != home and (row["beat"] is None or high[j] >= row["beat"])]:
+                at, shard = [], []
+                for i, (query, beat) in enumerate(zip(batch.column("query").to_pylist(), batch.column("beat").to_pylist())):
+                    own, high = bounds(np.frombuffer(query, np.float64))
+                    next_ones = np.argsort(-high, kind="stable")[lo:hi]
+                    for j in (next_ones if beat is None else next_ones[high[next_ones] >= beat]).tolist():
                         at.append(i)
                         shard.append(own[j][0])
-                        beat.append(None if first else row["beat"])
-                yield pa.RecordBatch.from_arrays([batch.column("qid").take(pa.array(at, pa.int64())), batch.column("query").take(pa.array(at, pa.int64())), pa.array(beat, pa.int64()), pa.array(shard, pa.int64())], ["qid", "query", "beat", "shard"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at, pa.int64())) for c in ("qid", "query", "beat")), pa.array(shard, pa.int64())], ["qid", "query", "beat", "shard"])
 
         return run
 
-    dealt = sharded.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
     def searched(routed: DataFrame) -> DataFrame:
-        routed = routed.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int"))
+        many = {r.shard: -(-r.k // BLOCK) for r in routed.groupBy("shard").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > BLOCK).collect()}  # at most MOST_SHARDS
+        blocks = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in many.items() for x in kv]), F.col("shard")), F.lit(1)).cast("long") if many else F.lit(1).cast("long")
+        routed = routed.withColumn("block", F.pmod(F.xxhash64("qid"), blocks))
+        dealt = sharded.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
         return routed.groupBy("shard", "block").cogroup(dealt.groupBy("shard", "block")).applyInArrow(lambda q, v: in_shard(q, v, k), "qid long, vec_id long, score long")
 
-    routed = "qid long, query binary, beat long, shard long"
-    home = scratch.keep(searched(queries.mapInArrow(route(True), routed)))
-    kth = home.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("beat")).select("qid", F.when(F.col("n") >= k, F.col("beat")).alias("beat"))
-    rest = searched(queries.join(kth, "qid", "left").select("qid", "query", "beat").mapInArrow(route(False), routed))
+    best, before = None, 0
+    for upto in ROUNDS:
+        asked = queries.select("qid", "query", F.lit(None).cast("long").alias("beat"))
+        if best is not None:
+            kth = best.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("beat")).select("qid", F.when(F.col("n") >= k, F.col("beat")).alias("beat"))
+            asked = queries.join(kth, "qid", "left").select("qid", "query", "beat")
+        found = searched(scratch.keep(asked.mapInArrow(route(before, upto), "qid long, query binary, beat long, shard long")))
+        found = found if best is None else best.union(found)
+        best = scratch.keep(_first(found, k).drop("rank"))
+        if upto is None or len(shards) <= upto:
+            break
+        before = upto
+    out = _first(best, k)
+    return out.join(queries.select("qid", "query_id"), "qid").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _first(found: DataFrame, k: int) -> DataFrame:
+    """The k best of each query (qid, vec_id, score), with rank."""
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
-    best = home.union(rest).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return best.join(queries.select("qid", "query_id"), "qid").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def op8_top_k(spark, sf_dir):
