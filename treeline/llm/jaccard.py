@@ -21,6 +21,7 @@ and no list of N copies becomes N * N pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,10 @@ from .common import Scratch, Words, components, grams, mix64, partitions, signed
 
 #: Counters of the frequency table, and how many travel in one row.
 COUNTERS, CHUNK = 1 << 20, 1 << 12
+#: Bytes of a shingle's hash that sets are compared by first. Agreement by accident can only make a pair look more similar, so pairs
+#: that fail are settled, and those that pass so well that as many accidents are less likely than 2**-64; the others are compared
+#: by whole hashes.
+KEPT, WHOLE = 5, 8
 #: Words of 64 bits in a sketch at least; it has two bits for each shingle at least.
 SKETCH = 16
 #: Bits, a power of two, of the map of documents whose sets are needed (others with the same bit are computed in vain), and
@@ -225,8 +230,8 @@ def bit_map(uids: DataFrame) -> np.ndarray:
     return out
 
 
-def sets(docs: DataFrame, n: int, uids: DataFrame) -> DataFrame:
-    """uid, members (the 64-bit hashes of shingles, ascending) of these documents and perhaps some others; texts stay where they are
+def sets(docs: DataFrame, n: int, uids: DataFrame, kept: int) -> DataFrame:
+    """uid, members (so many leading bytes of the hashes of shingles, ascending) of these documents and perhaps some others; texts stay where they are
     read, by a bit map of the documents, unless there are too many for it."""
     uids = uids.toDF("uid").distinct()
     if uids.count() > MAPPED:
@@ -242,36 +247,62 @@ def sets(docs: DataFrame, n: int, uids: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             words = Words(batch.column("text"), lower=True)
-            out = [shingles(words, i, n).tobytes() for i in range(len(words))]
+            out = [np.ascontiguousarray(shingles(words, i, n).astype(">u8").view(np.uint8).reshape(-1, 8)[:, :kept]).tobytes() for i in range(len(words))]
             yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(out, pa.binary())], ["uid", "members"])
 
     return docs.select("uid", "text").mapInArrow(run, "uid long, members binary")
 
 
-def similar(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """a, b, and their sets (rows of one a follow one another) -> the pairs that are similar."""
+def _unpacked(raw: bytes, kept: int) -> np.ndarray:
+    wide = np.zeros((len(raw) // kept, 8), np.uint8)
+    wide[:, 8 - kept :] = np.frombuffer(raw, np.uint8).reshape(-1, kept)
+    return wide.view(">u8").reshape(-1).astype(np.uint64)
+
+
+def accidents(x: int, y: int, kept: int) -> int:
+    """As many shingles of two sets of these sizes, or fewer, agree by accident, but for a chance below 2**-64."""
+    expected, most = x * y / 2.0 ** (8 * kept), 0
+    while (math.e * expected / (most + 1)) ** (most + 1) * (1 if most + 1 > expected else 2.0**64) >= 2.0**-64:
+        most += 1
+    return most
+
+
+def similar(batches: Iterator[pa.RecordBatch], percent: int, kept: int) -> Iterator[pa.RecordBatch]:
+    """a, b, and their sets (rows of one a follow one another) -> the pairs that are similar by so many bytes, and whether that is
+    sure."""
     last, left = None, np.zeros(0, np.uint64)
     for batch in batches:
-        yes = []
+        yes, sure = [], []
         for a, x, y in zip(batch.column("a").to_pylist(), batch.column("set_a"), batch.column("set_b")):
             if a != last:
-                last, left = a, np.frombuffer(x.as_py(), np.uint64)
-            right = np.frombuffer(y.as_py(), np.uint64)
+                last, left = a, _unpacked(x.as_py(), kept)
+            right = _unpacked(y.as_py(), kept)
             both = 0
             if len(left) and len(right):
                 short, long = (left, right) if len(left) < len(right) else (right, left)
                 at = np.searchsorted(long, short)
                 both = int((long[np.minimum(at, len(long) - 1)] == short).sum())
-            yes.append(100 * both >= percent * (len(left) + len(right) - both))
+            both_of = len(left) + len(right)
+            yes.append(100 * both >= percent * (both_of - both))
+            both -= accidents(len(left), len(right), kept) if yes[-1] and kept < WHOLE else 0
+            sure.append(100 * both >= percent * (both_of - both))
         keep = pa.array(yes, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep), pa.array(sure, pa.bool_()).filter(keep)], ["a", "b", "sure"])
 
 
-def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Of pairs (a, b), those whose sets are similar. Only documents in pairs become sets."""
-    left, right = (sets(docs, n, pairs.select(side)).select(F.col("uid").alias(side), F.col("members").alias(f"set_{side}")) for side in "ab")
+def _similar_pairs(pairs: DataFrame, docs: DataFrame, n: int, percent: int, kept: int) -> DataFrame:
+    left, right = (sets(docs, n, pairs.select(side), kept).select(F.col("uid").alias(side), F.col("members").alias(f"set_{side}")) for side in "ab")
     rows = pairs.join(right, "b").join(left, "a")
-    return rows.select("a", "set_a", "b", "set_b").mapInArrow(lambda batches: similar(batches, percent), "a long, b long")
+    return rows.select("a", "set_a", "b", "set_b").mapInArrow(lambda batches: similar(batches, percent, kept), "a long, b long, sure boolean")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Of pairs (a, b), those whose sets are similar. Only documents in pairs become sets."""
+    found = scratch.keep(_similar_pairs(pairs, docs, n, percent, KEPT))
+    near = found.filter("not sure").select("a", "b")
+    if near.isEmpty():
+        return found.select("a", "b")
+    return found.filter("sure").select("a", "b").union(scratch.keep(_similar_pairs(near, docs, n, percent, WHOLE)).select("a", "b"))
 
 
 def _sizes_fit(a: str, b: str, percent: int):
@@ -397,7 +428,7 @@ def linked(docs: DataFrame, scratch: Scratch, n: int, percent: int) -> DataFrame
     near = near_lists(sized, percent).union(near_lists(own, percent)).distinct()
     # one candidate for each document is tried first; most are links, and leave nothing to try for the others
     tried = scratch.keep(likely(near, sketches, percent).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    links = scratch.keep(verified(tried, docs, n, percent))
+    links = verified(tried, docs, n, percent, scratch)
     found = scratch.keep(components(links, scratch))
     scratch.free()
     left = sized.union(members).union(own)
@@ -411,7 +442,7 @@ def linked(docs: DataFrame, scratch: Scratch, n: int, percent: int) -> DataFrame
         pairs = scratch.keep(pairs.join(tried, ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
             tried = tried.union(pairs)
-            links = links.union(scratch.keep(verified(pairs, docs, n, percent)))
+            links = links.union(verified(pairs, docs, n, percent, scratch))
             found = scratch.keep(components(links, scratch))
     same = classes.select("set1", "set2", "n", "uid").join(found.withColumnRenamed("node", "uid"), "uid", "left").select("set1", "set2", "n", F.coalesce("component", "uid").alias("component"))
     out = coded.select("uid", "doc_id", "n", "set1", "set2").join(same, ["set1", "set2", "n"], "left")
