@@ -102,6 +102,21 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def even_numbers(spark: SparkSession, count: int, parts: int) -> list[int]:
+    """So many numbers that Spark's hash of an int deals evenly to so many partitions; where there are many for each partition chance
+    does it."""
+    if count > 16 * parts:
+        return list(range(count))
+    number = F.col("id").cast("int")
+    found = spark.range(32 * max(count, parts, 16)).select(number.alias("id"), F.pmod(F.hash(number), F.lit(parts)).alias("part")).collect()
+    by_part: dict[int, list[int]] = {}
+    for r in sorted(found):
+        by_part.setdefault(r.part, []).append(r.id)
+    even = [own[i] for i in range(-(-count // parts)) for _, own in sorted(by_part.items()) if i < len(own)]
+    taken = set(even)
+    return (even + [r.id for r in sorted(found) if r.id not in taken])[:count]
+
+
 def doc_key(column: str = "doc_id"):
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID))
 

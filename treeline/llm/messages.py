@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions
+from .common import Scratch, even_numbers, partitions
 
 #: Words of the corpus for each bucket of keys.
 BUCKET = 1 << 20
@@ -115,7 +115,7 @@ class Chunks:
         scratch.free()
         self.words = self.base.agg(F.sum("n")).first()[0] or 0
         self.buckets = max(self.parts, -(-self.words // BUCKET))
-        self.places = self._places()
+        self.places = even_numbers(self.spark, self.buckets, self.parts)
 
     def _table(self, rows: DataFrame) -> DataFrame:
         name = f"treeline_{uuid.uuid4().hex}"
@@ -124,21 +124,6 @@ class Chunks:
         writer.bucketBy(self.parts, "chunk").sortBy("chunk").saveAsTable(name)
         return self.spark.table(name)
 
-    def _places(self) -> list[int]:
-        """A number for each bucket, such that Spark's hash deals the buckets evenly to its partitions; where there are many buckets
-        for each partition chance does it."""
-        if self.buckets > 16 * self.parts:
-            return list(range(self.buckets))
-        number = F.col("id").cast("int")
-        found = self.spark.range(32 * max(self.buckets, 16)).select(number.alias("id"), F.pmod(F.hash(number), F.lit(self.parts)).alias("part")).collect()
-        by_part: dict[int, list[int]] = {}
-        for r in sorted(found):
-            by_part.setdefault(r.part, []).append(r.id)
-        rounds = -(-self.buckets // self.parts)
-        even = [own[i] for i in range(rounds) for _, own in sorted(by_part.items()) if i < len(own)]
-        rest = sorted({r.id for r in found} - set(even))
-        return (even + rest)[: self.buckets]
-
     def joined(self) -> DataFrame:
         """Chunks with the replies of all rounds so far."""
         out = self.base

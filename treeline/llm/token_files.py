@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, Scratch, byte_hashes, partitions, slices, table
+from .common import NULL_ID, Scratch, byte_hashes, even_numbers, partitions, slices, table
 from .segments import GAP, Memory, binaries, buffers, classes, per_text, runs
 
 TOKENIZER = "word_bpe_49k.json"
@@ -182,6 +182,7 @@ def write(docs: DataFrame, scratch: Scratch, path: str, end_id: int = END_ID) ->
     n = partitions(spark)
     cuts = docs.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10000).alias("cuts")).first().cuts or []
     cuts = np.array(sorted(set(cuts)), np.int64)
+    places = np.array(even_numbers(spark, n, n), np.int32)  # a partition for each shard
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank_of = inverse(provisional)
@@ -193,13 +194,13 @@ def write(docs: DataFrame, scratch: Scratch, path: str, end_id: int = END_ID) ->
             doc = batch.column("doc_id")
             shard = np.searchsorted(cuts, np.asarray(pc.fill_null(doc, NULL_ID)), "right").astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(shard), doc, batch.column("tie"), pa.array(np.diff(bounds).astype(np.int32)), binaries(control, control_bounds), binaries(data, data_bounds)],
-                ["shard", "doc_id", "tie", "n", "control", "data"],
+                [pa.array(places[shard]), pa.array(shard), doc, batch.column("tie"), pa.array(np.diff(bounds).astype(np.int32)), binaries(control, control_bounds), binaries(data, data_bounds)],
+                ["place", "shard", "doc_id", "tie", "n", "control", "data"],
             )
 
     docs = docs.withColumn("tie", F.xxhash64("text"))
-    coded = docs.mapInArrow(encode, "shard int, doc_id long, tie long, n int, control binary, data binary")
-    coded = coded.repartitionByRange(n, F.col("shard")).sortWithinPartitions(F.col("shard"), F.col("doc_id").asc_nulls_last(), F.col("tie")).drop("tie")
+    coded = docs.mapInArrow(encode, "place int, shard int, doc_id long, tie long, n int, control binary, data binary")
+    coded = coded.repartition(n, "place").sortWithinPartitions(F.col("shard"), F.col("doc_id").asc_nulls_last(), F.col("tie")).drop("place", "tie")
     first, first_path = scratch.write(coded.mapInArrow(join_blocks, BLOCKS))
     scratch.free()
     counted = frequencies(first, provisional).orderBy(F.desc("n"), "id").select("id").collect()  # at most the vocabulary
