@@ -37,8 +37,8 @@ COUNTERS, CHUNK = 1 << 20, 1 << 12
 #: that fail are settled, and those that pass so well that as many accidents are less likely than 2**-64; the others are compared
 #: by whole hashes.
 KEPT, WHOLE = 5, 8
-#: Words of 64 bits in a sketch at least; it has two bits for each shingle at least.
-SKETCH = 16
+#: Words of 64 bits in a sketch at least; it has a bit for each shingle at least.
+SKETCH = 8
 #: Bits, a power of two, of the map of documents whose sets are needed (others with the same bit are computed in vain), and
 #: bytes of it in one row; where more documents than MAPPED are needed they are joined instead.
 MAP_BITS, MAP_PART, MAPPED = 26, 1 << 13, 1 << 23
@@ -114,7 +114,7 @@ def prefixes(docs: DataFrame, n: int, percent: int, classes: np.ndarray) -> Data
                 mixed = mix64(s)
                 one.append(int(mixed.sum(dtype=np.uint64)))
                 two.append(int(mix64(mixed + np.uint64(7)).sum(dtype=np.uint64)))
-                bits = max(64 * SKETCH, 1 << (2 * len(s) - 1).bit_length()) if len(s) else 64 * SKETCH
+                bits = max(64 * SKETCH, 1 << max(len(s) - 1, 0).bit_length())
                 odd = np.bincount((mixed % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
                 sketch.append(np.packbits(odd.astype(np.uint8)).view(np.int64).tolist())
                 k = len(s) - (percent * len(s) + 99) // 100 + 1 if len(s) else 0
@@ -366,14 +366,16 @@ def random_neighbours(lists: DataFrame, seed: int, percent: int) -> DataFrame:
     return _pairs(rows.filter("x.c <> y.c").filter(_sizes_fit("x.n", "y.n", percent)))
 
 
-def across(lists: DataFrame, percent: int) -> DataFrame:
-    """All pairs of entries (key, uid, n, sketch, c) of one list, in different components c, whose sizes and sketches allow the
-    similarity. A list's part meets each of its parts in a task of its own."""
-    lists = parted(lists)
-    x = lists.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).alias("x")
-    y = lists.withColumn("of", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).alias("y")
-    fits = (F.col("x.c") != F.col("y.c")) & (F.col("x.uid") < F.col("y.uid")) & _sizes_fit("x.n", "y.n", percent) & _sketches_fit("x", "y", percent)
-    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.of")) & (F.col("x.other") == F.col("y.part"))
+def across(lists: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """All pairs of entries (key, uid, n, c) of one list, in different components c, whose sizes and sketches (uid, sketch) allow
+    the similarity. Any two parts of a list meet in a block of their own; the lists are shuffled to blocks once, for both sides."""
+    rows = parted(lists).join(sketches.select("uid", "sketch"), "uid")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    rows = rows.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "uid", "n", "c", "sketch")
+    x, y = rows.alias("x"), rows.alias("y")
+    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.lo") == F.col("y.lo")) & (F.col("x.hi") == F.col("y.hi"))
+    fits = (F.col("x.c") != F.col("y.c")) & (F.col("x.uid") < F.col("y.uid")) & ((F.col("x.lo") == F.col("x.hi")) | (F.col("x.part") != F.col("y.part")))
+    fits = fits & _sizes_fit("x.n", "y.n", percent) & _sketches_fit("x", "y", percent)
     return x.join(y, met & fits).select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct()
 
 
@@ -438,7 +440,7 @@ def linked(docs: DataFrame, scratch: Scratch, n: int, percent: int) -> DataFrame
         if turn < RANDOM_ROUNDS:
             pairs = likely(random_neighbours(left, turn, percent), sketches, percent)
         else:
-            pairs = across(left.join(sketches.drop("n"), "uid"), percent)
+            pairs = across(left, sketches, percent)
         pairs = scratch.keep(pairs.join(tried, ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
             tried = tried.union(pairs)
