@@ -314,7 +314,7 @@ def redact(docs: DataFrame) -> DataFrame:
     prepare(docs.sparkSession)
     names = {c: f"__{i}" for i, c in enumerate(docs.columns)}
     rows = docs.select(*[F.col(c).alias(n) for c, n in names.items()], F.col("text"))
-    rows = candidates(rows)
+    rows = Scratch(docs.sparkSession).keep(candidates(rows))  # found once, for the counts and for the spans
     rows = spans(rows, train(pattern_counts(rows)))
 
     def replace(done: Column, x: Column) -> Column:
