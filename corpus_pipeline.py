@@ -41,7 +41,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     of = public_tokenizers.path(byte_bpe.RANKS), public_tokenizers.PATTERN
-    return byte_bpe.with_decoded(byte_bpe.encode(docs, *of), *of)
+    return byte_bpe.encode_and_decode(docs, *of)
 
 
 STAGES = [
