@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import byte_hashes, prepare, slices, table
+from .common import byte_hashes, prepare, remembered, slices, table
 from .segments import CLASS, GAP, ODD, Memory, binaries, buffers, classes, per_text, runs
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -376,7 +376,7 @@ class StreamDecoder:
         return "\ufffd" if left else ""
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
+_codecs: dict[tuple[str, str], Codec] = remembered()
 
 
 def codec(path: str, pattern: str) -> Codec:
@@ -430,19 +430,6 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded_sha256 string")
 
 
-def with_decoded(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids of encode() and decoded_sha256 of the text that the ids give back."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
-        for batch in batches:
-            back = [hashlib.sha256(decoded(own, np.frombuffer(x, "<u4")).encode()).hexdigest() for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(back, pa.string())], [*batch.schema.names, "decoded_sha256"])
-
-    prepare(encoded.sparkSession)
-    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded_sha256 string")
-
-
 def decoded(own: Codec, ids: np.ndarray) -> str:
     stream = StreamDecoder(own)
     return stream.feed(ids) + stream.close()

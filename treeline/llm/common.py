@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import hashlib
 import os
@@ -98,6 +99,33 @@ class Scratch:
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: What a Python worker remembers between tasks.
+_remembered: list[dict] = []
+
+
+def remembered() -> dict:
+    """A dictionary of a module, for what its tasks use again; lean() empties it."""
+    _remembered.append({})
+    return _remembered[-1]
+
+
+def lean(run):
+    """run, for mapInArrow, in a worker that first forgets what other operators remember in it, and afterwards gives free memory back."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if any(_remembered):
+            for own in _remembered:
+                own.clear()
+            gc.collect()
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return wrapped
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

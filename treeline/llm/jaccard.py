@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, components, grams, mix64, partitions, signed, slices, table, with_uid
+from .common import Scratch, Words, components, grams, lean, mix64, partitions, signed, slices, table, with_uid
 
 #: Counters of the frequency table, and how many travel in one row.
 COUNTERS, CHUNK = 1 << 20, 1 << 12
@@ -91,7 +91,7 @@ def frequency_classes(docs: DataFrame, n: int) -> np.ndarray:
         if total is not None:
             yield done()
 
-    counts = docs.select("text").mapInArrow(count, "part int, counts binary")
+    counts = docs.select("text").mapInArrow(lean(count), "part int, counts binary")
     counts = counts.repartition(partitions(docs.sparkSession), "part").sortWithinPartitions("part")
     classes = np.zeros(COUNTERS, np.uint8)
     for row in counts.mapInArrow(add, "part int, classes binary").collect():  # one byte for each counter
@@ -124,7 +124,7 @@ def prefixes(docs: DataFrame, n: int, percent: int, classes: np.ndarray) -> Data
                 ["uid", "doc_id", "n", "set1", "set2", "sketch", "prefix"],
             )
 
-    return docs.select("uid", "doc_id", "text").mapInArrow(run, "uid long, doc_id long, n long, set1 long, set2 long, sketch array<long>, prefix binary")
+    return docs.select("uid", "doc_id", "text").mapInArrow(lean(run), "uid long, doc_id long, n long, set1 long, set2 long, sketch array<long>, prefix binary")
 
 
 def postings(leaders: DataFrame) -> DataFrame:
@@ -141,7 +141,7 @@ def postings(leaders: DataFrame) -> DataFrame:
                 part = slice(lo, lo + (1 << 16))
                 yield pa.RecordBatch.from_arrays([pa.array(tokens[part]), pa.array(uid[part])], ["token", "uid"])
 
-    return leaders.select("uid", "prefix").mapInArrow(run, "token long, uid long")
+    return leaders.select("uid", "prefix").mapInArrow(lean(run), "token long, uid long")
 
 
 def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +250,7 @@ def sets(docs: DataFrame, n: int, uids: DataFrame, kept: int) -> DataFrame:
             out = [np.ascontiguousarray(shingles(words, i, n).astype(">u8").view(np.uint8).reshape(-1, 8)[:, :kept]).tobytes() for i in range(len(words))]
             yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(out, pa.binary())], ["uid", "members"])
 
-    return docs.select("uid", "text").mapInArrow(run, "uid long, members binary")
+    return docs.select("uid", "text").mapInArrow(lean(run), "uid long, members binary")
 
 
 def _unpacked(raw: bytes, kept: int) -> np.ndarray:
@@ -292,8 +292,9 @@ def similar(batches: Iterator[pa.RecordBatch], percent: int, kept: int) -> Itera
 
 def _similar_pairs(pairs: DataFrame, docs: DataFrame, n: int, percent: int, kept: int) -> DataFrame:
     left, right = (sets(docs, n, pairs.select(side), kept).select(F.col("uid").alias(side), F.col("members").alias(f"set_{side}")) for side in "ab")
-    rows = pairs.join(right, "b").join(left, "a")
-    return rows.select("a", "set_a", "b", "set_b").mapInArrow(lambda batches: similar(batches, percent, kept), "a long, b long, sure boolean")
+    # the merge puts rows of one a together, and a shuffle between the two Python steps: a task has one worker
+    rows = pairs.join(right, "b").join(left.hint("merge"), "a")
+    return rows.select("a", "set_a", "b", "set_b").mapInArrow(lean(lambda batches: similar(batches, percent, kept)), "a long, b long, sure boolean")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, scratch: Scratch) -> DataFrame:
@@ -414,7 +415,7 @@ def linked(docs: DataFrame, scratch: Scratch, n: int, percent: int) -> DataFrame
     classes = scratch.keep(coded.filter("n > 0").groupBy("set1", "set2", *group).agg(F.min(F.struct("uid", "sketch")).alias("m")).select("set1", "set2", *group, F.col("m.uid").alias("uid"), F.col("m.sketch").alias("sketch")))
     leaders = classes.groupBy(*group).agg(F.min("uid").alias("uid"), F.count(F.lit(1)).alias("k"))
     tokens = postings(coded.select("uid", "prefix").join(leaders.select("uid"), "uid", "left_semi"))
-    tokens = tokens.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(gathered, "key long, uid long")
+    tokens = tokens.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(lean(gathered), "key long, uid long")
     sketches = classes.select("uid", "n", "sketch")
     lists = scratch.keep(tokens.distinct())
     scratch.free()
